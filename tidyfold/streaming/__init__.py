@@ -1,0 +1,6 @@
+"""The workload is batch only: it has no event time, watermark or keyed state.
+
+Every row-wise function (`tidyfold.functions.arrays`) and every join with a
+fitted statistics table also accepts a streaming DataFrame, so newly arriving
+samples can be normalised, tokenised or scaled by `readStream` unchanged.
+"""
