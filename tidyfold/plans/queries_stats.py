@@ -37,15 +37,15 @@ def stats_reciprocal(t):
 
 IDF_SQL = BASE + """, agg AS (SELECT feature, count(*) FILTER (value > 10) AS seen, sum(value) AS total,
     sum(CASE WHEN value > 0 THEN value * ln(value) END) AS vl FROM sv WHERE split = 'train' GROUP BY 1)
-    SELECT feature, round(%s, 6) AS idf FROM agg, ntrain"""
+    SELECT feature, round(IDF, 6) AS idf FROM agg, ntrain"""
 
 
-@query("stats_idf_count", IDF_SQL % "ln(n / greatest(seen, 1))")
+@query("stats_idf_count", IDF_SQL.replace("IDF,", "ln(n / greatest(seen, 1)),"))
 def stats_idf_count(t):
     return stats.inverse_document_frequency(train(t), roles.train_count(t), "count", 10.0).withColumn("idf", F.round("idf", 6))
 
 
-@query("stats_idf_smooth", IDF_SQL % "ln((1.0::DOUBLE + n) / (1 + seen)) + 1")
+@query("stats_idf_smooth", IDF_SQL.replace("IDF,", "ln((1.0::DOUBLE + n) / (1 + seen)) + 1,"))
 def stats_idf_smooth(t):
     return stats.inverse_document_frequency(train(t), roles.train_count(t), "smooth", 10.0).withColumn("idf", F.round("idf", 6))
 
