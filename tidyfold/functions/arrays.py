@@ -9,6 +9,15 @@ LIBRARY_SIZE = 1e6
 TRANSFORMS = ("none", "log1p", "lognorm")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once per row.
+
+    Inside a higher-order function an outer expression would be evaluated again
+    for every element; bound as a lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
@@ -25,8 +34,8 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The row scaled to length 1; a zero row stays zero."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / F.when(length > 0, length)).otherwise(0.0))
+    inverse = F.when(norm(a) > 0, 1.0 / F.when(norm(a) > 0, norm(a))).otherwise(0.0)
+    return let(inverse, lambda s: F.transform(a, lambda x: x.cast("double") * s))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -47,18 +56,25 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def pearson(a: Column, b: Column, constant: float | None = None) -> Column:
     """Correlation of two rows; `constant` (default null) where either row is constant."""
     n = F.size(a).cast("double")
-    mean_a, mean_b = total(a) / n, total(b) / n
-    da = F.transform(a, lambda x: x.cast("double") - mean_a)
-    db = F.transform(b, lambda x: x.cast("double") - mean_b)
-    scale = F.sqrt(dot(da, da) * dot(db, db))
-    r = F.when(scale > 0, dot(da, db) / F.when(scale > 0, scale))
+
+    def centred(m: Column) -> Column:
+        return F.struct(
+            F.transform(a, lambda x: x.cast("double") - m["a"]).alias("a"), F.transform(b, lambda x: x.cast("double") - m["b"]).alias("b")
+        )
+
+    def ratio(c: Column) -> Column:
+        scale = F.sqrt(dot(c["a"], c["a"]) * dot(c["b"], c["b"]))
+        return F.when(scale > 0, dot(c["a"], c["b"]) / F.when(scale > 0, scale))
+
+    means = F.struct((total(a) / n).alias("a"), (total(b) / n).alias("b"))
+    r = let(let(means, centred), ratio)
     return r if constant is None else F.coalesce(r, F.lit(constant))
 
 
 def log_normalize(values: Column, library_size: float = LIBRARY_SIZE) -> Column:
     """Scale a row to `library_size` (its own total floored at 1), then log1p."""
     scale = F.lit(float(library_size)) / F.greatest(total(values), F.lit(1.0))
-    return F.transform(values, lambda x: F.log1p(x.cast("double") * scale))
+    return let(scale, lambda s: F.transform(values, lambda x: F.log1p(x.cast("double") * s)))
 
 
 def transform_values(values: Column, transform: str = "none", library_size: float = LIBRARY_SIZE) -> Column:

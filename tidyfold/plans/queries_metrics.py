@@ -14,7 +14,7 @@ R = 20  # replicates in the registered queries; the library's default is 1,000
 
 # true: the order's status; pred: a guess from its price and priority.
 PRED_SQL = """CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' WHEN o_orderpriority < '4' THEN 'P' ELSE 'X' END"""
-ROWS_SQL = f"rows AS (SELECT o_custkey AS case_id, o_orderkey, o_orderstatus AS true, {PRED_SQL} AS pred FROM orders)"
+ROWS_SQL = f"rows AS (SELECT o_custkey AS case_id, o_orderkey, o_orderstatus AS truth, {PRED_SQL} AS pred FROM orders)"
 
 
 def guesses(t):
@@ -24,8 +24,8 @@ def guesses(t):
     return t.orders.select(F.col("o_custkey").alias("case_id"), "o_orderkey", F.col("o_orderstatus").alias("true"), pred.alias("pred"))
 
 
-SCORES_SQL = """sup AS (SELECT {k} true AS c, sum(w) AS support FROM cells GROUP BY ALL), prd AS (SELECT {k} pred AS c, sum(w) AS predicted FROM cells GROUP BY ALL),
-    tp AS (SELECT {k} true AS c, sum(w) AS tp FROM cells WHERE true = pred GROUP BY ALL),
+SCORES_SQL = """sup AS (SELECT {k} truth AS c, sum(w) AS support FROM cells GROUP BY ALL), prd AS (SELECT {k} pred AS c, sum(w) AS predicted FROM cells GROUP BY ALL),
+    tp AS (SELECT {k} truth AS c, sum(w) AS tp FROM cells WHERE truth = pred GROUP BY ALL),
     cls AS (SELECT {k} c, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted, coalesce(tp, 0) AS tp
         FROM sup FULL JOIN prd USING ({u} c) FULL JOIN tp USING ({u} c)),
     scores AS (SELECT {k} sum(tp) / sum(support) AS accuracy, avg(CASE WHEN support > 0 THEN tp / support END) AS balanced_accuracy,
@@ -34,7 +34,7 @@ SCORES_SQL = """sup AS (SELECT {k} true AS c, sum(w) AS support FROM cells GROUP
 SCORE_NAMES = ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1")
 
 
-@query("metric_classification", "WITH " + ROWS_SQL + ", cells AS (SELECT true, pred, count(*)::DOUBLE AS w FROM rows GROUP BY 1, 2), "
+@query("metric_classification", "WITH " + ROWS_SQL + ", cells AS (SELECT truth, pred, count(*)::DOUBLE AS w FROM rows GROUP BY 1, 2), "
        + SCORES_SQL.format(k="", u="") + " SELECT " + ", ".join(f"round({s}, 6) AS {s}" for s in SCORE_NAMES) + " FROM scores")
 def metric_classification(t):
     done = metrics.classification_scores(metrics.confusion(guesses(t), "true", "pred"))
@@ -55,7 +55,7 @@ def metric_clustering_agreement(t):
     return done.select(F.round("nmi", 6).alias("nmi"), F.round("ari", 6).alias("ari"))
 
 
-TARGET_SQL = """t AS (SELECT l_suppkey AS pathway, l_extendedprice / 1000 - 40 AS true, l_quantity * 1.5 - 38 AS pred, o_custkey AS case_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+TARGET_SQL = """t AS (SELECT l_suppkey AS pathway, l_extendedprice / 1000 - 40 AS truth, l_quantity * 1.5 - 38 AS pred, o_custkey AS case_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
 def targets(t):
@@ -65,23 +65,23 @@ def targets(t):
     )
 
 
-@query("metric_pathway_r2", "WITH " + TARGET_SQL + """, s AS (SELECT pathway, sum((true - pred) ^ 2) AS r, sum(true ^ 2) AS q FROM t GROUP BY 1)
+@query("metric_pathway_r2", "WITH " + TARGET_SQL + """, s AS (SELECT pathway, sum((truth - pred) ^ 2) AS r, sum(truth ^ 2) AS q FROM t GROUP BY 1)
     SELECT round(1 - sum(r) / sum(q), 6) AS r2_pooled, round(avg(1 - r / q), 6) AS r2_pathway FROM s""")
 def metric_pathway_r2(t):
     sums = targets(t).groupBy("pathway").agg(*[F.sum(c).alias(n) for n, c in metrics.squared_sums().items()])
     return metrics.target_r2(sums, "pathway").select(F.round("r2_pooled", 6).alias("r2_pooled"), F.round("r2_pathway", 6).alias("r2_pathway"))
 
 
-@query("metric_within_project_r2", "WITH " + TARGET_SQL + " SELECT round(1 - sum((true - pred) ^ 2) / sum(true ^ 2), 6) AS r2 FROM t")
+@query("metric_within_project_r2", "WITH " + TARGET_SQL + " SELECT round(1 - sum((truth - pred) ^ 2) / sum(truth ^ 2), 6) AS r2 FROM t")
 def metric_within_project_r2(t):
     sums = targets(t).agg(*[F.sum(c).alias(n) for n, c in metrics.squared_sums().items()])
     return sums.select(F.round(1 - F.try_divide("ss_res", "ss_tot"), 6).alias("r2"))
 
 
 # One row per embedding entry: truth, a lagged prediction and the class mean as baseline.
-RECON_SQL = """e AS (SELECT vec_id AS sample, label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS true FROM embeddings),
-    m AS (SELECT label, feature, avg(true) AS pred FROM e GROUP BY 1, 2), g AS (SELECT feature, avg(true) AS baseline FROM e GROUP BY 1),
-    rec AS (SELECT e.sample, e.label, e.feature, true, round(pred, 6) AS pred, round(baseline, 6) AS baseline FROM e JOIN m USING (label, feature) JOIN g USING (feature))"""
+RECON_SQL = """e AS (SELECT vec_id AS sample, label, generate_subscripts(embedding, 1) - 1 AS feature, unnest(embedding)::DOUBLE AS truth FROM embeddings),
+    m AS (SELECT label, feature, avg(truth) AS pred FROM e GROUP BY 1, 2), g AS (SELECT feature, avg(truth) AS baseline FROM e GROUP BY 1),
+    rec AS (SELECT e.sample, e.label, e.feature, truth, round(pred, 6) AS pred, round(baseline, 6) AS baseline FROM e JOIN m USING (label, feature) JOIN g USING (feature))"""
 
 
 def reconstruction(t):
@@ -92,8 +92,8 @@ def reconstruction(t):
     return e.join(m, ["label", "feature"]).join(g, "feature")
 
 
-@query("metric_reconstruction_sums", "WITH " + RECON_SQL + """ SELECT feature, count(*)::DOUBLE AS total, round(sum((true - pred) ^ 2), 6) AS ss_res,
-    round(sum(true - baseline), 6) AS first, round(sum((true - baseline) ^ 2), 6) AS second FROM rec GROUP BY 1""")
+@query("metric_reconstruction_sums", "WITH " + RECON_SQL + """ SELECT feature, count(*)::DOUBLE AS total, round(sum((truth - pred) ^ 2), 6) AS ss_res,
+    round(sum(truth - baseline), 6) AS first, round(sum((truth - baseline) ^ 2), 6) AS second FROM rec GROUP BY 1""")
 def metric_reconstruction_sums(t):
     rows = reconstruction(t)
     shift = rows.groupBy("feature").agg(F.max("baseline").alias("shift"))
@@ -101,8 +101,8 @@ def metric_reconstruction_sums(t):
     return sums.select("feature", *[F.round(c, 6).alias(c) for c in ("total", "ss_res", "first", "second")])
 
 
-@query("metric_reconstruction", "WITH " + RECON_SQL + """, g2 AS (SELECT feature, sum((true - pred) ^ 2) AS res, var_pop(true) * count(*) AS tot FROM rec GROUP BY 1),
-    p AS (SELECT sample, corr(true, pred) AS r, corr(true, baseline) AS r0 FROM rec GROUP BY 1)
+@query("metric_reconstruction", "WITH " + RECON_SQL + """, g2 AS (SELECT feature, sum((truth - pred) ^ 2) AS res, var_pop(truth) * count(*) AS tot FROM rec GROUP BY 1),
+    p AS (SELECT sample, corr(truth, pred) AS r, corr(truth, baseline) AS r0 FROM rec GROUP BY 1)
     SELECT round(1 - sum(res) / sum(tot), 6) AS r2_pooled, round(avg(1 - res / tot), 6) AS r2_gene,
     (SELECT round(avg(r), 6) FROM p) AS pearson_sample, (SELECT round(avg(r0), 6) FROM p) AS pearson_sample_baseline FROM g2""")
 def metric_reconstruction(t):
@@ -110,7 +110,7 @@ def metric_reconstruction(t):
     return done.select(*[F.round(c, 6).alias(c) for c in done.columns])
 
 
-@query("metric_sample_pearson", "WITH " + RECON_SQL + " SELECT sample, round(corr(true, pred), 6) AS r FROM rec GROUP BY 1")
+@query("metric_sample_pearson", "WITH " + RECON_SQL + " SELECT sample, round(corr(truth, pred), 6) AS r FROM rec GROUP BY 1")
 def metric_sample_pearson(t):
     return metrics.sample_pearson(reconstruction(t), "sample").select("sample", F.round("r", 6).alias("r"))
 
@@ -122,7 +122,7 @@ def metric_pearson_zero(t):
     return metrics.sample_pearson(rows, "sample", 0.0).select("sample", F.round("r", 6).alias("r"))
 
 
-@query("metric_array_pearson", "WITH " + RECON_SQL + " SELECT sample, round(corr(true, pred), 6) AS r FROM rec GROUP BY 1")
+@query("metric_array_pearson", "WITH " + RECON_SQL + " SELECT sample, round(corr(truth, pred), 6) AS r FROM rec GROUP BY 1")
 def metric_array_pearson(t):
     means = metrics.mean_vectors(t.embeddings, ["label"], "embedding", "pred")
     pred = F.transform("pred", lambda x: F.round(x, 6))
@@ -130,8 +130,8 @@ def metric_array_pearson(t):
     return rows.select(F.col("vec_id").alias("sample"), F.round(arrays.pearson(F.col("embedding"), pred), 6).alias("r"))
 
 
-@query("metric_holdout", "WITH " + RECON_SQL + """, v AS (SELECT *, exp(pred) - pred * exp(true) AS loss, feature < 40 AS visible FROM rec),
-    p AS (SELECT sample, corr(true, pred) AS r, 1 - sum((true - pred) ^ 2) / (var_pop(true) * count(*)) AS r2 FROM v WHERE NOT visible GROUP BY 1)
+@query("metric_holdout", "WITH " + RECON_SQL + """, v AS (SELECT *, exp(pred) - pred * exp(truth) AS loss, feature < 40 AS visible FROM rec),
+    p AS (SELECT sample, corr(truth, pred) AS r, 1 - sum((truth - pred) ^ 2) / (var_pop(truth) * count(*)) AS r2 FROM v WHERE NOT visible GROUP BY 1)
     SELECT (SELECT round(avg(loss), 6) FROM v WHERE visible) AS loss_visible, (SELECT round(avg(loss), 6) FROM v WHERE NOT visible) AS loss_heldout,
     round(avg(r), 6) AS pearson_heldout, round(avg(r2), 6) AS r2_heldout FROM p""")
 def metric_holdout(t):
@@ -140,17 +140,17 @@ def metric_holdout(t):
     return done.select(*[F.round(c, 6).alias(c) for c in done.columns])
 
 
-@query("metric_poisson_loss", "WITH " + RECON_SQL + " SELECT sample, feature, round(exp(pred) - pred * exp(true), 5) AS loss FROM rec")
+@query("metric_poisson_loss", "WITH " + RECON_SQL + " SELECT sample, feature, round(exp(pred) - pred * exp(truth), 5) AS loss FROM rec")
 def metric_poisson_loss(t):
     return reconstruction(t).select("sample", "feature", F.round(metrics.poisson_loss(F.col("pred"), F.col("true")), 5).alias("loss"))
 
 
-@query("metric_masked_mse", "WITH " + RECON_SQL + " SELECT label, round(avg((true - pred) ^ 2) FILTER (true > 0), 6) AS mse FROM rec GROUP BY 1")
+@query("metric_masked_mse", "WITH " + RECON_SQL + " SELECT label, round(avg((truth - pred) ^ 2) FILTER (truth > 0), 6) AS mse FROM rec GROUP BY 1")
 def metric_masked_mse(t):
     return metrics.masked_mse(reconstruction(t).withColumn("mask", F.col("true") > 0), ["label"]).select("label", F.round("mse", 6).alias("mse"))
 
 
-@query("metric_masked_accuracy", """SELECT l_returnflag, round(avg((l_linenumber = l_quantity // 8)::INT) FILTER (l_discount < 0.05), 6) AS accuracy FROM lineitem GROUP BY 1""")
+@query("metric_masked_accuracy", """SELECT l_returnflag, round(avg((l_linenumber = floor(l_quantity / 8))::INT) FILTER (l_discount < 0.05), 6) AS accuracy FROM lineitem GROUP BY 1""")
 def metric_masked_accuracy(t):
     label = F.when(F.col("l_discount") < 0.05, F.floor(F.col("l_quantity") / 8)).otherwise(-100)
     rows = t.lineitem.select("l_returnflag", F.col("l_linenumber").alias("pred"), label.alias("label"))
@@ -202,7 +202,7 @@ def weights(t, rows):
     return bootstrap.bootstrap_weights(rows, "case_id", R, 1, "md5")
 
 
-CELLS_SQL = "cells AS (SELECT replicate, true, pred, sum(weight)::DOUBLE AS w FROM rows JOIN weights USING (case_id) GROUP BY 1, 2, 3)"
+CELLS_SQL = "cells AS (SELECT replicate, truth, pred, sum(weight)::DOUBLE AS w FROM rows JOIN weights USING (case_id) GROUP BY 1, 2, 3)"
 
 
 def boot_scores(t):
@@ -243,7 +243,7 @@ def boot_weighted_mean(t):
     return bootstrap.weighted_mean(rows, weights(t, rows), "case_id", "value").select("replicate", F.round("value", 4).alias("value"))
 
 
-@query("boot_pathway_r2", "WITH " + TARGET_SQL.replace("t AS", "rows AS") + ", " + BOOT_SQL + """, s AS (SELECT replicate, pathway, sum(weight * (true - pred) ^ 2) AS r, sum(weight * true ^ 2) AS q
+@query("boot_pathway_r2", "WITH " + TARGET_SQL.replace("t AS", "rows AS") + ", " + BOOT_SQL + """, s AS (SELECT replicate, pathway, sum(weight * (truth - pred) ^ 2) AS r, sum(weight * truth ^ 2) AS q
     FROM rows JOIN weights USING (case_id) GROUP BY 1, 2) SELECT replicate, round(1 - sum(r) / sum(q), 6) AS r2_pooled, round(avg(1 - r / q), 6) AS r2_pathway FROM s GROUP BY 1""")
 def boot_pathway_r2(t):
     rows = targets(t)
