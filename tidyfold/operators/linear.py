@@ -23,12 +23,18 @@ ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
 def width(df: DataFrame, column: str) -> int:
     """The common length of an array column; a ragged column is an error."""
+    high = width_of(df, column)
+    if not 1 <= high <= MAX_WIDTH:
+        raise ValueError(f"{column} has {high} entries; expected 1 to {MAX_WIDTH}")
+    return high
+
+
+def width_of(df: DataFrame, column: str) -> int:
+    """The common length of an array column, without the bound on d x d sums."""
     low, high = df.agg(F.min(F.size(column)), F.max(F.size(column))).first()
     if low != high:
         raise ValueError(f"{column} is ragged: {low} to {high} entries")
-    if high is None or high > MAX_WIDTH:
-        raise ValueError(f"{column} has {high} entries; expected 1 to {MAX_WIDTH}")
-    return int(high)
+    return int(high or 0)
 
 
 def stack(column: pd.Series) -> np.ndarray:
@@ -144,15 +150,15 @@ def wide_pca_embeddings(df: DataFrame, vector: str, train: str, k: int = 256, it
     mean = np.asarray(first[0])
     q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(mean), min(k + 10, len(mean), n))))
     for _ in range(iterations):
-        q, _ = np.linalg.qr(_range_pass(rows, vector, mean, q))
-    small = q.T @ _range_pass(rows, vector, mean, q)
+        q, _ = np.linalg.qr(sum_pass(rows, vector, mean, q))
+    small = q.T @ sum_pass(rows, vector, mean, q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     axes = q @ vectors[:, np.argsort(values)[::-1][:k]]
     signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
     return affine(df, vector, mean, axes * np.where(signs == 0, 1.0, signs), out)
 
 
-def _range_pass(rows: DataFrame, vector: str, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+def sum_pass(rows: DataFrame, vector: str, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Σ (x - mean) ((x - mean)ᵀ q), summed per width position."""
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -180,3 +180,18 @@ def exact_quantiles(
             for n in probs
         ],
     )
+
+
+def running_min(df: DataFrame, keys: Sequence[str], order: str, value: str, cuts: Sequence[float] = (), descending: bool = True) -> DataFrame:
+    """(keys, order, value): the smallest `value` at this `order` or any earlier one; descending by default."""
+    keys = list(keys)
+    at = df.groupBy(*keys, order).agg(F.min(value).alias(value))
+    at = at.withColumn("_range", range_of(F.col(order).cast("double"), list(cuts)))
+    direction = F.desc if descending else F.asc
+    earlier = W.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(W.unboundedPreceding, -1)
+    base = at.groupBy(*keys, "_range").agg(F.min(value).alias("_m"))
+    base = base.select(*keys, "_range", F.min("_m").over(earlier).alias("_base"))
+    inside = W.partitionBy(*keys, "_range").orderBy(direction(order)).rowsBetween(W.unboundedPreceding, 0)
+    local = at.withColumn("_in", F.min(value).over(inside))
+    # least skips the null of a first range.
+    return local.join(base, [*keys, "_range"]).select(*keys, order, F.least("_in", "_base").alias(value))

@@ -34,7 +34,7 @@ def planned(t):
 @query("probe_classification")
 def probe_classification(t):
     task = F.when(F.col("label") < 3, F.col("label"))
-    done = probes.classification_probe(planned(t), {"label": F.col("label"), "within_three": task}, "case_id", R, hash_fn="md5", max_iter=50)
+    done = probes.classification_probe(planned(t), {"label": F.col("label"), "within_three": task}, "case_id", R, hash_fn="md5", max_iter=25)
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
