@@ -44,6 +44,13 @@ def members_in_order(edges: DataFrame, set_order: DataFrame) -> DataFrame:
     return first.orderBy("_at").select("member", F.col("_at.set_index").alias("set_index"), F.col("_at.position").alias("position"))
 
 
+def missing_members(edges: DataFrame, genes: DataFrame, set_order: DataFrame, name: str = "gene_name") -> DataFrame:
+    """Members the genes lack, by first appearance."""
+    ordered = members_in_order(edges, set_order)
+    lacking = ordered.join(genes.select(F.col(name).alias("member")).distinct(), "member", "left_anti")
+    return lacking.orderBy("set_index", "position")
+
+
 def member_set(edges: DataFrame, set_order: DataFrame) -> DataFrame:
     """Every membership with its set's index."""
     return edges.join(set_order.select("set", "set_index"), "set").select("member", "position", "set_index")

@@ -300,11 +300,14 @@ def evaluate(embeddings: dict[str, DataFrame], bucketed: DataFrame, tasks: dict[
              covariates: DataFrame | None = None, quality: Sequence[str] = (), batches: Sequence[str] = (),
              endpoints: DataFrame | None = None, sample: str = "sample_index", n_bootstrap: int = bootstrap.N_BOOTSTRAP) -> dict[str, DataFrame]:
     """Every probe on every embedding as tables, plus `differences` from the reference embedding."""
+    if reference is not None and reference not in embeddings:
+        raise ValueError(f"{reference!r} is none of the embeddings: {sorted(embeddings)}")
     tables: dict[str, DataFrame] = {}
+    dims = {name: linear.width(rows, "embedding") for name, rows in embeddings.items()}
 
     def add(title: str, name: str, table: DataFrame | None) -> None:
         if table is not None:
-            table = table.select(F.lit(name).alias("embeddings"), "*")
+            table = table.select(F.lit(name).alias("embeddings"), F.lit(dims[name]).alias("dim"), "*")
             tables[title] = tables[title].unionByName(table, allowMissingColumns=True) if title in tables else table
 
     for name, rows in embeddings.items():
