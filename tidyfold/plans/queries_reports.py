@@ -207,14 +207,14 @@ EMB_SPLIT_SQL = "CASE WHEN label < 6 THEN 'train' WHEN label < 8 THEN 'val' ELSE
 
 def vectors(t):
     split = F.when(F.col("label") < 6, "train").when(F.col("label") < 8, "val").otherwise("test")
-    return t.embeddings.select(F.col("vec_id").alias("sample"), F.col("embedding").alias("values"), split.alias("split"))
+    return t.embeddings.select(F.col("vec_id").alias("sample"), F.col("embedding").cast("array<double>").alias("values"), split.alias("split"))
 
 
-@query("check_scramble", f"""WITH e AS (SELECT vec_id AS sample, {EMB_SPLIT_SQL} AS split, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding) AS x FROM embeddings)
-    SELECT sample, CASE WHEN split = 'train' THEN dim ELSE 63 - dim END AS dim, round((CASE WHEN split = 'train' THEN x ELSE x * 3::FLOAT + 1::FLOAT END)::DOUBLE, 4) AS x FROM e""")
+@query("check_scramble", f"""WITH e AS (SELECT vec_id AS sample, {EMB_SPLIT_SQL} AS split, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
+    SELECT sample, CASE WHEN split = 'train' THEN dim ELSE 63 - dim END AS dim, round(CASE WHEN split = 'train' THEN x ELSE x * 3 + 1 END, 6) AS x FROM e""")
 def check_scramble(t):
     rows = checks.scramble_held_out(vectors(t)).select("sample", F.posexplode("values").alias("dim", "x"))
-    return rows.select("sample", "dim", F.round(F.col("x").cast("double"), 4).alias("x"))
+    return rows.select("sample", "dim", F.round("x", 6).alias("x"))
 
 
 @query("check_embedding_ignores_held_out", "SELECT label < 6 AS train, label >= 6 AS moved FROM embeddings GROUP BY 1, 2")
