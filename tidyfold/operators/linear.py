@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_WIDTH = 8192
+# Coefficients of one multi-target fit: what a task receives per key.
+COEFFICIENTS = 20_000_000
 # The penalty grid of the ridge probes.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
@@ -195,34 +197,39 @@ def fit_ridges(df: DataFrame, x: str, y: str, key: str, alphas: Sequence[float]
     """One multi-target ridge per key, its penalty chosen by leave-one-out error over all targets.
 
     Pass one sums moments. Pass two scores every row's left-out residual for
-    every penalty from its leverage 1/n + xᵀ(G + αI)⁻¹x, without refitting.
-    Targets are an array column; both widths are checked.
+    every penalty from its leverage 1/n + xᵀ(G + αI)⁻¹x, without refitting; in
+    the Gram's eigenbasis all penalties share one d x t matrix, whose size is
+    checked. Targets are an array column.
     """
-    d, t = width(df, x), width(df, y)
-    fits, alphas = {}, tuple(float(a) for a in alphas)
+    d, t = width(df, x), width_of(df, y)
+    if d * t > COEFFICIENTS:
+        raise ValueError(f"{d} x {t} coefficients; at most {COEFFICIENTS}: fit the targets in column blocks")
+    alphas = tuple(float(a) for a in alphas)
+    fits = {}
     for k, m in moments(df, x, y, key).items():
         mean, sd = standardiser(m)
         n = m["n"]
-        gram = covariance(m) / np.outer(sd, sd)
+        values, vectors = np.linalg.eigh(covariance(m) / np.outer(sd, sd))
         cross = (m["cross"][:, d:] - np.outer(m["left"], m["both"][d:]) / n) / sd[:, None]
-        values, vectors = np.linalg.eigh(gram)
-        values = np.clip(values, 0.0, None)
-        rotated = vectors.T @ cross
-        coefs = [vectors @ (rotated / (values + a)[:, None]) for a in alphas]
-        fits[k] = {"mean": mean, "sd": sd, "n": n, "y": m["both"][d:] / n, "values": values, "vectors": vectors, "coefs": coefs}
+        fits[k] = {
+            "mean": mean, "sd": sd, "n": n, "y": m["both"][d:] / n, "values": np.clip(values, 0.0, None), "vectors": vectors,
+            "rotated": vectors.T @ cross,
+        }
 
     def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = {k: np.zeros(len(alphas)) for k in fits}
         for batch in batches:
             for k, part in batch.groupby("_k"):
                 f = fits[int(k)]
-                z = (stack(part[x]) - f["mean"]) / f["sd"]
-                target = stack(part[y]) - f["y"]
-                turned = (z @ f["vectors"]) ** 2
-                for j, a in enumerate(alphas):
-                    lever = 1.0 / f["n"] + turned @ (1.0 / (f["values"] + a))
-                    left = (target - z @ f["coefs"][j]) / np.maximum(1.0 - lever, 1e-12)[:, None]
-                    held[int(k)][j] += (left**2).sum()
+                for start in range(0, len(part), 1024):
+                    piece = part.iloc[start : start + 1024]
+                    turned = ((stack(piece[x]) - f["mean"]) / f["sd"]) @ f["vectors"]
+                    target = stack(piece[y]) - f["y"]
+                    for j, a in enumerate(alphas):
+                        shrunk = turned / (f["values"] + a)
+                        lever = 1.0 / f["n"] + (turned * shrunk).sum(axis=1)
+                        left = (target - shrunk @ f["rotated"]) / np.maximum(1.0 - lever, 1e-12)[:, None]
+                        held[int(k)][j] += (left**2).sum()
         for k, e in held.items():
             yield pd.DataFrame({"_k": k, "_a": np.arange(len(alphas)), "_e": e})
 
@@ -232,7 +239,8 @@ def fit_ridges(df: DataFrame, x: str, y: str, key: str, alphas: Sequence[float]
     for k, f in fits.items():
         e = table[table["_k"] == k].sort_values("_a")["_e"].to_numpy()
         best = int(np.argmin(e))
-        out[k] = RidgeFit(f["mean"], f["sd"], f["coefs"][best], f["y"], alphas[best], e / (f["n"] * t))
+        coef = f["vectors"] @ (f["rotated"] / (f["values"] + alphas[best])[:, None])
+        out[k] = RidgeFit(f["mean"], f["sd"], coef, f["y"], alphas[best], e / (f["n"] * t))
     return out
 
 

@@ -72,8 +72,8 @@ def invertibility(planned: DataFrame, target: str = "target", case: str = "case_
                   hash_fn: str = "xxhash64") -> DataFrame:
     """How much of a target array a ridge recovers from the embedding; no interval on r2_gene.
 
-    The replicate sums are (replicates x features) per task, from dense blocks,
-    and summed by replicate in the JVM.
+    Weights meet dense blocks of rows inside a task; per-replicate sums are
+    added in the JVM.
     """
     planned = stable(planned)
     folds = folds_of(planned)
@@ -84,36 +84,26 @@ def invertibility(planned: DataFrame, target: str = "target", case: str = "case_
     listed = weights.groupBy(case).agg(F.collect_list("replicate").alias("_r"), F.collect_list("weight").alias("_w"))
     baselines = {k: f.intercept for k, f in fits.items()}
     shift = np.mean([f.intercept for f in fits.values()], axis=0)
-    sums = _replicate_sums(predicted.join(listed, case), target, baselines, shift, n_bootstrap)
-    tot = F.transform(
-        F.arrays_zip("first", "second"), lambda s: F.greatest(s["second"] - s["first"] * s["first"] / F.col("total"), F.lit(0.0))
-    )
-    each = F.transform(
-        F.filter(F.arrays_zip("ss_res", "_tot"), lambda s: s["_tot"] > 1e-9 * F.col("total")), lambda s: 1 - s["ss_res"] / s["_tot"]
-    )
-
-    def added(c: Column) -> Column:
-        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-
-    scores = sums.withColumn("_tot", tot).withColumn("_each", each).select(
-        "replicate", (1 - F.try_divide(added(F.col("ss_res")), added(F.col("_tot")))).alias("r2_pooled"),
-        F.try_divide(added(F.col("_each")), F.size("_each").cast("double")).alias("r2_gene"),
-        F.try_divide(F.col("r"), F.col("rn")).alias("pearson_sample"), F.try_divide(F.col("r0"), F.col("r0n")).alias("pearson_sample_baseline"),
-    )
+    scores, genes = _replicate_sums(predicted.join(listed, case), target, baselines, shift, n_bootstrap)
     scores = stable(scores)
-    fixed = scores.filter("replicate = 0").select("r2_gene", "pearson_sample_baseline")
+    fixed = _beside(genes, scores.filter("replicate = 0").select("pearson_sample_baseline"))
     table = _beside(_summary(scores, ["r2_pooled", "pearson_sample"]), fixed)
     table = table.withColumn("alpha", F.lit(float(np.median([f.alpha for f in fits.values()]))))
     return _head(table, splits.plan_name(folds), tested.count())
 
 
-def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarray], shift: np.ndarray, n_bootstrap: int) -> DataFrame:
-    """(replicate, total, ss_res[], first[], second[], r, rn, r0, r0n) summed over rows with `_r`, `_w` weights."""
+def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarray], shift: np.ndarray,
+                    n_bootstrap: int) -> tuple[DataFrame, DataFrame]:
+    """Per replicate (r2_pooled, pearson_sample, pearson_sample_baseline), and the one r2_gene.
+
+    A replicate needs per-feature sums only for its means; the squares are
+    scalars. Replicate 0 alone keeps per-feature squares, for r2_gene.
+    """
     import pandas as pd
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    width = len(shift)
+    width, scalars = len(shift), ("total", "ss_res", "second", "r", "rn", "r0", "r0n")
 
     def correlate(a, b):
         a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
@@ -121,8 +111,8 @@ def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarra
         return np.where(scale > 0, (a * b).sum(1) / np.where(scale > 0, scale, 1.0), np.nan)
 
     def reduce(batches):
-        vectors = np.zeros((3, n_bootstrap + 1, width))
-        scalars = np.zeros((n_bootstrap + 1, 5))
+        sums, firsts = np.zeros((n_bootstrap + 1, len(scalars))), np.zeros((n_bootstrap + 1, width))
+        squares = np.zeros((2, width))
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.iloc[start : start + 512]
@@ -131,21 +121,33 @@ def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarra
                 w = np.zeros((n_bootstrap + 1, len(part)))
                 for i, (r, v) in enumerate(zip(part["_r"], part["_w"], strict=True)):
                     w[np.asarray(r), i] = v
-                c = t - shift
-                vectors += np.stack([w @ (t - p) ** 2, w @ c, w @ c**2])
-                scalars[:, 0] += w.sum(1)
-                for j, r in ((1, correlate(t, p)), (3, correlate(t, base))):
-                    scalars[:, j] += w @ np.nan_to_num(r)
-                    scalars[:, j + 1] += w @ ~np.isnan(r)
-        yield pd.DataFrame({"replicate": np.arange(n_bootstrap + 1), "flat": list(np.hstack([scalars, *vectors]))})
+                c, gap = t - shift, (t - p) ** 2
+                r, r0 = correlate(t, p), correlate(t, base)
+                per_row = [np.ones(len(part)), gap.sum(1), (c**2).sum(1), np.nan_to_num(r), ~np.isnan(r), np.nan_to_num(r0), ~np.isnan(r0)]
+                sums += w @ np.stack(per_row, axis=1)
+                firsts += w @ c
+                squares += np.stack([gap.sum(0), (c**2).sum(0)])
+        pad = np.zeros((1, len(scalars)))
+        yield pd.DataFrame({"replicate": np.arange(n_bootstrap + 1), "flat": list(np.hstack([sums, firsts]))})
+        yield pd.DataFrame({"replicate": [-1, -2], "flat": list(np.hstack([np.repeat(pad, 2, axis=0), squares]))})
 
     parts = rows.select("fold", target, "pred", "_r", "_w").mapInPandas(reduce, "replicate int, flat array<double>")
-    summed = parts.groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("flat"))).alias("f"))
-    names = ("total", "r", "rn", "r0", "r0n")
-    return summed.select(
-        "replicate", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)],
-        *[F.slice("f", len(names) + 1 + i * width, width).alias(n) for i, n in enumerate(("ss_res", "first", "second"))],
+    summed = stable(parts.groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("flat"))).alias("f")))
+    tail = F.slice("f", len(scalars) + 1, width)
+    named = summed.filter("replicate >= 0").select(
+        "replicate", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(scalars)], tail.alias("first")
+    )
+    shifted = F.aggregate("first", F.lit(0.0), lambda a, x: a + x * x)
+    scores = named.select(
+        "replicate", (1 - F.try_divide(F.col("ss_res"), F.col("second") - shifted / F.col("total"))).alias("r2_pooled"),
+        F.try_divide(F.col("r"), F.col("rn")).alias("pearson_sample"), F.try_divide(F.col("r0"), F.col("r0n")).alias("pearson_sample_baseline"),
     )
+    pieces = {r["replicate"]: np.asarray(r["v"]) for r in summed.filter("replicate <= 0").select("replicate", tail.alias("v")).collect()}
+    n = named.filter("replicate = 0").first()["total"]
+    tot = np.maximum(pieces[-2] - pieces[0] ** 2 / n, 0.0)
+    varies = tot > 1e-9 * n
+    value = float((1 - pieces[-1][varies] / tot[varies]).mean()) if varies.any() else None
+    return scores, rows.sparkSession.createDataFrame([(value,)], "r2_gene double")
 
 
 def _centred_embedding(rows: DataFrame, project: str) -> DataFrame:

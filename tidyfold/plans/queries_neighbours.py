@@ -73,10 +73,17 @@ def neighbours_kmeans_agreement(t):
     return metrics.clustering_agreement(metrics.confusion(clusters, "label", "cluster"))
 
 
-@query("distribution_mmd", f"""WITH {SIDE_SQL}, p AS (SELECT a.batch, a.test AS s, b.test AS o, avg(exp(-(list_distance(a.v, b.v) ^ 2) / 4096)) AS k FROM emb a JOIN emb b ON a.batch = b.batch GROUP BY 1, 2, 3)
-    SELECT batch, round(sum(CASE WHEN s = o THEN k ELSE -k END), 6) AS mmd FROM p GROUP BY 1""")
+@query("distribution_mmd", f"""WITH {SIDE_SQL}, bt AS (SELECT v, test, (row_number() OVER (ORDER BY substr(md5('mmd:' || vec_id), 1, 15), vec_id) - 1) // 64 AS part FROM emb),
+    p AS (SELECT a.part, a.test AS s, b.test AS o, avg(exp(-(list_distance(a.v, b.v) ^ 2) / 4096)) AS k FROM bt a JOIN bt b ON a.part = b.part GROUP BY 1, 2, 3)
+    SELECT part, round(CASE WHEN count(*) = 4 THEN sum(CASE WHEN s = o THEN k ELSE -k END) END, 6) AS mmd FROM p GROUP BY 1""")
 def distribution_mmd(t):
-    return neighbours.mmd(sides(t), F.col("test"), "embedding", "batch", "vec_id").select("batch", F.round("mmd", 6).alias("mmd"))
+    """Drift between the two sides within shuffled batches of 64, so the work grows with the table."""
+    from tidyfold.functions.hashing import md5_hex
+    from tidyfold.operators.ordering import hash_rank
+
+    hexed = sides(t).withColumn("_hex", md5_hex("mmd", F.col("vec_id"))).withColumn("_all", F.lit(0))
+    rows = hash_rank(hexed, ["_all"], "_hex", "vec_id").withColumn("part", F.floor(F.col("rank") / 64))
+    return neighbours.mmd(rows, F.col("test"), "embedding", "part", "vec_id").select("part", F.round("mmd", 6).alias("mmd"))
 
 
 @query("spectrum_scores")

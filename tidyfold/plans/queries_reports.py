@@ -95,22 +95,17 @@ def report_detection_by_sample(t):
     return reports.detection_by_sample(roles.values(t), "sample")
 
 
-@query("report_detection_extremes", VALS + """, b AS (SELECT s_nationkey || '/' || p_brand AS feature, count(DISTINCT c_nationkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1), f AS (SELECT n_nationkey || '/' || p_brand AS feature FROM nation, (SELECT DISTINCT p_brand FROM part))
-    SELECT count(*) FILTER (n = 25) AS always, count(*) FILTER (n IS NULL) AS never FROM f LEFT JOIN b USING (feature)""")
+@query("report_detection_extremes", """WITH b AS (SELECT p_brand || '/' || p_size AS feature, count(DISTINCT c_nationkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey GROUP BY 1), f AS (SELECT DISTINCT p_brand || '/' || p_size AS feature FROM part)
+    SELECT count(*) FILTER (n = (SELECT count(*) FROM nation)) AS always, count(*) FILTER (n IS NULL) AS never FROM f LEFT JOIN b USING (feature)""")
 def report_detection_extremes(t):
+    kind = F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("feature")
     lines = (
         t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     )
-    feature = F.concat_ws("/", F.col("s_nationkey").cast("string"), "p_brand").alias("feature")
-    values = lines.groupBy(F.col("c_nationkey").alias("sample"), feature).agg(F.sum("l_quantity").alias("value"))
-    kinds = t.part.select("p_brand").distinct()
-    # A vocabulary of nations x brands, both fixed lists.
-    features = t.nation.select("n_nationkey", F.lit(0).alias("_j")).join(kinds.withColumn("_j", F.lit(0)), "_j").select(
-        F.concat_ws("/", F.col("n_nationkey").cast("string"), "p_brand").alias("feature")
-    )
-    return reports.detection_extremes(values, features, t.nation.agg(F.count("*")).scalar())
+    values = lines.groupBy(F.col("c_nationkey").alias("sample"), kind).agg(F.sum("l_quantity").alias("value"))
+    return reports.detection_extremes(values, t.part.select(kind).distinct(), t.nation.agg(F.count("*")).scalar())
 
 
 @query("report_fold_sizes", WITH_SAMPLES + """ SELECT fold, CASE WHEN test_fold = fold THEN 'test' WHEN bucket % 20 >= 18 THEN 'val' ELSE 'train' END AS split,

@@ -72,8 +72,9 @@ def source_ssgsea_wide(t):
 
 @query("source_gmt_parse", """SELECT p_brand AS name, p_type AS description, p_name AS member FROM part GROUP BY 1, 2, 3""")
 def source_gmt_parse(t):
-    """A line per brand and type, members repeated as often as there are parts."""
-    line = F.concat_ws("\t", "p_brand", "p_type", F.concat_ws("\t", F.collect_list("p_name")))
+    """A line per brand and type; part names are a small vocabulary, here listed twice over."""
+    names = F.concat_ws("\t", F.collect_set("p_name"))
+    line = F.concat_ws("\t", "p_brand", "p_type", names, names)
     lines = t.part.groupBy("p_brand", "p_type").agg(line.alias("value"))
     return genesets.parse_gmt(lines).select("name", "description", F.explode("members").alias("member"))
 
@@ -95,7 +96,8 @@ def source_gene_ids(t):
 
 @query("source_hierarchy", """SELECT s_name AS set, s_suppkey::INT AS set_index, n_name AS concept, (dense_rank() OVER (ORDER BY n_nationkey) - 1)::INT AS concept_index FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def source_hierarchy(t):
-    genes = roles.supplier_sets(t).groupBy("set").agg(F.concat_ws(":", F.sort_array(F.collect_list(F.col("feature").cast("string")))).alias("Genes"))
+    named = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    genes = named.groupBy(F.col("l_suppkey").alias("set")).agg(F.concat_ws(":", F.sort_array(F.collect_set("p_name"))).alias("Genes"))
     table = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(genes, F.col("s_suppkey") == F.col("set"))
     table = table.select(
         F.col("s_name").alias("GeneSet"), F.col("n_name").alias("BroadCelltypePathway"), F.col("s_suppkey").alias("GeneSet_index"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidyfold.operators import reports, selection, splits
+from tidyfold.operators import ordering, reports, selection, splits
 from tidyfold.plans import roles
 from tidyfold.plans.registry import query
 from tidyfold.plans.roles import SQL_BUCKETS, SQL_SAMPLES
@@ -204,16 +204,17 @@ def select_survival_samples(t):
     return selection.survival_samples(rows, "case_id", "sample", "sample_type", ("O", "P")).select("case_id", "sample")
 
 
-@query("select_genome_order", """SELECT p_partkey AS gene_index, row_number() OVER (ORDER BY
-    coalesce(list_position(['SMALL', 'ECONOMY', 'LARGE'], p_type), 4), CASE WHEN p_type IN ('SMALL', 'ECONOMY', 'LARGE') THEN p_retailprice END NULLS LAST,
-    p_partkey)::INT AS place FROM part""")
+@query("select_genome_order", """WITH g AS (SELECT p_partkey AS gene_index, coalesce(nullif(list_position(['SMALL', 'ECONOMY', 'LARGE'], p_type), 0), 4) AS chromosome_rank,
+    round(p_retailprice, 2) AS start FROM part) SELECT gene_index, chromosome_rank::BIGINT AS chromosome_rank,
+    (row_number() OVER (PARTITION BY chromosome_rank ORDER BY CASE WHEN chromosome_rank < 4 THEN start ELSE 0 END, gene_index) - 1)::BIGINT AS place FROM g""")
 def select_genome_order(t):
-    from pyspark.sql import Window as W
-
-    genes = t.part.select(F.col("p_partkey").alias("gene_index"), F.col("p_type").alias("chromosome"), F.col("p_retailprice").alias("start"))
-    ordered = selection.genome_order(genes, chromosomes=("SMALL", "ECONOMY", "LARGE"))
-    place = F.row_number().over(W.orderBy("chromosome_rank", F.when(F.col("chromosome_rank") <= 3, F.col("start")).asc_nulls_last(), "gene_index"))
-    return ordered.select("gene_index", place.alias("place"))
+    """Every gene's place on its chromosome, ranked without sorting a chromosome in one task."""
+    genes = t.part.select(F.col("p_partkey").alias("gene_index"), F.col("p_type").alias("chromosome"), F.round("p_retailprice", 2).alias("start"))
+    ranked = selection.genome_order(genes, chromosomes=("SMALL", "ECONOMY", "LARGE"))
+    ranked = ranked.withColumn("before", F.when(F.col("chromosome_rank") < 4, -F.col("start")).otherwise(F.lit(0.0)))
+    cuts = [-c for c in reversed(ordering.cut_points(t.part, "p_retailprice"))]
+    placed = ordering.rank_rows(ranked, ["chromosome_rank"], "before", "gene_index", cuts, ordering.cut_points(t.part, "p_partkey"))
+    return placed.select("gene_index", F.col("chromosome_rank").cast("bigint").alias("chromosome_rank"), F.col("rank").cast("bigint").alias("place"))
 
 
 @query("select_concept_features", """SELECT p_partkey AS gene_index FROM part WHERE p_type = 'ECONOMY'
