@@ -388,3 +388,18 @@ def test_scramble_catches_a_leak(spark):
     checks.assert_ignores_held_out(honest, df)
     with pytest.raises(AssertionError, match="held-out rows"):
         checks.assert_ignores_held_out(leaky, df)
+
+
+def test_shared_pca_pass_equals_fold_by_fold(spark):
+    from tidyfold.operators import splits
+    from tidyfold.plans.baseline import pca_every_fold
+
+    x = np.random.default_rng(17).normal(size=(60, 5)) * [8, 4, 2, 1, 0.5] + 3
+    rows = vectors(spark, x, bucket=[(i * 7) % 100 for i in range(60)])
+    out = pca_every_fold(rows, "x", 2)
+    assert out.count() == 300
+    for fold in (0, 3):
+        train = splits.split_of(F.col("bucket"), fold) == "train"
+        want = linear.pca_embeddings(rows.withColumn("t", train), "x", "t", 2).orderBy("id").toPandas()["embedding"]
+        got = out.filter(F.col("fold") == fold).orderBy("id").toPandas()["embedding"]
+        np.testing.assert_allclose(linear.stack(got), linear.stack(want), atol=1e-8)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidyfold.functions.hashing import md5_hex
 from tidyfold.operators.metrics import sum_vectors
 from tidyfold.operators.ordering import hash_rank
+from tidyfold.session import stable
 
 STRIPE = 1024
 MAX_FEATURES = 65_000
@@ -30,7 +31,7 @@ def correlation_rows(values: DataFrame, stats: DataFrame, sample: str, feature:
     of features with all; only stripe sums are shuffled.
     `stats` is `feature_stats` of the same values, so implied zeros count.
     """
-    varying = stats.filter(F.col("var_pop") > 0)
+    varying = stable(stats.filter(F.col("var_pop") > 0))
     g = varying.count()
     if g > MAX_FEATURES:
         raise ValueError(f"{g} features; a correlation graph takes at most {MAX_FEATURES}")
@@ -45,6 +46,7 @@ def correlation_rows(values: DataFrame, stats: DataFrame, sample: str, feature:
         .groupBy(sample)
         .agg(F.collect_list("index").alias("idx"), F.collect_list(F.col(value).cast("double")).alias("val"))
     )
+    rows = stable(rows)
     stripes = max(1, -(-g // STRIPE))
     striped = rows.select("idx", "val", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.xxhash64(sample).alias("_h"))
     if stripes > 1:
@@ -88,6 +90,7 @@ def coexpression_graph(values: DataFrame, stats: DataFrame, sample: str, k: int
     A row of the matrix is cut to its k - 1 best before it is exploded.
     Constant features keep only their self-edge.
     """
+    stats = stable(stats)
     rows, names = correlation_rows(values, stats, sample, feature, value)
     marked = F.transform("row", lambda r, i: F.struct((-F.abs(r)).alias("o"), i.alias("j")))
     strong = F.filter(marked, lambda s: (s["j"] != F.col("index")) & (-s["o"] >= threshold))

@@ -4,6 +4,10 @@ A window over a hot key sends that key to one task. These split each key's
 order into ranges first: totals per (key, range) give every range its starting
 value, and only the rows of one range meet in a window. Results are exact for
 any choice of ranges; the ranges only balance the work.
+
+Both the totals and the rows are needed, so the pre-aggregated table is written
+once to the checkpoint folder: its input is computed once however these nest,
+and a lost executor cannot make the two readings differ.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidyfold.session import stable
+
 RANGES = 64
 
 
@@ -45,16 +51,18 @@ def prefix_sums(
     keys: Sequence[str],
     order: str,
     sums: Mapping[str, Column],
-    cuts: Sequence[float] = (),
+    cuts: Sequence[float] | None = None,
     descending: bool = False,
 ) -> DataFrame:
     """One row per (keys, order): each sum `s`, `s_before` (strictly earlier) and `s_all`.
 
-    Ties in `order` collapse before anything is sorted.
+    Ties in `order` collapse before anything is sorted. `cuts` default to
+    quantiles of the collapsed rows.
     """
     keys = list(keys)
-    at = df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    at = at.withColumn("_range", range_of(F.col(order).cast("double"), list(cuts)))
+    at = stable(df.groupBy(*keys, order).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    cuts = cut_points(at, order) if cuts is None else list(cuts)
+    at = at.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
     direction = F.desc if descending else F.asc
     earlier = W.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(W.unboundedPreceding, -1)
     base = (
@@ -112,15 +120,15 @@ def rank_rows(
     keys: Sequence[str],
     score: str,
     tie: str,
-    score_cuts: Sequence[float] = (),
-    tie_cuts: Sequence[float] = (),
+    score_cuts: Sequence[float] | None = None,
+    tie_cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """(keys, score, tie, `rank` from 0): highest score first, ties by `tie` ascending.
 
-    `score` must be reproducible (rounded, or read from a written table), since
-    the two passes meet on it.
+    The rows are written once, since the two passes meet on the score.
     """
     keys = list(keys)
+    df = stable(df.select(*keys, score, tie))
     by_score = prefix_sums(df, keys, score, {"n": F.lit(1)}, score_cuts, descending=True)
     by_tie = prefix_sums(df, [*keys, score], tie, {"one": F.lit(1)}, tie_cuts)
     return by_tie.join(by_score.select(*keys, score, "n_before"), [*keys, score]).select(
@@ -156,7 +164,7 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    cuts: Sequence[float] = (),
+    cuts: Sequence[float] | None = None,
     weight: Column | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per key, one column per entry of `probs`.
@@ -182,11 +190,12 @@ def exact_quantiles(
     )
 
 
-def running_min(df: DataFrame, keys: Sequence[str], order: str, value: str, cuts: Sequence[float] = (), descending: bool = True) -> DataFrame:
+def running_min(df: DataFrame, keys: Sequence[str], order: str, value: str, cuts: Sequence[float] | None = None, descending: bool = True) -> DataFrame:
     """(keys, order, value): the smallest `value` at this `order` or any earlier one; descending by default."""
     keys = list(keys)
-    at = df.groupBy(*keys, order).agg(F.min(value).alias(value))
-    at = at.withColumn("_range", range_of(F.col(order).cast("double"), list(cuts)))
+    at = stable(df.groupBy(*keys, order).agg(F.min(value).alias(value)))
+    cuts = cut_points(at, order) if cuts is None else list(cuts)
+    at = at.withColumn("_range", range_of(F.col(order).cast("double"), cuts))
     direction = F.desc if descending else F.asc
     earlier = W.partitionBy(*keys).orderBy(direction("_range")).rowsBetween(W.unboundedPreceding, -1)
     base = at.groupBy(*keys, "_range").agg(F.min(value).alias("_m"))

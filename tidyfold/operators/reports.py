@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyfold.operators.ordering import cut_points, exact_quantiles
+from tidyfold.operators.ordering import exact_quantiles
 
 
 def log_normalize_tidy(values: DataFrame, sample: str, value: str = "value", library_size: float = 1e6) -> DataFrame:
@@ -60,7 +60,7 @@ def histogram(df: DataFrame, value: str, step: float) -> DataFrame:
 
 def quantile_row(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles of a whole column in one row."""
-    return exact_quantiles(df, [], value, probs, cut_points(df, value))
+    return exact_quantiles(df, [], value, probs)
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidyfold.functions.hashing import choice, draw, md5_hex, uniform
 from tidyfold.operators.ordering import hash_rank, prefix_sums, top_k
+from tidyfold.session import stable
 
 
 def sample_positions(rows: DataFrame, sample: str, k: int, feature: str = "feature", seed: int = 0,
@@ -182,7 +183,8 @@ def draw_negatives(anchors: DataFrame, pool: DataFrame, case: str, project: str,
     else:
         candidates = candidates.withColumn("_scope", F.lit("*"))
         scoped = anchors.withColumn("_scope", F.lit("*"))
-    placed, blocks = number_candidates(candidates, "_scope", case, "negative")
+    placed, blocks = number_candidates(stable(candidates), "_scope", case, "negative")
+    blocks = stable(blocks)
     none_left = F.raise_error(F.lit("no row of another patient in the pool")).cast("bigint")
     drawn = _step_over(scoped, blocks, case, sample, seed, hash_fn)
     drawn = drawn.withColumn("position", F.coalesce("position", none_left))

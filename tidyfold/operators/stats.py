@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyfold.operators.ordering import cut_points, exact_quantiles, top_k
+from tidyfold.operators.ordering import exact_quantiles, top_k
+from tidyfold.session import stable
 
 
 def count_of(samples: DataFrame) -> Column:
@@ -138,10 +139,9 @@ def median_absolute_deviation(
 ) -> DataFrame:
     """(feature, median, mad), exact, implied zeros counted."""
     n = n_samples if isinstance(n_samples, Column) else F.lit(n_samples)
-    cuts = cut_points(train, value) if cuts is None else cuts
     counted = train.groupBy(feature, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_w"))
     zeros = train.groupBy(feature).agg((n - F.count("*")).alias("_w")).filter(F.col("_w") > 0)
-    grid = counted.unionByName(zeros.select(feature, F.lit(0.0).alias("_v"), "_w"))
+    grid = stable(counted.unionByName(zeros.select(feature, F.lit(0.0).alias("_v"), "_w")))
     medians = exact_quantiles(grid, [feature], "_v", {"median": 0.5}, cuts, F.col("_w"))
     gaps = grid.join(medians, feature).withColumn("_gap", F.abs(F.col("_v") - F.col("median")))
     mads = exact_quantiles(gaps, [feature], "_gap", {"mad": 0.5}, cuts, F.col("_w"))

@@ -30,8 +30,8 @@ INNER_FOLDS = 5
 
 def time_codes(rows: DataFrame, time: str) -> tuple[DataFrame, int]:
     """(time, code) with codes in time order, and the number of bits they need."""
-    distinct = rows.select(time).distinct()
-    numbered = prefix_sums(distinct, [], time, {"n": F.lit(1)}, cut_points(distinct, time)).select(
+    distinct = stable(rows.select(time).distinct())
+    numbered = prefix_sums(distinct, [], time, {"n": F.lit(1)}).select(
         time, F.col("n_before").alias("code")
     )
     return numbered, max(1, (max(distinct.count(), 1) - 1).bit_length())
@@ -47,7 +47,6 @@ def concordance_sums(rows: DataFrame, stratum: Sequence[str], time: str = "time"
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     base = rows.select(*keys, F.col(time).alias("_t"), F.col(event).cast("boolean").alias("_e"), F.col(risk).alias("_r"), w.alias("_w"))
     codes, bits = time_codes(base, "_t")
-    cuts = cut_points(base, "_r") if risk_cuts is None else list(risk_cuts)
     at = base.join(codes, "_t").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     bit = F.getbit(F.col("code"), F.col("_level").cast("int"))
     prefix = F.floor(F.col("code") / F.pow(F.lit(2.0), F.col("_level") + 1)).cast("bigint")
@@ -56,7 +55,7 @@ def concordance_sums(rows: DataFrame, stratum: Sequence[str], time: str = "time"
         F.when((bit == 0) & F.col("_e"), F.col("_w")).otherwise(0.0).alias("_ask"),
         F.when(bit == 1, F.col("_w")).otherwise(0.0).alias("_have"),
     ).filter((F.col("_ask") > 0) | (F.col("_have") > 0))
-    met = prefix_sums(roles, [*keys, "_level", "_prefix"], "_r", {"ask": F.col("_ask"), "have": F.col("_have")}, cuts)
+    met = prefix_sums(roles, [*keys, "_level", "_prefix"], "_r", {"ask": F.col("_ask"), "have": F.col("_have")}, risk_cuts)
     return met.groupBy(*keys).agg(
         F.sum(F.col("ask") * (F.col("have_before") + 0.5 * F.col("have"))).alias("concordant"),
         F.sum(F.col("ask") * F.col("have_all")).alias("pairs"),
@@ -78,10 +77,9 @@ def stratified_concordance(rows: DataFrame, weights: DataFrame, case: str, strat
     A pair counts with the product of its patients' weights. The macro mean
     takes groups with at least `min_events` observed events.
     """
-    cuts = cut_points(rows, risk)
     weighted = rows.join(weights.select("replicate", case, "weight"), case)
     keys = ["replicate", *dict.fromkeys([*stratum, group])]
-    sums = concordance_sums(weighted, keys, time, event, risk, "weight", cuts)
+    sums = stable(concordance_sums(weighted, keys, time, event, risk, "weight"))
     by_group = sums.groupBy("replicate", group).agg(F.sum("concordant").alias("concordant"), F.sum("pairs").alias("pairs"))
     by_group = by_group.withColumn("c_index", F.try_divide(F.col("concordant"), F.col("pairs")))
     events = rows.groupBy(group).agg(F.sum(F.col(event).cast("int")).alias("_events"))

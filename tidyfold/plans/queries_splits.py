@@ -212,8 +212,7 @@ def select_genome_order(t):
     genes = t.part.select(F.col("p_partkey").alias("gene_index"), F.col("p_type").alias("chromosome"), F.round("p_retailprice", 2).alias("start"))
     ranked = selection.genome_order(genes, chromosomes=("SMALL", "ECONOMY", "LARGE"))
     ranked = ranked.withColumn("before", F.when(F.col("chromosome_rank") < 4, -F.col("start")).otherwise(F.lit(0.0)))
-    cuts = [-c for c in reversed(ordering.cut_points(t.part, "p_retailprice"))]
-    placed = ordering.rank_rows(ranked, ["chromosome_rank"], "before", "gene_index", cuts, ordering.cut_points(t.part, "p_partkey"))
+    placed = ordering.rank_rows(ranked, ["chromosome_rank"], "before", "gene_index")
     return placed.select("gene_index", F.col("chromosome_rank").cast("bigint").alias("chromosome_rank"), F.col("rank").cast("bigint").alias("place"))
 
 

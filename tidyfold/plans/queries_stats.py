@@ -99,10 +99,7 @@ def rank_top_by_rarity(t):
     SELECT sample, feature, (row_number() OVER (PARTITION BY sample ORDER BY score DESC, feature) - 1)::BIGINT AS rank FROM v""")
 def rank_full_order(t):
     rows = roles.values(t).withColumnRenamed("value", "score")
-    parts = t.part.select("p_partkey")
-    ranked = ordering.rank_rows(
-        rows, ["sample"], "score", "feature", ordering.cut_points(t.lineitem, "l_quantity"), ordering.cut_points(parts, "p_partkey")
-    )
+    ranked = ordering.rank_rows(rows, ["sample"], "score", "feature")
     return ranked.select("sample", "feature", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -246,7 +243,6 @@ def baseline_hvg_command(t):
 def quantiles_exact(t):
     return ordering.exact_quantiles(
         t.lineitem, ["l_returnflag"], "l_extendedprice", {"low": 0.01, "middle": 0.5, "high": 0.99},
-        ordering.cut_points(t.lineitem, "l_extendedprice"),
     )
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidyfold.session import stable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,7 +30,13 @@ class Tables:
     """The given tables of one folder, read lazily."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.kept = spark, folder, {}
+
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A small derived table a query reads several times, written once."""
+        if name not in self.kept:
+            self.kept[name] = stable(build())
+        return self.kept[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

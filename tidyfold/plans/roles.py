@@ -31,12 +31,13 @@ def cohort(t) -> DataFrame:
 
 
 def buckets(t) -> DataFrame:
-    return splits.case_buckets(cohort(t), "case_id", "project", SALT, "md5")
+    return t.once("buckets", lambda: splits.case_buckets(cohort(t), "case_id", "project", SALT, "md5"))
 
 
 def bucketed(t) -> DataFrame:
     """Customers with bucket and test fold."""
-    return splits.with_buckets(cohort(t), "case_id", "project", SALT, "md5")
+    placed = buckets(t).select("case_id", "bucket")
+    return cohort(t).join(placed, "case_id").withColumn("test_fold", splits.fold_of(F.col("bucket")))
 
 
 def bucketed_samples(t) -> DataFrame:

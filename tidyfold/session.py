@@ -16,6 +16,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
         .config("spark.sql.adaptive.enabled", "true")
         # Split hot partitions of a join even when that costs one more exchange.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Written tables go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
