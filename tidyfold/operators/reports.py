@@ -208,3 +208,32 @@ def projects_side_by_side(scores: DataFrame, project: str, name: str, score: str
 def difference_of(differences: DataFrame, metrics: DataFrame, key: str = "score") -> DataFrame:
     """Every metric's difference row; null where it kept no replicates."""
     return metrics.join(differences, key, "left")
+
+
+def cohort_report(samples: DataFrame, bucketed: DataFrame, case: str, project: str, sample_type: str, normal: str,
+                  examples: Sequence = ()) -> dict[str, DataFrame]:
+    """Every table of the cohort report, lazily."""
+    from tidyfold.operators.splits import every_split, summarize_folds
+
+    is_normal = F.col(sample_type) == normal
+    cases = bucketed.select(case, project, "bucket", "test_fold").distinct()
+    tables = {
+        "projects": cohort_by_project(samples, project, case, is_normal),
+        "sample_types": value_counts(samples, sample_type),
+        "samples_per_case": per_case_histogram(samples, case),
+        "mixed_cases": mixed_cases(samples, case, is_normal).agg(F.count("*").alias("cases")),
+        "fold_sizes": fold_sizes(every_split(bucketed), case),
+        "project_folds": summarize_folds(bucketed, project),
+        "project_balance": project_balance(cases, project),
+        "type_balance": type_balance(bucketed, sample_type),
+        "type_by_fold": chi_square_statistic(bucketed, sample_type, "test_fold"),
+    }
+    if examples:
+        tables["examples"] = cases.filter(F.col(case).isin(*examples))
+    return tables
+
+
+def score_report(scores: DataFrame, keys: Sequence[str], size: str, score: str, pooled: DataFrame, label: str) -> dict[str, DataFrame]:
+    """The sweep over sizes and how far its rows spread around the pooled scores."""
+    spread_rows = scores.withColumnRenamed(score, "value")
+    return {"sweep": smallest_near_best(scores, keys, size, score), "spread": spread(spread_rows, pooled, keys, label)}

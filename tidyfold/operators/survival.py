@@ -241,7 +241,8 @@ def select_alphas(rows: DataFrame, x: str, model: str, stratum: Sequence[str], r
     inner = F.pmod(md5_hash("inner", seed, F.col(row)), F.lit(n_folds)).cast("int")
     others = F.filter(F.array(*[F.lit(i) for i in range(n_folds)]), lambda i: i != F.col("_inner"))
     marked = stable(rows.withColumn("_inner", inner))
-    fitting = stable(marked.withColumn("_pair", F.col(model) * n_folds + F.explode(others)))
+    fitting = marked.withColumn("_other", F.explode(others))
+    fitting = stable(fitting.withColumn("_pair", F.col(model) * n_folds + F.col("_other")))
     job = CoxJob(fitting, x, "_pair", stratum, time, event)
     held = marked.withColumn("_pair", F.col(model) * n_folds + F.col("_inner"))
     active = {p // n_folds for p in job.n}

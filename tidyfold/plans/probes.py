@@ -67,6 +67,14 @@ def classification_probe(planned: DataFrame, tasks: dict[str, Column], case: str
     return out
 
 
+def invertibility_target(genes: DataFrame, values: DataFrame, sample: str = "sample_index") -> DataFrame:
+    """(sample, target): the fixed target, log-normalised counts of the protein-coding genes."""
+    from tidyfold.functions.arrays import gather, log_normalize
+
+    chosen = selection.select_genes(genes).select("gene_index").orderBy("gene_index").collect()  # the gene axis, a vocabulary
+    return values.select(sample, log_normalize(gather(F.col("values"), [r[0] for r in chosen])).alias("target"))
+
+
 def invertibility(planned: DataFrame, target: str = "target", case: str = "case_submitter_id",
                   alphas: Sequence[float] = linear.ALPHAS, n_bootstrap: int = bootstrap.N_BOOTSTRAP, seed: int = 0,
                   hash_fn: str = "xxhash64") -> DataFrame:

@@ -40,8 +40,8 @@ def probe_classification(t):
 
 @query("probe_invertibility")
 def probe_invertibility(t):
-    """How well a ridge recovers sixteen products of neighbouring entries."""
-    target = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.get("embedding", i - 1) * F.get("embedding", i).cast("double"))
+    """How well a ridge recovers the products of neighbouring entries."""
+    target = F.transform(F.sequence(F.lit(1), F.size("embedding") - 1), lambda i: F.get("embedding", i - 1) * F.get("embedding", i).cast("double"))
     done = probes.invertibility(planned(t).withColumn("target", target), case="case_id", n_bootstrap=R, hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
@@ -77,17 +77,17 @@ def baseline_pca(t):
 @query("ridge_leave_one_out")
 def ridge_leave_one_out(t):
     """The leave-one-out error of every penalty."""
-    rows = t.embeddings.select(F.lit(0).alias("fold"), F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 4).alias("y"))
+    rows = t.embeddings.select(F.lit(0).alias("fold"), F.slice("embedding", 1, 60).alias("x"), F.slice("embedding", 61, 4).alias("y"))
     (fit,) = linear.fit_ridges(rows, "x", "y", "fold").values()
     found = [(float(a), float(e), bool(a == fit.alpha)) for a, e in zip(linear.ALPHAS, fit.errors, strict=True)]
     return t.spark.createDataFrame(found, "alpha double, error double, chosen boolean")
 
 
 @query("ridge_moments", """WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)
-    SELECT a.label, a.d AS i, b.d AS j, round(sum(a.x * b.x), 6) AS cross FROM e a JOIN e b USING (label, vec_id) WHERE a.d < 8 AND b.d < 8 GROUP BY 1, 2, 3""")
+    SELECT a.label, a.d AS i, b.d AS j, round(sum(a.x * b.x), 6) AS cross FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3""")
 def ridge_moments(t):
-    found = linear.moments(t.embeddings.withColumn("x", F.slice("embedding", 1, 8)), "x", "x", "label")
-    rows = [(k, i, j, round(float(m["cross"][i, j]), 6)) for k, m in found.items() for i in range(8) for j in range(8)]
+    found = linear.moments(t.embeddings, "embedding", "embedding", "label")
+    rows = [(k, i, j, round(float(v), 6)) for k, m in found.items() for (i, j), v in np.ndenumerate(m["cross"])]
     return t.spark.createDataFrame(rows, "label int, i int, j int, cross double")
 
 

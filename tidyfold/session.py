@@ -30,11 +30,13 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 def stable(df: DataFrame) -> DataFrame:
     """`df` written to the shared checkpoint folder, so later reads cannot recompute it.
 
-    The folder comes from `spark.checkpoint.dir`; a temporary one is set only
-    where the session names none, as in local tests.
+    The folder comes from `spark.checkpoint.dir`. Where the session names none,
+    a temporary one serves a local master; a cluster must name a shared one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidyfold-checkpoint-"))
     return df.checkpoint()
