@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from tidyfold.session import local_session
 
-    session = local_session("8", 4, "8g")
+    session = local_session("8", 2, "8g")
     yield session
     session.stop()
