@@ -208,7 +208,14 @@ def negatives_any(t):
     return sampling.draw_negatives(anchors, candidates, "case_id", "project", "sample", "any", 30, "md5").select("sample", "negative")
 
 
-@query("negatives_same_project", NEG_BASE + negative_sql("a_scope").replace("a_scope AS scope", "project::VARCHAR AS scope") + ", " + negative_pick("a.project::VARCHAR", 31))
+# A project whose training rows hold one patient takes the whole pool instead.
+SEVERAL_SQL = "several AS (SELECT project FROM samples WHERE split = 'train' GROUP BY 1 HAVING count(DISTINCT case_id) > 1), "
+LOCAL_SQL = negative_sql("'*'").replace("FROM samples WHERE split = 'train')", """FROM samples WHERE split = 'train'
+    UNION ALL SELECT project::VARCHAR, case_id, sample FROM samples WHERE split = 'train' AND project IN (SELECT project FROM several))""", 1)
+OWN_SCOPE = "CASE WHEN a.project IN (SELECT project FROM several) THEN a.project::VARCHAR ELSE '*' END"
+
+
+@query("negatives_same_project", NEG_BASE + SEVERAL_SQL + LOCAL_SQL + ", " + negative_pick(OWN_SCOPE, 31))
 def negatives_same_project(t):
     anchors, candidates = triplet_base(t)
     return sampling.draw_negatives(anchors, candidates, "case_id", "project", "sample", "project", 31, "md5").select("sample", "negative")
