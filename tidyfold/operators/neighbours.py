@@ -82,27 +82,21 @@ def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str =
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            u = _unit_rows(stack(batch["vec"]))
-            away = _angles(u, centres)
-            away[~u.any(axis=1)] = np.pi / 2
-            visits = []
-            for i, found in enumerate(batch["cells"]):
+            for grp, part in batch.groupby("grp", sort=False):
+                found = part["cells"].iloc[0]  # one layout per group
                 ids = np.array([c["cell"] for c in found])
                 n = np.array([c["n"] for c in found])
-                radius = np.array([c["radius"] for c in found])
-                if not u[i].any():
-                    visits.append(ids.tolist())  # every similarity is 0
-                    continue
-                theta = np.where(ids >= 0, away[i][np.maximum(ids, 0)], np.pi / 2)
-                radius = np.where(ids >= 0, radius, 0.0)
+                radius = np.where(ids >= 0, [c["radius"] for c in found], 0.0)
+                u = _unit_rows(stack(part["vec"]))
+                theta = np.where(ids >= 0, _angles(u, centres)[:, np.maximum(ids, 0)], np.pi / 2)
                 far = np.minimum(theta + radius, np.pi)
-                order = np.argsort(far)
-                enough = np.searchsorted(np.cumsum(n[order]), k)
-                bound = far[order[min(enough, len(order) - 1)]]
-                visits.append(ids[theta - radius <= bound + SLACK].tolist())
-            yield pd.DataFrame({"grp": batch["grp"], "qid": batch["qid"], "vec": list(u), "cells": visits})
+                order = np.argsort(far, axis=1)
+                enough = (np.cumsum(n[order], axis=1) < k).sum(axis=1).clip(max=len(ids) - 1)
+                bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
+                near = theta - radius <= bound + SLACK
+                near[~u.any(axis=1)] = True  # a zero query is alike to all: every similarity is 0
+                visits = [ids[row].tolist() for row in near]
+                yield pd.DataFrame({"grp": grp, "qid": part["qid"].to_numpy(), "vec": list(u), "cells": visits})
 
     routed = asked.mapInPandas(route, f"grp {g_type}, qid {q_type}, vec array<double>, cells array<int>")
     visits = routed.select("grp", "qid", "vec", F.explode("cells").alias("cell"))
@@ -117,13 +111,18 @@ def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str =
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                rids = np.asarray(row.rids)
-                sim = stack(row.qvecs) @ stack(row.rvecs).T
-                order = np.lexsort((np.broadcast_to(rids, sim.shape), -sim), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, axis=1)
-                yield pd.DataFrame({
-                    "qid": np.repeat(np.asarray(row.qids), order.shape[1]), "rid": rids[order].ravel(), "similarity": best.ravel()
-                })
+                by_id = np.argsort(np.asarray(row.rids))
+                rids, qids = np.asarray(row.rids)[by_id], np.asarray(row.qids)
+                sim = stack(row.qvecs) @ stack(row.rvecs)[by_id].T
+                if sim.shape[1] > k:
+                    edge = np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]]
+                    above, level = sim > edge, sim == edge
+                    # Of those level with the k-th, the first by id fill the places left.
+                    keep = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+                else:
+                    keep = np.ones(sim.shape, dtype=bool)
+                at, which = np.nonzero(keep)
+                yield pd.DataFrame({"qid": qids[at], "rid": rids[which], "similarity": sim[at, which]})
 
     # Rows here are whole blocks, so a few per Arrow batch are plenty.
     met = asks.join(blocks, ["grp", "cell"]).select("qids", "qvecs", "rids", "rvecs")
