@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import chat, mixing
+from tidyfold.llm import chat, mixing, neardup, tokens
 
-QUERIES = {"op1_chat_formatting": chat.op1_chat_formatting, "op3_mixing": mixing.op3_mixing}
-ORACLES = {"op3_mixing": mixing.SQL}
+QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_token_counts": tokens.op2_token_counts,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_near_duplicates": neardup.op4_near_duplicates,
+}
+ORACLES = {
+    "op3_mixing": mixing.SQL,
+    "op4_near_duplicates": neardup.SQL,
+}
