@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import chat, mixing, neardup, tokens
+from tidyfold.llm import chat, maxscore, mixing, neardup, scoring, tokens
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_lm_scoring": scoring.op5_lm_scoring,
+    "op6_top_products": maxscore.op6_top_products,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_near_duplicates": neardup.SQL,
+    "op6_top_products": maxscore.SQL,
 }
