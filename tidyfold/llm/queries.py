@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import chat, maxscore, mixing, neardup, scoring, tokens
+from tidyfold.llm import chat, decontaminate, language, maxscore, mixing, neardup, scoring, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -11,9 +11,13 @@ QUERIES = {
     "op4_near_duplicates": neardup.op4_near_duplicates,
     "op5_lm_scoring": scoring.op5_lm_scoring,
     "op6_top_products": maxscore.op6_top_products,
+    "op7_language_id": language.op7_language_id,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
     "op4_near_duplicates": neardup.SQL,
     "op6_top_products": maxscore.SQL,
+    "op9_decontamination": decontaminate.SQL,
 }
