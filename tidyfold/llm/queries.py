@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import chat, decontaminate, language, maxscore, mixing, neardup, scoring, tokens, toxicity
+from tidyfold.llm import chat, decontaminate, language, maxscore, mixing, neardup, scoring, suffixdedup, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language.op7_language_id,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
