@@ -38,6 +38,15 @@ def written(df: DataFrame, blocks: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids or hashes is sent to all executors; beyond, it is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """`small` to be broadcast if its measured rows are within the bound, otherwise as it is."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

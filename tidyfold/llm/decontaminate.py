@@ -18,11 +18,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyfold.llm.common import table, written
+from tidyfold.llm.common import sent, table, written
 
 PERCENT, WIDTH = 75, 5
-#: Rows up to which a table of hashes or ids is sent to all executors; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\n\x0b\f\r"
 
 
@@ -48,11 +46,6 @@ def spelled(parts: list[Column]) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def sent(small: DataFrame) -> DataFrame:
-    """`small` to be broadcast if its measured rows are within the bound, otherwise as it is."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment) of each document row and item it contains.
 

@@ -92,7 +92,7 @@ def suffix_array(text: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
     at = np.minimum.accumulate(at[::-1])[::-1]
     smaller = end | (text[np.minimum(at + 1, n - 1)] > text[at]) & ~end[at]
     left = np.append(False, ~smaller[:-1]) & smaller & ~begin  # leftmost smaller
-    places = np.flatnonzero(left)
+    places = np.flatnonzero(left).astype(np.int32 if n < 2**31 else np.int64)
     rough = places[np.argsort(text[places], kind="stable")]
     order = _induce(text, smaller, begin, rough, size)
     order = order[left[order]]
@@ -130,7 +130,7 @@ def permuted_prefixes(text: np.ndarray, starts: np.ndarray, order: np.ndarray, m
     all records (which begin at `starts`) step along together.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int16)
     lengths = np.diff(np.append(starts, n))

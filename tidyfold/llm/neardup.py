@@ -11,16 +11,16 @@ with probability (1 - 0.75^4)^32 < 6e-6.
 No step emits the pairs of a group:
 
 1. Documents with the same set are one class; its smallest id stands for it.
-2. In each band bucket the members are compared with its leader (the smallest
-   id). Each member verifies only its most similar leader first; sketches whose
-   agreement is below FLOOR (over 6 standard deviations off) can't be links.
-3. Links are joined to components by alternating large-star and small-star
-   steps. Buckets whose members still lie in several components go into further
-   rounds with further leaders, until every bucket's members are in one
-   component or all its pairs were compared; so no link that joins components
-   is lost, and pairs within a component need not be looked at.
-
-Verification counts the shared shingles of both full texts, never sketches.
+2. The members of a band bucket are compared by sketch; those that agree in
+   FLOOR coordinates (links agree in fewer with probability below 1e-9) are joined,
+   and only a spanning forest of each bucket leaves its task.
+3. The forests' components are the candidate groups: every link lies within one.
+4. Within a group all members' full sets are compared, each by what it lacks and
+   has beyond one of them, so near copies cost what they differ in. Again only a
+   spanning forest leaves the task.
+
+Buckets and groups beyond BLOCK members are dealt to tasks by pairs of blocks, so
+no task holds more than two blocks, and no link is lost.
 """
 
 from __future__ import annotations
@@ -30,18 +30,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidyfold.llm.common import batches, mix, shingles, string_bytes, table, words, written
+from tidyfold.llm.common import batches, mix, sent, shingles, string_bytes, table, words, written
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
 PERCENT, WIDTH = 75, 5
-#: Coordinates two sketches must agree in to be verified.
-FLOOR = T // 2
-#: Leaders that a bucket compares in one of the later rounds.
-LEADERS = 16
+#: Coordinates two sketches must agree in; members of a block.
+FLOOR, BLOCK = T // 2, 2000
 
 _ROUND = mix(np.arange(2 * T, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(7))
 _BITS = np.uint64(64 - (T - 1).bit_length())
@@ -84,7 +81,7 @@ SIGNED = "doc_id long, n_shingles long, whole binary, agree binary, bands array<
 
 
 def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets, digests and sketches. `agree` holds 16 bits of each coordinate; 128 agreements by chance don't occur."""
+    """Sets' sizes, digests and sketches. `agree` holds 8 bits of each coordinate, so half a coordinate agrees by chance."""
     for part in batches(parts):
         sizes, whole, agree, bands = [], [], [], []
         for found in text_sets(part.column(1)):
@@ -92,9 +89,9 @@ def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(found) == 0:
                 whole.append(None), agree.append(None), bands.append(None)
                 continue
-            whole.append(found.sum(dtype=np.uint64).tobytes() + mix(found ^ np.uint64(5)).sum(dtype=np.uint64).tobytes())
+            whole.append(digest(found))
             coordinates = sketch(found)
-            agree.append((coordinates >> np.uint64(20)).astype(np.uint16).tobytes())
+            agree.append((coordinates >> np.uint64(20)).astype(np.uint8).tobytes())
             bands.append(band_keys(coordinates).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [part.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array(agree, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
@@ -102,21 +99,160 @@ def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _agreements(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Coordinates in which the sketches of each pair agree."""
+def digest(found: np.ndarray) -> bytes:
+    """128 bits of a set."""
+    return found.sum(dtype=np.uint64).tobytes() + mix(found ^ np.uint64(5)).sum(dtype=np.uint64).tobytes()
+
+
+def _groups(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows that stand sorted by `keys`, cut between groups; a piece holds whole groups only."""
+    rest = None
     for part in parts:
-        left, right = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint16).reshape(-1, T) for k in (2, 3))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array((left == right).sum(axis=1).astype(np.int32))], names=["a", "b", "same"])
+        piece = pa.Table.from_batches([part])
+        rest = piece if rest is None else pa.concat_tables([rest, piece])
+        if rest.num_rows == 0:
+            continue
+        last = [rest.column(k)[-1] for k in keys]
+        behind = rest.num_rows
+        same = np.ones(rest.num_rows, bool)
+        for k, v in zip(keys, last):
+            same &= np.asarray(rest.column(k)) == v.as_py()
+        behind = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if behind:
+            yield rest.slice(0, behind)
+            rest = rest.slice(behind)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class Forest:
+    """Union-find over places; smaller places are roots."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def root(self, a: int) -> int:
+        up = self.up
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        return a
+
+    def join(self, a: int, others: np.ndarray) -> None:
+        for b in others.tolist():
+            x, y = self.root(a), self.root(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """(root, place) of all places that aren't roots."""
+        roots = np.array([self.root(k) for k in range(len(self.up))], np.int64)
+        some = np.flatnonzero(roots != np.arange(len(roots)))
+        return roots[some], some
+
+
+def _cuts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        v = np.asarray(rows.column(k))
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), rows.num_rows)
+
+
+GROUPED = ["key", "i", "j"]
+EDGES = "a long, b long"
+
+
+def _alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning forests of buckets' members by agreeing sketches. Small buckets are compared together, by distance in the order."""
+    for rows in _groups(parts, GROUPED):
+        ids, block = np.asarray(rows.column("id")), np.asarray(rows.column("part"))
+        agree = np.frombuffer(b"".join(rows.column("agree").to_pylist()), np.uint8).reshape(-1, T)
+        cuts = _cuts(rows, GROUPED)
+        sizes = np.diff(cuts)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        pairs, small = [], sizes <= 16
+        for lag in range(1, int(sizes[small].max()) if small.any() else 1):
+            a = np.flatnonzero((owner[lag:] == owner[:-lag]) & small[owner[lag:]])
+            good = (agree[a] == agree[a + lag]).sum(axis=1) >= FLOOR
+            pairs.append(np.stack([ids[a[good]], ids[a[good] + lag]]))
+        for g in np.flatnonzero(~small):
+            at, to = cuts[g], cuts[g + 1]
+            mine, forest = agree[at:to], Forest(to - at)
+            crossing = rows.column("i")[at].as_py() != rows.column("j")[at].as_py()
+            for k in range(to - at - 1):
+                other = np.flatnonzero((mine[k + 1 :] == mine[k]).sum(axis=1) >= FLOOR) + k + 1
+                if crossing:  # pairs within a block are another task's
+                    other = other[block[at + other] != block[at + k]]
+                forest.join(k, other)
+            pairs.append(np.stack([ids[at + e] for e in forest.edges()]))
+        both = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], names=["a", "b"])
+
+
+def links(sets: list[np.ndarray], block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (places) of the sets with 100 * both >= PERCENT * either, all pairs considered (those of one block, if given, not).
+
+    With one set as the middle, two sets share what neither lacks of it and what
+    both have beyond it; so only the differences are looked up.
+    """
+    n, forest = len(sets), Forest(len(sets))
+    sizes = np.array([len(s) for s in sets])
+    middle = sets[0]
+    lacks = [np.setdiff1d(middle, s, assume_unique=True) for s in sets]
+    extra = [np.setdiff1d(s, middle, assume_unique=True) for s in sets]
+    lack = np.array([len(x) for x in lacks])
+    differs = [np.concatenate(x) for x in zip(lacks, extra)]
+    whole = np.concatenate(differs)
+    owner = np.repeat(np.arange(n), [len(x) for x in differs])
+    order = np.argsort(whole, kind="stable")
+    whole, owner = whole[order], owner[order]
+    low = np.searchsorted(whole, np.concatenate(differs), side="left")
+    high = np.searchsorted(whole, np.concatenate(differs), side="right")
+    at = np.cumsum([0, *map(len, differs)])
+    for k in range(n - 1):
+        a, b = low[at[k] : at[k + 1]], high[at[k] : at[k + 1]]
+        several = b - a > 1
+        a, b = a[several], b[several]
+        count = b - a
+        hits = owner[np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        both = len(middle) - lack[k] - lack + np.bincount(hits, minlength=n)
+        good = 100 * both >= PERCENT * (sizes[k] + sizes - both)
+        other = np.flatnonzero(good[k + 1 :]) + k + 1
+        if block is not None:
+            other = other[block[other] != block[k]]
+        forest.join(k, other)
+    return forest.edges()
 
 
 def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full texts share enough shingles."""
-    for part in batches(parts, 500):
-        keep = []
-        for one, two in zip(text_sets(part.column(2)), text_sets(part.column(3))):
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(one) + len(two) - both))
-        yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Spanning forests of groups' members by their full sets."""
+    for rows in _groups(parts, GROUPED):
+        ids, cuts, out = np.asarray(rows.column("id")), _cuts(rows, GROUPED), []
+        block = np.asarray(rows.column("part"))
+        for at, to in zip(cuts[:-1], cuts[1:]):
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("found").slice(at, to - at)]
+            crossing = rows.column("i")[at].as_py() != rows.column("j")[at].as_py()
+            out.append(np.stack([ids[at + e] for e in links(sets, block[at:to] if crossing else None)]))
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], names=["a", "b"])
+
+
+def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets of texts whose digest is the class's."""
+    for part in batches(parts):
+        found = list(text_sets(part.column(1)))
+        mine = pa.array([len(x) > 0 and digest(x) == d for x, d in zip(found, part.column(2).to_pylist())], pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "key", "n", "found"]).filter(mine)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (id, key, n, ...) of groups of n, each group as one task's rows or as pairs of blocks (i <= j); sorted within partitions."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("_m", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    places = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
+    return rows.withColumn("_at", F.explode(places)).select(*[c for c in rows.columns if c not in ("_m", "n")], "_at.i", "_at.j").repartition(*GROUPED).sortWithinPartitions(*GROUPED, "id")
 
 
 def smallest(edges: DataFrame) -> DataFrame:
@@ -153,78 +289,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are runs of [^\\x20\\x09-\\x0D], A-Z lower-cased; shingles are five
     words, or the whole of a shorter text. Null texts and texts without words
-    have no set and are linked with nothing. Rows of one id are one document per
-    row with the same component only if their sets link; a null id takes no part
-    and is its own component (null). Empty tables give empty results.
+    have no set and are linked with nothing. Rows of one id count as one
+    document with all their sets, in one component; a null id takes no part and
+    its component is null. Empty tables give empty results.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = written(docs.mapInArrow(_sign, SIGNED))
-    classes = signed.filter("whole is not null and doc_id is not null").groupBy("whole", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("agree", "doc_id").alias("agree"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("rows"))
-    classes = written(classes)
+    classes = signed.filter("whole is not null and doc_id is not null").groupBy("whole", "n_shingles").agg(F.min("doc_id").alias("id"))
+    first = signed.filter("whole is not null").select("whole", F.col("doc_id").alias("id"), "agree", "bands").dropDuplicates(["whole", "id"])
+    classes = written(classes.join(first, ["whole", "id"]))
     # Buckets of two members at least; a bucket is its band's key.
-    spread = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader <> _last").drop("_last")
-    members = written(spread.join(shared, "bucket"))
-    sketches = classes.select("id", "agree")
-    texts = docs.withColumnRenamed("doc_id", "id")
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(sketches.select(F.col("id").alias("a"), F.col("agree").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("agree").alias("y")), "b")
-        return found.select("a", "b", "x", "y").mapInArrow(_agreements, "a long, b long, same int").filter(F.col("same") >= FLOOR)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among the pairs. Texts are read again for the ids in question only; of repeated ids any row serves whose set is the class's."""
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        own = texts.join(ids, "id").groupBy("id").agg(F.max("text").alias("text"))
-        full = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
-
-    star = written(alike(members.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()))
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(verified(best))
-    compared = best
-    roots = smallest(links)
-    candidates = star.select("a", "b").join(best, ["a", "b"], "left_anti")
-    done = 1  # members of every bucket, by rank, that were its leader
-    while True:
-        apart = _apart(candidates, roots)
-        fresh = written(apart)
-        if fresh.isEmpty():
-            # All pairs with the leaders so far are settled: buckets that still hold several components get further leaders.
-            candidates, more = _further(members, roots, done)
-            if not more:
-                break
-            candidates = written(alike(candidates))
-            done += LEADERS
-            continue
-        links = written(links.unionByName(verified(fresh)))
-        compared = fresh
-        roots = smallest(links)
-        candidates = candidates.join(compared, ["a", "b"], "left_anti")
+    spread = classes.select("id", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = spread.join(shared, "key").join(classes.select("id", "agree"), "id")
+    near = written(dealt(members).select(*GROUPED, "part", "id", "agree").mapInArrow(_alike, EDGES).distinct())
+    groups = smallest(near)
+    groups = written(groups.unionByName(groups.select(F.col("root").alias("id"), "root").distinct()))
+    ids = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(classes.select("id", "whole"), "id").select("id", "whole", F.col("root").alias("key"), "n")
+    texts = docs.join(sent(ids), F.col("doc_id") == F.col("id")).select("id", "text", "whole", "key", "n").mapInArrow(_sets, "id long, key long, n long, found binary")
+    full = dealt(texts).select(*GROUPED, "part", "id", "found").mapInArrow(_linked, EDGES)
+    roots = smallest(full)
     same = signed.select("doc_id", "n_shingles", "whole").join(classes.select("whole", "id"), "whole", "left")
-    out = same.join(roots, "id", "left").select("doc_id", "n_shingles", F.coalesce("root", "id", "doc_id").alias("component_id"))
+    out = same.join(roots, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components, one per pair of an id and a component: its least partner there."""
-    found = pairs.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return found.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b").distinct()
-
-
-def _further(members: DataFrame, roots: DataFrame, done: int) -> tuple[DataFrame, bool]:
-    """Pairs of each unsettled bucket's next leaders with its other members, across components."""
-    placed = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y"), F.count(F.lit(1)).alias("_n")).filter(f"_x <> _y and _n > {done + 1}").select("bucket")
-    placed = written(placed.join(open_, "bucket"))
-    if placed.isEmpty():
-        return placed, False
-    ranked = placed.withColumn("_k", F.row_number().over(W.partitionBy("bucket").orderBy("id")))
-    heads = ranked.filter((F.col("_k") > done) & (F.col("_k") <= done + LEADERS)).select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    pairs = placed.join(heads, "bucket").filter((F.col("id") > F.col("a")) & (F.col("root") != F.col("ra"))).select("a", F.col("id").alias("b")).distinct()
-    return pairs, True
-
-
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 

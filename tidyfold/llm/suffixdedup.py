@@ -27,8 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidyfold.llm.common import mix, powers, string_bytes, table, written
 from tidyfold.llm.induced import permuted_prefixes, suffix_array
@@ -36,7 +38,7 @@ from tidyfold.llm.induced import permuted_prefixes, suffix_array
 LENGTH, K = 50, 16
 WINDOWS = LENGTH - K + 1
 #: Bytes of text in a block and, on average, behind a shard.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 _SLICE = 1 << 19
 _LARGEST = np.iinfo(np.int64).max
 _CODE = mix(np.arange(256, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(77))
@@ -117,7 +119,7 @@ def _content_hashes(raw: np.ndarray, start: np.ndarray, count: np.ndarray) -> np
 
 
 def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: ids, texts' bounds, text."""
+    """Blocks of documents: ids, texts' bounds, text, other columns."""
     for part in parts:
         raw, bounds = string_bytes(part.column(2))
         at = 0
@@ -125,8 +127,8 @@ def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES, side="right")) - 1)
             rows = part.slice(at, to - at)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).slice(0, 1), pa.array([rows.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(bounds[at : to + 1]).tolist()], pa.list_(pa.int64())), pa.array([_press(raw[bounds[at] : bounds[to]])], pa.binary())],
-                names=["block", "ids", "sizes", "packed"],
+                [rows.column(0).slice(0, 1), pa.array([rows.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(bounds[at : to + 1]).tolist()], pa.list_(pa.int64())), pa.array([_press(raw[bounds[at] : bounds[to]])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), pa.concat_arrays([rows.column(3)]))],
+                names=["block", "ids", "sizes", "packed", "others"],
             )
             at = to
 
@@ -254,6 +256,11 @@ def least_owners(raw: np.ndarray, count: np.ndarray, low: np.ndarray) -> np.ndar
     return out[window]
 
 
+def _grams(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Bounds of each content's K-grams, for reduceat: begin, end, begin, end, ..."""
+    return np.stack([starts, starts + count + LENGTH - K], axis=1).ravel()[: 2 * len(starts) - 1]
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """Each block's contents' windows' least ids, as runs of equal ids."""
     counts = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("counts")]
@@ -262,9 +269,17 @@ def _answer(group: pa.Table) -> pa.Table:
     # One of each content, with the least id over the blocks.
     starts = np.cumsum(count + LENGTH - 1) - count - LENGTH + 1
     _, first, index = np.unique(_content_hashes(raw, starts, count), return_index=True, return_inverse=True)
-    sizes = count[first] + LENGTH - 1
-    at = np.repeat(starts[first] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    found = least_owners(raw[at], count[first], _least(low, index, len(first)))
+    least = _least(low, index, len(first))
+    found = np.repeat(least, count[first])
+    # A content whose owner has no other content shares no window with any other; the rest are sorted.
+    owner = np.minimum.reduceat(gram_hashes(raw) & ~np.uint64(0xFFFFF), _grams(starts, count))[::2][first]
+    _, alike, members = np.unique(owner, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(members[alike] > 1)
+    if len(some):
+        mine = first[some]
+        sizes = count[mine] + LENGTH - 1
+        at = np.repeat(starts[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        found[np.repeat(members[alike] > 1, count[first])] = least_owners(raw[at], count[mine], least[some])
     begins = np.cumsum(count[first]) - count[first]
     out, k = [], 0
     for c in counts:
@@ -277,20 +292,21 @@ def _answer(group: pa.Table) -> pa.Table:
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+COUNTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
 def _remove(shards: int, content: bool):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        out = {k: [] for k in COUNTS}
         if left.num_rows:
             block = Block.of(left)
             gone = np.zeros(len(block.raw) + 1, np.int32)  # +1 where a removed window begins, -1 behind its end
-            some = _repeating(block, right.filter(pa.compute.is_valid(right.column("bits"))), shards) if right.num_rows else np.zeros(0, np.int64)
+            some = _repeating(block, right.filter(pc.is_valid(right.column("bits"))), shards) if right.num_rows else np.zeros(0, np.int64)
             if len(some):
                 one, index, cuts = block.contents(some, shards)
                 begins = np.cumsum(block.count[one]) - block.count[one]
                 least = np.full(int(block.count[one].sum()), _LARGEST, np.int64)
-                answers = right.filter(pa.compute.is_valid(right.column("least")))
+                answers = right.filter(pc.is_valid(right.column("least")))
                 for s, raw in zip(answers.column("shard").to_pylist(), answers.column("least").to_pylist()):
                     n, both = int.from_bytes(raw[:4], "little"), _expand(raw[4:], np.int64)
                     if cuts[s + 1] > cuts[s]:
@@ -309,30 +325,35 @@ def _remove(shards: int, content: bool):
                 kept = block.raw[a:b][~mask].tobytes()
                 for name, v in zip(out, (i, int(b - a), int(mask.sum()), int((mask & ~np.append(False, mask[:-1])).sum()) if b > a else 0, hashlib.sha256(kept).hexdigest(), kept if content else None)):
                     out[name].append(v)
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))})
+        columns = {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))}
+        return pa.table(columns | {"others": left.column("others").combine_chunks().flatten() if left.num_rows else pa.array([], left.schema.field("others").type.value_type)})
 
     return work
 
 
 def remove_repeats(docs: DataFrame, content: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of (doc_id, text).
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, others) for each row of (doc_id, text, ...).
 
-    `kept` are the remaining bytes (null unless `content`). Null texts are empty.
+    `kept` are the remaining bytes (null unless `content`), `others` is a struct
+    of the row's columns but its text. Null texts are empty.
     Rows of one id are documents of their own that don't take from each other; a
     null id counts as larger than all others. Texts shorter than LENGTH stay.
-    Empty tables give empty results. Other columns are left out.
+    Empty tables give empty results.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = written(rows.mapInArrow(_pack, "block long, ids array<long>, sizes array<long>, packed binary"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"), others.alias("others"))
+    kind = rows.schema["others"].dataType
+    blocks = written(rows.mapInArrow(_pack, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("packed", T.BinaryType()), T.StructField("others", T.ArrayType(kind))])))
+    texts = blocks.drop("others")
     total = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = int(total // SHARD_BYTES + 1)
-    bits = blocks.mapInArrow(_send_owners(shards), "shard int, block long, owners binary, low binary, over binary").groupBy("shard").applyInArrow(_shared, "shard int, block long, bits binary")
+    bits = texts.mapInArrow(_send_owners(shards), "shard int, block long, owners binary, low binary, over binary").groupBy("shard").applyInArrow(_shared, "shard int, block long, bits binary")
     bits = written(bits)
-    contents = blocks.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_contents(shards), "shard int, block long, texts binary, counts binary, low binary")
+    contents = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_contents(shards), "shard int, block long, texts binary, counts binary, low binary")
     least = contents.groupBy("shard").applyInArrow(_answer, "shard int, block long, least binary")
     answers = bits.withColumn("least", F.lit(None).cast("binary")).unionByName(least.withColumn("bits", F.lit(None).cast("binary")))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(shards, content), KEPT)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(shards, content), T._parse_datatype_string(KEPT).add("others", kind))
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return remove_repeats(table(spark, folder, "documents"), content=False).drop("kept")
+    return remove_repeats(table(spark, folder, "documents"), content=False).drop("kept", "others")
