@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LIBRARY_SIZE = 1e6
+LIBRARY_SIZE = 1e5  # fixed value: the study's default library size
 TRANSFORMS = ("none", "log1p", "lognorm")
 
 

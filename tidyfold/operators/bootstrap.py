@@ -1,4 +1,4 @@
-"""Confidence intervals by resampling patients.
+"""Patient resampling and the intervals it gives.
 
 A replicate draws as many cases as there are, with replacement. Weights are a
 sparse (replicate, case, weight) table; replicate 0 is the observed data. Rows

@@ -85,7 +85,7 @@ def correlation_rows(values: DataFrame, stats: DataFrame, sample: str, feature:
 
 def coexpression_graph(values: DataFrame, stats: DataFrame, sample: str, k: int = DEFAULT_K,
                        threshold: float = DEFAULT_THRESHOLD, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(source, target, weight): |r| >= threshold, each feature's k - 1 best, both directions, self-edges of 1.
+    """(source, target, weight): |r| >= threshold and above 0, each feature's k - 1 best, both directions, self-edges of 1.
 
     A row of the matrix is cut to its k - 1 best before it is exploded.
     Constant features keep only their self-edge.
@@ -93,7 +93,7 @@ def coexpression_graph(values: DataFrame, stats: DataFrame, sample: str, k: int
     stats = stable(stats)
     rows, names = correlation_rows(values, stats, sample, feature, value)
     marked = F.transform("row", lambda r, i: F.struct((-F.abs(r)).alias("o"), i.alias("j")))
-    strong = F.filter(marked, lambda s: (s["j"] != F.col("index")) & (-s["o"] >= threshold))
+    strong = F.filter(marked, lambda s: (s["j"] != F.col("index")) & (-s["o"] >= threshold) & (-s["o"] > 0))
     best = rows.select("index", F.explode(F.slice(F.array_sort(strong), 1, max(k - 1, 1))).alias("s"))
     one_way = best.select(F.col("index").alias("i"), F.col("s.j").alias("j"), (-F.col("s.o")).alias("weight"))
     if k <= 1:

@@ -7,6 +7,7 @@ bounds d, so what reaches the driver never grows with the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,6 +44,12 @@ def stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def rows_scaled(x: np.ndarray, centre: bool = False) -> np.ndarray:
+    """Rows, centred if asked for, at unit length; a row without length stays zero."""
+    x = x - x.mean(axis=1, keepdims=True) if centre else x
+    return np.divide(x, np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], out=np.zeros_like(x), where=(x != 0).any(axis=1)[:, None])
+
+
 def moments(df: DataFrame, left: str, right: str, key: str | None = None) -> dict:
     """Per key: n, sums of both sides, and the cross products leftᵀ[left | right].
 
@@ -84,9 +91,9 @@ def covariance(m: dict) -> np.ndarray:
 def spectrum_scores(cov: np.ndarray) -> tuple[float, float]:
     """Effective rank and top share of covariance eigenvalues."""
     values = np.clip(np.linalg.eigvalsh(cov), 0.0, None)
-    share = values / values.sum()
-    share = share[share > 0]
-    return float(np.exp(-(share * np.log(share)).sum())), float(share.max())
+    # Entropy of the shares v / total is log(total) - sum(v log v) / total.
+    total, logs = values.sum(), np.log(values, out=np.zeros_like(values), where=values > 0)
+    return float(total * np.exp(-(values @ logs) / total)), float(values[-1] / total)
 
 
 def spectrum(df: DataFrame, vector: str, key: str | None = None) -> DataFrame:
@@ -267,7 +274,8 @@ def fit_linear_probe(train: DataFrame, x: str, label: str, max_iter: int = 2000)
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.feature import ElementwiseProduct, IndexToString, StandardScaler, StringIndexer
 
     ready = train.withColumn("_x", array_to_vector(F.transform(x, lambda v: v.cast("double")))).withColumn(
         "_label", F.col(label).cast("string")
@@ -276,7 +284,9 @@ def fit_linear_probe(train: DataFrame, x: str, label: str, max_iter: int = 2000)
     indexer = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(ready)
     stages = [
         indexer,
-        StandardScaler(inputCol="_x", outputCol="_z", withMean=True, withStd=True),
+        StandardScaler(inputCol="_x", outputCol="_s", withMean=True, withStd=True),
+        # Spark's scaler divides by the sample deviation; the probe by the population's.
+        ElementwiseProduct(inputCol="_s", outputCol="_z", scalingVec=Vectors.dense([math.sqrt(n / max(1, n - 1))] * width(train, x))),
         LogisticRegression(featuresCol="_z", labelCol="_y", predictionCol="_c", rawPredictionCol="_raw", probabilityCol="_prob",
                            maxIter=max_iter, regParam=1.0 / n, elasticNetParam=0.0, standardization=False, tol=1e-6),
         IndexToString(inputCol="_c", outputCol="pred", labels=indexer.labels),
@@ -289,4 +299,4 @@ def predict_linear_probe(model, rows: DataFrame, x: str) -> DataFrame:
     from pyspark.ml import PipelineModel
 
     ready = rows.withColumn("_x", array_to_vector(F.transform(x, lambda v: v.cast("double"))))
-    return PipelineModel(model.stages[1:]).transform(ready).drop("_x", "_z", "_raw", "_prob", "_c")
+    return PipelineModel(model.stages[1:]).transform(ready).drop("_x", "_s", "_z", "_raw", "_prob", "_c")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidyfold.functions.arrays import dot, unit
 from tidyfold.functions.hashing import md5_hex
-from tidyfold.operators.linear import stack
+from tidyfold.operators.linear import rows_scaled, stack
 from tidyfold.operators.metrics import sum_vectors
 from tidyfold.operators.ordering import top_k
 
@@ -26,11 +26,6 @@ PIVOTS = 32
 SLACK = 1e-6
 
 
-def _unit_rows(x: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(length > 0, length, 1.0)
-
-
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
@@ -47,7 +42,7 @@ def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str =
     if not seeds:
         return query.select(qid, F.lit(None).cast("bigint").alias(rid), F.lit(None).cast("double").alias("similarity"),
                             F.lit(None).cast("int").alias("rank")).limit(0)
-    centres = _unit_rows(np.asarray(seeds, dtype=np.float64))
+    centres = rows_scaled(np.asarray(seeds, dtype=np.float64))
     r_type, q_type = reference.schema[rid].dataType.simpleString(), query.schema[qid].dataType.simpleString()
     g_type = reference.schema[group].dataType.simpleString()
 
@@ -55,7 +50,7 @@ def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str =
         for batch in batches:
             if not len(batch):
                 continue
-            u = _unit_rows(stack(batch[vector]))
+            u = rows_scaled(stack(batch[vector]))
             away = _angles(u, centres)
             # A zero row has similarity 0 with everything: a right angle from any query.
             away[~u.any(axis=1)] = np.pi / 2
@@ -87,7 +82,7 @@ def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str =
                 ids = np.array([c["cell"] for c in found])
                 n = np.array([c["n"] for c in found])
                 radius = np.where(ids >= 0, [c["radius"] for c in found], 0.0)
-                u = _unit_rows(stack(part["vec"]))
+                u = rows_scaled(stack(part["vec"]))
                 theta = np.where(ids >= 0, _angles(u, centres)[:, np.maximum(ids, 0)], np.pi / 2)
                 far = np.minimum(theta + radius, np.pi)
                 order = np.argsort(far, axis=1)
@@ -168,14 +163,15 @@ def silhouettes(df: DataFrame, row: str, vector: str, label: str, keys: Sequence
     """(keys, row, silhouette) with cosine distance, from class sums instead of pairs.
 
     With unit rows u and class sums m: a = (n - u·m) / (n - 1) inside the class,
-    b = min over other classes of 1 - u·m_c / n_c. A class of one scores 0.
+    b = min over other classes of 1 - u·m_c / n_c. A class of one scores 0;
+    with one class, or as many classes as rows, there is no score.
     """
     keys = list(keys)
     units = df.select(*keys, row, label, unit(F.col(vector)).alias("_u")).withColumn(
         "_zero", (dot(F.col("_u"), F.col("_u")) == 0).cast("double")
     )
     sums = sum_vectors(units, [*keys, label], "_u", "_m")
-    classes = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("c"), "_m", "n")).alias("_all"), F.count("*").alias("_k"))
+    classes = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("c"), "_m", "n")).alias("_all"), F.count("*").alias("_k"), F.sum("n").alias("_rows"))
     many = F.raise_error(F.lit("too many classes for a silhouette")).cast("bigint")
     classes = classes.withColumn("_k", F.when(F.col("_k") > MAX_CLASSES, many).otherwise(F.col("_k")))
     met = units.join(classes, keys) if keys else units.withColumn("_j", F.lit(0)).join(classes.withColumn("_j", F.lit(0)), "_j").drop("_j")
@@ -188,7 +184,7 @@ def silhouettes(df: DataFrame, row: str, vector: str, label: str, keys: Sequence
     a = (n - F.col("_own.d") - F.col("_zero")) / F.when(n > 1, n - 1)
     b = F.array_min(F.transform(F.filter("_d", lambda s: s["c"] != F.col(label)), lambda s: 1 - s["d"] / s["n"]))
     s = F.when(n > 1, F.try_divide(b - a, F.greatest(a, b))).otherwise(0.0)
-    return split.select(*keys, row, F.when(F.col("_k") > 1, s).alias("silhouette"))
+    return split.select(*keys, row, F.when((F.col("_k") > 1) & (F.col("_k") < F.col("_rows")), s).alias("silhouette"))
 
 
 def kmeans_clusters(train: DataFrame, test: DataFrame, vector: str, k: int, seed: int = 0) -> DataFrame:

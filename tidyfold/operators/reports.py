@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidyfold.functions.arrays import LIBRARY_SIZE
 from tidyfold.operators.ordering import exact_quantiles
 
 
-def log_normalize_tidy(values: DataFrame, sample: str, value: str = "value", library_size: float = 1e6) -> DataFrame:
+def log_normalize_tidy(values: DataFrame, sample: str, value: str = "value", library_size: float = LIBRARY_SIZE) -> DataFrame:
     """Tidy form of the library-size normalisation: sample totals joined back."""
     totals = values.groupBy(sample).agg(F.greatest(F.sum(value), F.lit(1.0)).alias("_total"))
     scaled = F.log1p(F.col(value) * F.lit(library_size) / F.col("_total"))

@@ -13,14 +13,17 @@ IGNORE = -100
 
 
 def sentences(scored: DataFrame, detected: DataFrame, sample: str, max_genes: int, pad_id: int,
-              feature: str = "feature", value: str = "value") -> DataFrame:
+              feature: str = "feature", value: str = "value", samples: DataFrame | None = None) -> DataFrame:
     """(sample, genes, length): expressed, train-detected features in rank order, padded to max_genes.
 
-    The list is as long as max_genes at most, which bounds the row.
+    The list is as long as max_genes at most, which bounds the row. `samples`
+    names all samples: those without such a feature are all padding, of length 0.
     """
     kept = scored.filter(F.col(value) > 0).join(detected.select(feature), feature, "left_semi")
     ranked = ordered_top(kept, sample, max_genes, feature)
     listed = ranked.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct("rank", feature))).alias("_l"))
+    if samples is not None:
+        listed = samples.select(sample).distinct().join(listed, sample, "left").withColumn("_l", F.coalesce("_l", F.array().cast(listed.schema["_l"].dataType)))
     genes = F.transform("_l", lambda s: s[feature].cast("bigint"))
     return listed.select(sample, pad(genes, max_genes, pad_id).alias("genes"), F.size("_l").cast("bigint").alias("length"))
 

@@ -79,28 +79,58 @@ def concept_weights(concepts: DataFrame, logit: Column | None = None) -> DataFra
     return softmax_within(concepts, "concept", F.lit(0.0) if logit is None else logit, F.lit(True))
 
 
+def every_pair(samples: DataFrame, sample: str, names: DataFrame, name: str) -> DataFrame:
+    """(sample, name): each sample's row with every name, from one array of the names."""
+    listed = names.agg(F.sort_array(F.collect_set(name)).alias("_names")).scalar()
+    return samples.select(sample).distinct().withColumn(name, F.explode(listed))
+
+
 def score_sets(values: DataFrame, weighted: DataFrame, sample: str, bias: DataFrame | None = None,
-               feature: str = "feature", value: str = "value") -> DataFrame:
-    """(sample, set, score): weighted sum of the members' values, plus the set's bias."""
-    edges = weighted.filter(F.col("present")).select("set", feature, "weight")
-    scored = values.join(edges, feature).groupBy(sample, "set").agg(F.sum(F.col(value) * F.col("weight")).alias("score"))
-    if bias is None:
-        return scored
-    return scored.join(bias, "set", "left").withColumn("score", F.col("score") + F.coalesce("bias", F.lit(0.0))).drop("bias")
+               feature: str = "feature", value: str = "value", samples: DataFrame | None = None) -> DataFrame:
+    """(sample, set, score) for every sample and set: weighted sum of the members' values, plus the set's bias.
 
+    Values that aren't stored are 0. `samples` names all samples, those without
+    any stored value too; without it, those of `values` count.
+    """
+    edges = weighted.filter(F.col("present")).select("set", feature, "weight")
+    stored = values.join(edges, feature).groupBy(sample, "set").agg(F.sum(F.col(value) * F.col("weight")).alias("_stored"))
+    grid = every_pair(values if samples is None else samples, sample, weighted, "set").join(stored, [sample, "set"], "left")
+    score = F.coalesce("_stored", F.lit(0.0))
+    if bias is not None:
+        grid = grid.join(bias.select("set", "bias"), "set", "left")
+        score = score + F.coalesce("bias", F.lit(0.0))
+    return grid.select(sample, "set", score.alias("score"))
 
-def score_concepts(set_scores: DataFrame, weighted: DataFrame, sample: str) -> DataFrame:
-    """(sample, concept, score): weighted sum of the sets' scores."""
-    met = set_scores.join(weighted.select("concept", "set", "weight"), "set")
-    return met.groupBy(sample, "concept").agg(F.sum(F.col("score") * F.col("weight")).alias("score"))
 
+def score_concepts(values: DataFrame, members: DataFrame, concepts: DataFrame, sample: str, bias: DataFrame | None = None,
+                   feature: str = "feature", value: str = "value", samples: DataFrame | None = None) -> DataFrame:
+    """(sample, concept, score): weighted sum of the sets' scores, for every sample and concept.
 
-def relative_set_means(values: DataFrame, edges: DataFrame, sample: str, feature: str = "feature",
-                       value: str = "value") -> DataFrame:
-    """(sample, set, score): mean value of the set's members less the sample's mean."""
-    own = values.groupBy(sample).agg(F.avg(value).alias("_own"))
-    means = values.join(edges.select("set", feature), feature).groupBy(sample, "set").agg(F.avg(value).alias("_in"))
-    return means.join(own, sample).select(sample, "set", (F.col("_in") - F.col("_own")).alias("score"))
+    A concept is linear in the values, so it is scored by one weight per
+    (feature, concept) and one constant; sample x set never arises.
+    """
+    met = members.filter(F.col("present")).select("set", feature, "weight").join(concepts.select("concept", "set", F.col("weight").alias("_share")), "set")
+    edges = met.groupBy(feature, "concept").agg(F.sum(F.col("weight") * F.col("_share")).alias("_w"))
+    stored = values.join(edges, feature).groupBy(sample, "concept").agg(F.sum(F.col(value) * F.col("_w")).alias("_stored"))
+    grid = every_pair(values if samples is None else samples, sample, concepts, "concept").join(stored, [sample, "concept"], "left")
+    score = F.coalesce("_stored", F.lit(0.0))
+    if bias is not None:
+        constant = concepts.join(bias.select("set", "bias"), "set").groupBy("concept").agg(F.sum(F.col("weight") * F.col("bias")).alias("_constant"))
+        grid = grid.join(constant, "concept", "left")
+        score = score + F.coalesce("_constant", F.lit(0.0))
+    return grid.select(sample, "concept", score.alias("score"))
+
+
+def relative_set_means(values: DataFrame, edges: DataFrame, sample: str, n_features: int, feature: str = "feature",
+                       value: str = "value", samples: DataFrame | None = None) -> DataFrame:
+    """(sample, set, score): mean over the set's members less the mean over all `n_features`; values that aren't stored are 0."""
+    own = values.groupBy(sample).agg((F.sum(value) / F.lit(float(n_features))).alias("_own"))
+    members = edges.select("set", feature).distinct()
+    sizes = members.groupBy("set").agg(F.count("*").alias("_n"))
+    stored = values.join(members, feature).groupBy(sample, "set").agg(F.sum(value).alias("_stored"))
+    grid = every_pair(values if samples is None else samples, sample, sizes, "set").join(stored, [sample, "set"], "left").join(sizes, "set").join(own, sample, "left")
+    score = F.coalesce("_stored", F.lit(0.0)) / F.col("_n") - F.coalesce("_own", F.lit(0.0))
+    return grid.select(sample, "set", score.alias("score"))
 
 
 def hold_out(edges: DataFrame, fraction: float, min_genes: int, seed: int = 0, hash_fn: str = "xxhash64") -> DataFrame:

@@ -140,6 +140,9 @@ class CoxJob:
     def evaluate(self, betas: dict[int, np.ndarray], alphas: dict[int, float]) -> dict[int, tuple[float, np.ndarray]]:
         d = self.d
         scored = self.scored(betas)
+        # Taking each stratum's largest score off changes neither loss nor gradient and keeps exp from overflowing.
+        tops = scored.groupBy(*self.keys).agg(F.max("_eta").alias("_top"))
+        scored = scored.join(tops, self.keys).withColumn("_eta", F.col("_eta") - F.col("_top")).drop("_top")
         shares = self.shares(scored)
         met = scored.join(shares, [*self.keys, "_t"])
         pull = met.select("_m", "_x", (F.col("_e").cast("double") - F.exp("_eta") * F.col("share")).alias("_c"))

@@ -114,9 +114,9 @@ def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarra
     width, scalars = len(shift), ("total", "ss_res", "second", "r", "rn", "r0", "r0n")
 
     def correlate(a, b):
-        a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-        scale = np.sqrt((a**2).sum(1) * (b**2).sum(1))
-        return np.where(scale > 0, (a * b).sum(1) / np.where(scale > 0, scale, 1.0), np.nan)
+        left, right = linear.rows_scaled(a, centre=True), linear.rows_scaled(b, centre=True)
+        constant = ~(left.any(axis=1) & right.any(axis=1))
+        return np.where(constant, np.nan, np.einsum("ij,ij->i", left, right))
 
     def reduce(batches):
         sums, firsts = np.zeros((n_bootstrap + 1, len(scalars))), np.zeros((n_bootstrap + 1, width))
@@ -325,6 +325,8 @@ def evaluate(embeddings: dict[str, DataFrame], bucketed: DataFrame, tasks: dict[
         add("classification", name, classification_probe(planned, tasks, n_bootstrap=n_bootstrap))
         add("geometry", name, geometry_probe(planned, label, sample, n_bootstrap=n_bootstrap))
         if target is not None:
+            if not planned.join(target, sample, "left_anti").isEmpty():
+                raise ValueError(f"{name}: samples without a row in the target")
             add("invertibility", name, invertibility(planned.join(target, sample), n_bootstrap=n_bootstrap))
         if pathways is not None:
             add("pathways", name, pathway_probe(planned, pathways, n_bootstrap=n_bootstrap))

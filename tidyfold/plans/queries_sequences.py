@@ -15,12 +15,13 @@ MAX, WINDOW, STRIDE, PAD = 32, 8, 4, -1
 SENTENCE_SQL = SCORED_SQL + f""", det AS (SELECT DISTINCT feature FROM sv WHERE split = 'train' AND value > 0),
     placed AS (SELECT sample, feature, row_number() OVER (PARTITION BY sample ORDER BY score DESC, feature) AS rank
         FROM scored WHERE value > 0 AND feature IN (SELECT feature FROM det)),
-    sent AS (SELECT sample, list(feature ORDER BY rank) AS l, count(*) AS length FROM placed WHERE rank <= {MAX} GROUP BY 1),
+    kept AS (SELECT sample, list(feature ORDER BY rank) AS l FROM placed WHERE rank <= {MAX} GROUP BY 1),
+    sent AS (SELECT c_custkey AS sample, coalesce(l, []) AS l, coalesce(len(l), 0) AS length FROM customer LEFT JOIN kept ON sample = c_custkey),
     win AS (SELECT sample, l, length, CASE WHEN length > 0 THEN 1 + ceil(greatest(length - {WINDOW}, 0) / {STRIDE}) ELSE 0 END::BIGINT AS windows FROM sent)"""
 
 
 def sentences(t):
-    return sequences.sentences(scored(t), selection.detected(train(t)), "sample", MAX, PAD)
+    return sequences.sentences(scored(t), selection.detected(train(t)), "sample", MAX, PAD, samples=t.customer.select(F.col("c_custkey").alias("sample")))
 
 
 @query("seq_sentences", SENTENCE_SQL + f" SELECT sample, array_to_string(list_concat(l, list_transform(range({MAX} - length), lambda x: {PAD})), ' ') AS genes, length FROM sent")

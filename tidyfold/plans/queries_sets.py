@@ -94,32 +94,41 @@ def sets_masked_softmax(t):
 
 VALUE_SQL = WEIGHT_SQL + """, vals AS (SELECT o_custkey AS sample, l_partkey AS feature, sum(l_quantity) AS value
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
-    scored AS (SELECT sample, set, sum(weight * value) + max(s_acctbal) / 1000 AS score FROM vals JOIN w USING (feature) JOIN supplier ON s_suppkey = set WHERE present GROUP BY 1, 2)"""
+    stored AS (SELECT sample, set, sum(weight * value) AS s FROM vals JOIN w USING (feature) WHERE present GROUP BY 1, 2),
+    grid AS (SELECT c_custkey AS sample, set FROM customer CROSS JOIN (SELECT DISTINCT set FROM w)),
+    scored AS (SELECT sample, set, coalesce(s, 0) + coalesce(s_acctbal / 1000, 0) AS score FROM grid LEFT JOIN stored USING (sample, set) LEFT JOIN supplier ON s_suppkey = set)"""
 
 
-def set_scores(t):
-    bias = t.supplier.select(F.col("s_suppkey").alias("set"), (F.col("s_acctbal") / 1000).alias("bias"))
-    return sets.score_sets(roles.values(t), sets.set_weights(members(t), F.col("logit")), "sample", bias)
+def biases(t):
+    return t.supplier.select(F.col("s_suppkey").alias("set"), (F.col("s_acctbal") / 1000).alias("bias"))
+
+
+def customers(t):
+    return t.customer.select(F.col("c_custkey").alias("sample"))
 
 
 @query("sets_scores", VALUE_SQL + " SELECT sample, set, round(score, 6) AS score FROM scored")
 def sets_scores(t):
-    return set_scores(t).select("sample", "set", F.round("score", 6).alias("score"))
+    done = sets.score_sets(roles.values(t), sets.set_weights(members(t), F.col("logit")), "sample", biases(t), samples=customers(t))
+    return done.select("sample", "set", F.round("score", 6).alias("score"))
 
 
 @query("sets_concept_scores", VALUE_SQL + """, cw AS (SELECT s_nationkey AS concept, s_suppkey AS set, 1.0::DOUBLE / count(*) OVER (PARTITION BY s_nationkey) AS weight FROM supplier)
-    SELECT sample, concept, round(sum(score * weight), 6) AS score FROM scored JOIN cw USING (set) GROUP BY 1, 2""")
+    SELECT sample, concept, round(sum(coalesce(score, coalesce(s_acctbal / 1000, 0)) * weight), 6) AS score
+    FROM (SELECT c_custkey AS sample FROM customer) CROSS JOIN cw LEFT JOIN scored USING (sample, set) LEFT JOIN supplier ON s_suppkey = set GROUP BY 1, 2""")
 def sets_concept_scores(t):
     table = t.supplier.select(F.col("s_nationkey").alias("concept"), F.col("s_suppkey").alias("set"))
-    done = sets.score_concepts(set_scores(t), sets.concept_weights(table), "sample")
+    weighted = sets.set_weights(members(t), F.col("logit"))
+    done = sets.score_concepts(roles.values(t), weighted, sets.concept_weights(table), "sample", biases(t), samples=customers(t))
     return done.select("sample", "concept", F.round("score", 6).alias("score"))
 
 
-@query("sets_relative_means", VALUE_SQL + """, own AS (SELECT sample, avg(ln(1 + value)) AS own FROM vals GROUP BY 1)
-    SELECT sample, set, round(avg(ln(1 + value)) - max(own), 6) AS score FROM vals JOIN sets USING (feature) JOIN own USING (sample) GROUP BY 1, 2""")
+@query("sets_relative_means", VALUE_SQL + """, own AS (SELECT sample, sum(ln(1 + value)) / (SELECT count(*) FROM part) AS own FROM vals GROUP BY 1),
+    inside AS (SELECT sample, set, sum(ln(1 + value)) AS s FROM vals JOIN sets USING (feature) GROUP BY 1, 2), n AS (SELECT set, count(*) AS n FROM sets GROUP BY 1)
+    SELECT c_custkey AS sample, n.set AS set, round(coalesce(s, 0) / n - coalesce(own, 0), 6) AS score FROM customer CROSS JOIN n LEFT JOIN inside ON sample = c_custkey AND inside.set = n.set LEFT JOIN own ON own.sample = c_custkey""")
 def sets_relative_means(t):
     logged = roles.values(t).withColumn("value", F.log1p("value"))
-    done = sets.relative_set_means(logged, roles.supplier_sets(t), "sample")
+    done = sets.relative_set_means(logged, roles.supplier_sets(t), "sample", t.part.count(), samples=customers(t))
     return done.select("sample", "set", F.round("score", 6).alias("score"))
 
 

@@ -148,14 +148,14 @@ def select_split_rows(t):
 
 @query("select_log_normalized", """WITH v AS (SELECT o_custkey AS sample, l_partkey AS feature, sum(l_quantity) AS value
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
-    SELECT sample, feature, round(ln(1 + value * 1e6 / greatest(sum(value) OVER (PARTITION BY sample), 1)), 6) AS value FROM v""")
+    SELECT sample, feature, round(ln(1 + value * 1e5 / greatest(sum(value) OVER (PARTITION BY sample), 1)), 6) AS value FROM v""")
 def select_log_normalized(t):
     return reports.log_normalize_tidy(roles.values(t), "sample").select("sample", "feature", F.round("value", 6).alias("value"))
 
 
 @query("select_array_transforms", """WITH u AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS position, abs(unnest(embedding)::DOUBLE) AS x FROM embeddings)
     SELECT vec_id, position, round(ln(1 + x), 6) AS logged,
-    round(ln(1 + x * 1e6 / greatest(sum(x) OVER (PARTITION BY vec_id), 1)), 6) AS normed FROM u""")
+    round(ln(1 + x * 1e5 / greatest(sum(x) OVER (PARTITION BY vec_id), 1)), 6) AS normed FROM u""")
 def select_array_transforms(t):
     from tidyfold.functions.arrays import transform_values
 

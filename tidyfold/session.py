@@ -27,16 +27,21 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
     return spark
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so later reads cannot recompute it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of `spark.checkpoint.dir`. Only a session whose executors are threads of this process may leave it unset; it gets a folder of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
+        folder = tempfile.mkdtemp(prefix="tidyfold-checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
 
-    The folder comes from `spark.checkpoint.dir`. Where the session names none,
-    a temporary one serves a local master; a cluster must name a shared one.
-    """
-    context = df.sparkSession.sparkContext
+def stable(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder, so later reads cannot recompute it."""
+    folder, context = shared_folder(df.sparkSession), df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidyfold-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint()
