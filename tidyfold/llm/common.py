@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyfold.session import shared_folder
+
 #: Bytes that end a word: space and \x09-\x0D. A-Z become a-z, nothing else changes.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,14 +29,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def written(df: DataFrame, blocks: int | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder `spark.checkpoint.dir`, so that later reads don't depend on any executor."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor shares")
+    folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    (df.coalesce(blocks) if blocks else df).write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
