@@ -199,7 +199,7 @@ def test_set_scores_average_present_members(spark):
     assert weights == {("s", "A"): 0.5, ("s", "B"): 0.5, ("s", "X"): 0.0, ("t", "X"): 0.0}
     assert sets.bind_members(edges, genes).count() == 3
     values = spark.createDataFrame([(1, 5, 4.0), (1, 6, 8.0)], "sample int, feature bigint, value double")
-    assert sets.score_sets(values, sets.set_weights(bound), "sample").first()["score"] == 6.0
+    assert sets.score_sets(values, sets.set_weights(bound), "sample").filter("set = 's'").first()["score"] == 6.0
 
 
 def test_row_functions_accept_a_stream(spark, tmp_path):
@@ -209,3 +209,56 @@ def test_row_functions_accept_a_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     np.testing.assert_allclose(spark.table("rows").first()["v"], np.log1p([1.0, 3.0]))
+
+
+def test_set_and_concept_scores_keep_the_bias_of_absent_members(spark):
+    values = spark.createDataFrame([(1, 10, 4.0)], "sample int, feature int, value double")
+    members = sets.set_weights(spark.createDataFrame([("A", 10, True), ("B", 20, True)], "set string, feature int, present boolean"))
+    bias = spark.createDataFrame([("A", 1.0), ("B", 5.0)], "set string, bias double")
+    samples = spark.createDataFrame([(1,), (2,)], "sample int")
+    found = {(r["sample"], r["set"]): r["score"] for r in sets.score_sets(values, members, "sample", bias, samples=samples).collect()}
+    assert found == {(1, "A"): 5.0, (1, "B"): 5.0, (2, "A"): 1.0, (2, "B"): 5.0}
+    concepts = sets.concept_weights(spark.createDataFrame([("c", "A"), ("c", "B")], "concept string, set string"))
+    found = {r["sample"]: r["score"] for r in sets.score_concepts(values, members, concepts, "sample", bias, samples=samples).collect()}
+    assert found == {1: 5.0, 2: 3.0}
+
+
+def test_relative_set_means_count_zeros(spark):
+    values = spark.createDataFrame([(1, 10, 4.0)], "sample int, feature int, value double")
+    edges = spark.createDataFrame([("A", 10), ("A", 20)], "set string, feature int")
+    assert sets.relative_set_means(values, edges, "sample", 3).first()["score"] == pytest.approx(2 - 4 / 3)
+
+
+def test_scaled_zeros_are_rows_when_samples_are_given(spark):
+    values = spark.createDataFrame([(1, 10, 4.0)], "sample int, feature int, value double")
+    scaler = spark.createDataFrame([(10, 2.0, 2.0, None, None), (20, 1.0, 4.0, None, None)], "feature int, offset double, scale double, clip_low double, clip_high double")
+    samples = spark.createDataFrame([(1,), (2,)], "sample int")
+    found = {(r["sample"], r["feature"]): r["scaled"] for r in stats.scale(values, scaler, samples=samples).collect()}
+    assert found == {(1, 10): 1.0, (1, 20): -0.25, (2, 10): -1.0, (2, 20): -0.25}
+
+
+def test_a_sample_without_expressed_features_is_an_empty_sentence(spark):
+    scored = spark.createDataFrame([(1, 10, 2.0, 1.0)], "sample int, feature int, value double, score double")
+    detected, samples = spark.createDataFrame([(10,)], "feature int"), spark.createDataFrame([(1,), (2,)], "sample int")
+    found = {r["sample"]: (r["genes"], r["length"]) for r in sequences.sentences(scored, detected, "sample", 3, -1, samples=samples).collect()}
+    assert found == {1: ([10, -1, -1], 1), 2: ([-1, -1, -1], 0)}
+
+
+def test_hvg_embeddings_hold_standardised_zeros_and_can_be_written(spark, tmp_path):
+    from tidyfold.plans.baseline import hvg_embeddings, write_baseline
+    from tidyfold.sources.embeddings import read_embeddings
+
+    cases = [(c, 5 * c) for c in range(20)]
+    bucketed = spark.createDataFrame(cases, "case int, bucket int")
+    stored = {(c, f): float((c * f) % 5) for c in range(20) for f in (1, 2, 3) if (c * f) % 5}
+    values = spark.createDataFrame([(c, f, v) for (c, f), v in stored.items()], "sample int, feature int, value double")
+    rows = hvg_embeddings(values, bucketed, "case", 2)
+    for r in rows.collect():
+        train = [c for c, b in cases if b // 20 != r["fold"] and b % 20 < 18]
+        for f, e in zip(r["features"], r["embedding"]):
+            known = [stored.get((c, f), 0.0) for c in train]
+            mean = sum(known) / len(known)
+            sd = (sum((v - mean) ** 2 for v in known) / len(known)) ** 0.5
+            assert e == pytest.approx((stored.get((r["sample"], f), 0.0) - mean) / sd)
+    write_baseline(rows.select(F.col("sample").alias("sample_index"), "fold", "embedding"), str(tmp_path / "hvg"))
+    assert read_embeddings(spark, str(tmp_path / "hvg")).count() == 100

@@ -199,8 +199,22 @@ def subset(table: DataFrame, features: DataFrame, feature: str = "feature") -> D
     return table.join(features.select(feature), feature, "left_semi")
 
 
-def scale(rows: DataFrame, scaler: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Rows of the scaler's features with `scaled`."""
+def with_zeros(rows: DataFrame, samples: DataFrame, features: DataFrame, sample: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(sample, feature, value) for every sample and feature; what isn't stored is 0."""
+    listed = features.agg(F.sort_array(F.collect_set(feature)).alias("_all")).scalar()
+    grid = samples.select(sample).distinct().withColumn(feature, F.explode(listed))
+    return grid.join(rows.select(sample, feature, value), [sample, feature], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0)))
+
+
+def scale(rows: DataFrame, scaler: DataFrame, feature: str = "feature", value: str = "value", samples: DataFrame | None = None,
+          sample: str = "sample") -> DataFrame:
+    """Rows of the scaler's features with `scaled`.
+
+    A zero that isn't stored has a scaled value too: give `samples`, all
+    samples, to have every sample x feature; without it stored rows only.
+    """
+    if samples is not None:
+        rows = with_zeros(rows, samples, scaler, sample, feature, value)
     z = (F.col(value) - F.col("offset")) / F.col("scale")
     # least and greatest skip nulls, so an unclipped scaler passes through.
     bounded = F.least(F.greatest(z, F.col("clip_low")), F.col("clip_high"))
@@ -231,9 +245,10 @@ def hvg_features(stats: DataFrame, k: int = 5000, feature: str = "feature") -> D
     return top_features(varying(stats), "var_pop", k, feature)
 
 
-def hvg_scores(rows: DataFrame, stats: DataFrame, k: int = 5000, feature: str = "feature", value: str = "value") -> DataFrame:
-    """Standardised values of the most variable features, tidy."""
-    return scale(rows, fit_scaler(hvg_features(stats, k, feature), "zscore", feature, clip=False), feature, value)
+def hvg_scores(rows: DataFrame, stats: DataFrame, k: int = 5000, feature: str = "feature", value: str = "value",
+               samples: DataFrame | None = None, sample: str = "sample") -> DataFrame:
+    """Standardised values of the most variable features, tidy; of all `samples` if they are given."""
+    return scale(rows, fit_scaler(hvg_features(stats, k, feature), "zscore", feature, clip=False), feature, value, samples, sample)
 
 
 def ordered_top(scored: DataFrame, sample: str, k: int, feature: str = "feature") -> DataFrame:

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyfold.operators import splits
 from tidyfold.operators.linear import affine, moments, principal_axes, wide_pca_embeddings, width_of
 from tidyfold.operators.ordering import top_k
+from tidyfold.session import stable
 
 # Up to this width a task can hold one square of sums per fold.
 SHARED_WIDTH = 2048
 
 
-def hvg_every_fold(values: DataFrame, bucketed: DataFrame, case: str, k: int = 5000, digits: int | None = None) -> DataFrame:
-    """(fold, sample, feature, scaled): every fold's k most variable training features, standardised.
+def hvg_features(values: DataFrame, bucketed: DataFrame, case: str, k: int = 5000, digits: int | None = None) -> DataFrame:
+    """(fold, feature, mean, sd): every fold's k most variable training features.
 
     One job for all folds: `fold` is a group key, and a value's five roles are
     conditional sums over one scan rather than five copies of it.
@@ -48,8 +51,38 @@ def hvg_every_fold(values: DataFrame, bucketed: DataFrame, case: str, k: int = 5
     stats = long.select("fold", "feature", (F.col("a") * share).alias("mean"), var.alias("var"))
     shown = F.col("var") if digits is None else F.round("var", digits)
     best = top_k(stats.withColumn("_v", shown).filter("_v > 0"), ["fold"], [F.desc("_v"), F.asc("feature")], k, salt="feature")
-    chosen = best.select("fold", "feature", "mean", F.sqrt("var").alias("sd"))
-    return values.join(chosen, "feature").select("fold", "sample", "feature", ((v - F.col("mean")) / F.col("sd")).alias("scaled"))
+    return best.select("fold", "feature", "mean", F.sqrt("var").alias("sd"))
+
+
+def hvg_embeddings(values: DataFrame, bucketed: DataFrame, case: str, k: int = 5000, digits: int | None = None) -> DataFrame:
+    """(sample, fold, features, embedding): each fold's k most variable training features, standardised, for every sample.
+
+    A row begins as the standardised zeros of its fold; what a sample stores is
+    added at its places. At most k entries of a sample and fold meet in a row.
+    """
+    chosen = stable(hvg_features(values, bucketed, case, k, digits))
+    place = F.row_number().over(W.partitionBy("fold").orderBy("feature")) - 1  # k features a fold
+    placed = chosen.withColumn("place", place)
+    entry = F.struct("place", "feature", (-F.col("mean") / F.col("sd")).alias("zero"))
+    folds = placed.groupBy("fold").agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    folds = folds.select("fold", F.col("_all.feature").alias("features"), F.col("_all.zero").alias("_zeros"))
+    stored = values.join(placed, "feature").groupBy("sample", "fold").agg(
+        F.collect_list("place").alias("_at"), F.collect_list(F.col("value").cast("double") / F.col("sd")).alias("_add")
+    )
+    samples = bucketed.select(F.col(case).alias("sample")).distinct().withColumn("fold", F.explode(F.array(*[F.lit(f) for f in range(splits.N_FOLDS)])))
+    met = samples.join(folds, "fold").join(stored, ["sample", "fold"], "left")
+
+    @F.pandas_udf("array<double>")
+    def filled(zeros: pd.Series, at: pd.Series, add: pd.Series) -> pd.Series:
+        out = []
+        for z, where, more in zip(zeros, at, add, strict=True):
+            row = np.array(z, dtype=float)
+            if where is not None:
+                row[np.asarray(where, dtype=int)] += np.asarray(more, dtype=float)
+            out.append(row)
+        return pd.Series(out)
+
+    return met.select("sample", F.col("fold").cast("tinyint").alias("fold"), "features", filled("_zeros", "_at", "_add").alias("embedding"))
 
 
 def write_baseline(embedded: DataFrame, path: str, sample: str = "sample_index") -> None:

@@ -218,10 +218,10 @@ def baseline_hvg_features(t):
     return stats.hvg_features(rounded, 50).select("feature")
 
 
-@query("baseline_hvg_scores", HVG_SQL + " SELECT sample, feature, round((value - mean) / sd_pop, 6) AS scaled FROM vals JOIN hvg USING (feature)")
+@query("baseline_hvg_scores", HVG_SQL + " SELECT sample, feature, round((coalesce(value, 0) - mean) / sd_pop, 6) AS scaled FROM (SELECT c_custkey AS sample FROM customer) CROSS JOIN hvg LEFT JOIN vals USING (sample, feature)")
 def baseline_hvg_scores(t):
     rounded = feature_stats(t).withColumn("var_pop", F.round("var_pop", 9))
-    return stats.hvg_scores(roles.values(t), rounded, 50).select("sample", "feature", F.round("scaled", 6).alias("scaled"))
+    return stats.hvg_scores(roles.values(t), rounded, 50, samples=t.customer.select(F.col("c_custkey").alias("sample"))).select("sample", "feature", F.round("scaled", 6).alias("scaled"))
 
 
 @query("baseline_hvg_command", BASE + """, every AS (SELECT v.*, k.fold, f.test_fold <> k.fold AND f.bucket % 20 < 18 AS is_train
@@ -230,13 +230,14 @@ def baseline_hvg_scores(t):
     st AS (SELECT fold, feature, sum(value) / max(n) AS mean, sum(value * value) / max(n) - (sum(value) / max(n)) ^ 2 AS v
         FROM every JOIN nt USING (fold) WHERE is_train GROUP BY 1, 2),
     best AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(v, 9) DESC, feature) AS r FROM st WHERE round(v, 9) > 0)
-    SELECT fold, sample, feature, round((value - mean) / sqrt(v), 6) AS scaled FROM every JOIN best USING (fold, feature) WHERE r <= 20""")
+    SELECT fold, f.case_id AS sample, b.feature, round((coalesce(value, 0) - mean) / sqrt(v), 6) AS scaled
+    FROM folded f CROSS JOIN best b LEFT JOIN vals w ON w.sample = f.case_id AND w.feature = b.feature WHERE r <= 20""")
 def baseline_hvg_command(t):
-    from tidyfold.plans.baseline import hvg_every_fold
+    from tidyfold.plans.baseline import hvg_embeddings
 
-    return hvg_every_fold(roles.values(t), roles.bucketed(t), "case_id", 20, digits=9).select(
-        "fold", "sample", "feature", F.round("scaled", 6).alias("scaled")
-    )
+    rows = hvg_embeddings(roles.values(t), roles.bucketed(t), "case_id", 20, digits=9)
+    each = F.explode(F.arrays_zip("features", "embedding")).alias("e")
+    return rows.select("fold", "sample", each).select(F.col("fold").cast("int"), "sample", F.col("e.features").alias("feature"), F.round("e.embedding", 6).alias("scaled"))
 
 
 @query("quantiles_exact", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS low, median(l_extendedprice) AS middle, quantile_cont(l_extendedprice, 0.99) AS high FROM lineitem GROUP BY 1")
