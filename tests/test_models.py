@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -403,3 +404,37 @@ def test_shared_pca_pass_equals_fold_by_fold(spark):
         want = linear.pca_embeddings(rows.withColumn("t", train), "x", "t", 2).orderBy("id").toPandas()["embedding"]
         got = out.filter(F.col("fold") == fold).orderBy("id").toPandas()["embedding"]
         np.testing.assert_allclose(linear.stack(got), linear.stack(want), atol=1e-8)
+
+
+def test_rank_test_is_exact_for_small_untied_samples():
+    from tidyfold.operators.factorize import _arrangements
+
+    for few, many in ((1, 4), (3, 5), (4, 6)):
+        places = list(itertools.combinations(range(few + many), few))
+        above = [sum(p - i for i, p in enumerate(place)) for place in places]  # pairs in which the inner one is larger
+        for u in range(few * many + 1):
+            assert _arrangements(few, many)[few * many - u] == pytest.approx(sum(a >= u for a in above) / len(above))
+
+
+def test_rank_test_falls_back_to_the_normal_score(spark):
+    from tidyfold.operators.factorize import rank_test
+
+    rows = [(1.0, 15.0, 3, 5, False), (1.0, 15.0, 3, 5, True), (1.0, 50.0, 9, 9, False), (None, None, 0, 5, False)]
+    table = spark.createDataFrame(rows, "score double, above double, inner bigint, outer bigint, tied boolean")
+    got = [r[0] for r in table.select(rank_test("score", "above", "inner", "outer", "tied")).collect()]
+    normal = 0.5 * math.erfc(1 / math.sqrt(2))
+    assert got[0] == pytest.approx(1 / 56) and got[1] == got[2] == pytest.approx(normal) and got[3] is None
+
+
+def test_supervision_by_organ_project_or_none(spark):
+    from tidyfold.operators import selection
+
+    samples = spark.createDataFrame([("TCGA-LUAD",), ("TCGA-LUSC",), ("TCGA-UVM",)], "project string")
+    organ = {r["project"]: (r["name"], r["class_index"]) for r in selection.supervision_labels(samples, "project", "organ").collect()}
+    assert organ["TCGA-LUAD"] == organ["TCGA-LUSC"] and organ["TCGA-UVM"][0] == "eye"
+    assert selection.label_classes(selection.supervision_table(spark, "organ"), "name").count() == 26
+    assert selection.label_classes(selection.supervision_table(spark, "project"), "name").count() == 33
+    assert selection.supervision_table(spark, "none").count() == 0
+    for bad in ("none", "tissue"):
+        with pytest.raises(ValueError):
+            selection.supervision_labels(samples, "project", bad)

@@ -49,14 +49,14 @@ def bin_edges(df: DataFrame, value: str, step: float) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, step: float) -> DataFrame:
-    """(bin, left, n) for every bin, empty ones included; the last bin is closed."""
+    """(bin, left, n, median) for every bin, empty ones included; the last bin is closed. `median` is the values', exact."""
     edges = bin_edges(df, value, step)
     lo, bins = edges.select("lo").scalar(), edges.select("bins").scalar()
     at = F.least(F.floor((F.col(value) - lo) / F.lit(step)), bins - 1)
     counts = df.filter(F.col(value).isNotNull()).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
     every = edges.select("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bins") - 1)).alias("bin"))
     met = every.join(counts, "bin", "left")
-    return met.select("bin", (F.col("lo") + F.col("bin") * F.lit(step)).alias("left"), F.coalesce("n", F.lit(0)).alias("n"))
+    return met.select("bin", (F.col("lo") + F.col("bin") * F.lit(step)).alias("left"), F.coalesce("n", F.lit(0)).alias("n"), quantile_row(df, value, {"median": 0.5}).select("median").scalar().alias("median"))
 
 
 def quantile_row(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
@@ -213,7 +213,7 @@ def difference_of(differences: DataFrame, metrics: DataFrame, key: str = "score"
 
 def cohort_report(samples: DataFrame, bucketed: DataFrame, case: str, project: str, sample_type: str, normal: str,
                   examples: Sequence = ()) -> dict[str, DataFrame]:
-    """Every table of the cohort report, lazily."""
+    """Every table of the cohort report; all but the chi-square test are lazy."""
     from tidyfold.operators.splits import every_split, summarize_folds
 
     is_normal = F.col(sample_type) == normal
@@ -227,7 +227,7 @@ def cohort_report(samples: DataFrame, bucketed: DataFrame, case: str, project: s
         "project_folds": summarize_folds(bucketed, project),
         "project_balance": project_balance(cases, project),
         "type_balance": type_balance(bucketed, sample_type),
-        "type_by_fold": chi_square_statistic(bucketed, sample_type, "test_fold"),
+        "type_by_fold": chi_square(bucketed, sample_type, "test_fold"),
     }
     if examples:
         tables["examples"] = cases.filter(F.col(case).isin(*examples))

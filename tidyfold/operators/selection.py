@@ -21,6 +21,42 @@ ORGAN_TASKS = {
     "colorectal": ("TCGA-COAD", "TCGA-READ"),
     "glioma": ("TCGA-GBM", "TCGA-LGG"),
 }
+# The organ each project was sampled from.
+PROJECT_ORGAN = {
+    "TCGA-ACC": "adrenal_gland",
+    "TCGA-BLCA": "bladder",
+    "TCGA-BRCA": "breast",
+    "TCGA-CESC": "cervix",
+    "TCGA-CHOL": "bile_duct",
+    "TCGA-COAD": "colorectal",
+    "TCGA-DLBC": "lymph_node",
+    "TCGA-ESCA": "esophagus",
+    "TCGA-GBM": "brain",
+    "TCGA-HNSC": "head_and_neck",
+    "TCGA-KICH": "kidney",
+    "TCGA-KIRC": "kidney",
+    "TCGA-KIRP": "kidney",
+    "TCGA-LAML": "blood",
+    "TCGA-LGG": "brain",
+    "TCGA-LIHC": "liver",
+    "TCGA-LUAD": "lung",
+    "TCGA-LUSC": "lung",
+    "TCGA-MESO": "pleura",
+    "TCGA-OV": "ovary",
+    "TCGA-PAAD": "pancreas",
+    "TCGA-PCPG": "adrenal_gland",
+    "TCGA-PRAD": "prostate",
+    "TCGA-READ": "colorectal",
+    "TCGA-SARC": "soft_tissue",
+    "TCGA-SKCM": "skin",
+    "TCGA-STAD": "stomach",
+    "TCGA-TGCT": "testis",
+    "TCGA-THCA": "thyroid",
+    "TCGA-THYM": "thymus",
+    "TCGA-UCEC": "uterus",
+    "TCGA-UCS": "uterus",
+    "TCGA-UVM": "eye",
+}
 CHROMOSOMES = tuple(f"chr{c}" for c in [*range(1, 23), "X", "Y", "M"])
 PAR_Y = "_PAR_Y"
 
@@ -90,6 +126,23 @@ def label_classes(samples: DataFrame, name: str) -> DataFrame:
     return distinct.withColumn("class_index", F.row_number().over(W.orderBy(name)) - 1)
 
 
+def supervision_table(spark, supervision: str, organs: Mapping[str, str] = PROJECT_ORGAN) -> DataFrame:
+    """(project, name): the class a project supervises with, its `organ` or the `project` itself; no rows for `none`."""
+    kinds = {"none": lambda p: None, "organ": organs.get, "project": lambda p: p}
+    if supervision not in kinds:
+        raise ValueError(f"no supervision by {supervision!r}: one of {', '.join(kinds)}")
+    rows = [(p, kinds[supervision](p)) for p in organs]
+    return spark.createDataFrame(rows, "project string, name string").filter("name IS NOT NULL")
+
+
+def supervision_labels(samples: DataFrame, project: str, supervision: str, organs: Mapping[str, str] = PROJECT_ORGAN) -> DataFrame:
+    """Samples with `name` and `class_index`; without supervision there are no labels to give."""
+    if supervision == "none":
+        raise ValueError("without supervision samples have no labels")
+    table = supervision_table(samples.sparkSession, supervision, organs).withColumnRenamed("project", project)
+    return sample_labels(samples, project, table, "name")
+
+
 def sample_labels(samples: DataFrame, project: str, project_class: DataFrame, name: str = "organ") -> DataFrame:
     """Samples with the class name and index of their project; an unmapped project fails the job."""
     mapped = samples.join(project_class.select(project, name), project, "left")

@@ -42,9 +42,9 @@ def report_bin_edges(t):
 
 @query("report_histogram", """WITH e AS (SELECT floor(min(o_totalprice) / 25000) * 25000 AS lo, (ceil(max(o_totalprice) / 25000) - floor(min(o_totalprice) / 25000))::BIGINT AS bins FROM orders),
     b AS (SELECT unnest(range(bins)) AS bin, lo FROM e), c AS (SELECT least(floor((o_totalprice - lo) / 25000)::BIGINT, bins - 1) AS bin, count(*) AS n FROM orders, e GROUP BY 1)
-    SELECT bin, lo + bin * 25000 AS left, coalesce(n, 0) AS n FROM b LEFT JOIN c USING (bin)""")
+    SELECT bin, lo + bin * 25000 AS left, coalesce(n, 0) AS n, (SELECT round(median(o_totalprice), 4) FROM orders) AS median FROM b LEFT JOIN c USING (bin)""")
 def report_histogram(t):
-    return reports.histogram(t.orders, "o_totalprice", 25000.0)
+    return reports.histogram(t.orders, "o_totalprice", 25000.0).withColumn("median", F.round("median", 4))
 
 
 @query("report_depth_quantiles", """WITH d AS (SELECT l_orderkey, sum(l_extendedprice) AS depth FROM lineitem GROUP BY 1)
