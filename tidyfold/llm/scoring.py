@@ -32,8 +32,8 @@ from tidyfold.llm.common import batches, fold_of, mix, string_bytes, table, word
 from tidyfold.llm.eliasfano import Trie
 
 BETA, LAMBDA = 1.0, 10.0
-SHARD, FREQUENT, SHARDS_MOST = 2_000_000, 500_000, 100_000
-BLOCK = 2500
+SHARD, FREQUENT, SHARDS_MOST = 1_000_000, 500_000, 100_000
+BLOCK = 1500
 END, BEGIN = np.uint64(0x1D), np.uint64(0x2D)  # no word hashes to them in practice
 _CONTEXT = np.uint64(64 - Trie.CONTEXT_BITS)
 PARTS = "shard int, words binary, pairs binary, contexts binary, places binary, docs binary, times binary, row_ids binary, doc_ids array<long>, train binary"
