@@ -136,6 +136,13 @@ def rank_rows(
     )
 
 
+def row_order(df: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
+    """`rank_rows` for keys whose rows are bounded, like one sample's features: one window, planned lazily."""
+    keys = list(keys)
+    window = W.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
+    return df.select(*keys, score, tie).withColumn("rank", (F.row_number().over(window) - 1).cast("bigint"))
+
+
 # Below this many rows kept per key, the map-side limit of the window is enough.
 SALT_ABOVE = 64
 

@@ -236,10 +236,9 @@ def triplet_views(t):
 
 
 @query("pool_mean_tokens", """WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings)
-    SELECT label, dim, round(avg(x), 6) AS pooled FROM e WHERE vec_id IN (SELECT vec_id FROM e WHERE dim = 0 AND x >= 0) GROUP BY 1, 2""")
+    SELECT label, dim, round(avg(x), 6) AS pooled FROM e GROUP BY 1, 2""")
 def pool_mean_tokens(t):
-    # A negative first entry stands for a padding token, which pooling leaves out.
-    rows = metrics.mean_vectors(t.embeddings.filter("embedding[0] >= 0"), ["label"], "embedding")
+    rows = metrics.mean_vectors(t.embeddings, ["label"], "embedding")
     return rows.select("label", F.posexplode("pooled").alias("dim", "x")).select("label", "dim", F.round("x", 6).alias("pooled"))
 
 

@@ -99,7 +99,7 @@ def rank_top_by_rarity(t):
     SELECT sample, feature, (row_number() OVER (PARTITION BY sample ORDER BY score DESC, feature) - 1)::BIGINT AS rank FROM v""")
 def rank_full_order(t):
     rows = roles.values(t).withColumnRenamed("value", "score")
-    ranked = ordering.rank_rows(rows, ["sample"], "score", "feature")
+    ranked = ordering.row_order(rows, ["sample"], "score", "feature")
     return ranked.select("sample", "feature", F.col("rank").cast("bigint").alias("rank"))
 
 
