@@ -166,3 +166,13 @@ def op1_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([Row(conv_id=-7, turn=k, role=r, text=hard) for k, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(format_turns(turns))
+
+
+#: A turn's text gets one backslash per control string in it; marks and name are as long in every turn of a role.
+SQL = f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(k)),
+sized AS (SELECT *, len(text) + (len(text) - len(replace(text, '{OPEN}', ''))) // {len(OPEN)} + (len(text) - len(replace(text, '{CLOSE}', ''))) // {len(CLOSE)} + {len(OPEN) + len(CLOSE) + 4}
+    + CASE WHEN role IN ('user', 'assistant', 'system', 'tool') THEN len(role) ELSE 1 + len(replace(replace(replace(role, '\\', '\\\\'), ':', '\\c'), chr(10), '\\n')) END AS chars FROM turns),
+joined AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM joined"""

@@ -17,8 +17,10 @@ QUERIES = {
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
 }
 ORACLES = {
+    "op1_chat_formatting": chat.SQL,
     "op3_mixing": mixing.SQL,
     "op4_near_duplicates": neardup.SQL,
     "op6_top_products": maxscore.SQL,
     "op9_decontamination": decontaminate.SQL,
+    "op10_suffix_dedup": suffixdedup.SQL,
 }

@@ -357,3 +357,16 @@ def remove_repeats(docs: DataFrame, content: bool = True) -> DataFrame:
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"), content=False).drop("kept", "others")
+
+
+#: Every window by its hex digits, its least document, and the removed runs between the kept stretches.
+SQL = f"""WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS w FROM (SELECT doc_id, h, unnest(range(greatest(n - {LENGTH - 1}, 0))) AS p FROM texts)),
+least AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+hits AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM windows JOIN least USING (w) WHERE first < doc_id),
+runs AS (SELECT doc_id, p, sum(CASE WHEN gap <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM runs GROUP BY doc_id, run),
+bounded AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS is_last FROM spans),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)) || CASE WHEN is_last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept
+    FROM bounded JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM texts LEFT JOIN cut USING (doc_id)"""
