@@ -4,6 +4,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare
+from tidyfold.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -14,6 +15,11 @@ def test_query_matches_sql(spark, name):
     assert result.startswith("match"), result
 
 
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+def test_query_without_sql_gives_rows(spark, name):
+    assert not queries()[name](spark, SMALL).isEmpty()
+
+
 def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
