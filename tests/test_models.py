@@ -82,7 +82,7 @@ def test_neighbours_match_brute_force(spark):
         return m / np.where(n > 0, n, 1)
 
     for k, block in ((1, 8), (5, 7), (40, 1024)):
-        out = neighbours.cosine_neighbours(q, r, k, pivots=6, block=block).toPandas()
+        out = neighbours.cosine_neighbours(q, r, k, block=block).toPandas()
         for i in range(len(query)):
             at = np.flatnonzero(ref_group == query_group[i])
             sim = np.round(unit(query[i : i + 1])[0] @ unit(ref[at]).T, 12)

@@ -1,9 +1,9 @@
 """Exact cosine neighbours, silhouettes, k-means agreement and distribution distance.
 
-References are laid out in cells around a few pivots. The triangle inequality
-on angles says which cells can hold one of a query's k nearest, and only those
-are visited. Vectors meet in blocks of bounded size; only each query's k best
-per block leave a task, and a hot cell is simply more blocks.
+A group's queries and references meet as a grid of blocks whose number follows
+the measured counts. A task scores one block of queries against one block of
+references piece by piece and keeps each query's k best, so what leaves it is k
+rows per query and reference block; the lists are merged by query.
 """
 
 from __future__ import annotations
@@ -16,113 +16,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyfold.functions.arrays import dot, unit
-from tidyfold.functions.hashing import md5_hex
 from tidyfold.operators.linear import rows_scaled, stack
 from tidyfold.operators.metrics import sum_vectors
 from tidyfold.operators.ordering import top_k
 
-BLOCK = 1024
-PIVOTS = 32
-SLACK = 1e-6
+#: Rows of a block on either side of the neighbour grid and of the kernel sums, and queries scored at a time.
+GRID, BLOCK, PIECE = 8192, 1024, 256
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+def _best(similarity: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest entries, the first of those level with the k-th."""
+    if similarity.shape[1] <= k:
+        return np.nonzero(np.ones(similarity.shape, dtype=bool))
+    edge = np.partition(similarity, -k, axis=1)[:, [-k]]
+    above, level = similarity > edge, similarity == edge
+    return np.nonzero(above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))))
 
 
 def cosine_neighbours(query: DataFrame, reference: DataFrame, k: int, qid: str = "qid", rid: str = "rid",
-                      vector: str = "vec", group: str = "grp", pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+                      vector: str = "vec", group: str = "grp", block: int = GRID) -> DataFrame:
     """(qid, rid, similarity, rank): each query's k nearest references of its own group.
 
-    Both sides have (group, id, vector). Ties go to the smaller rid. A group
-    with fewer than k references returns all of them.
+    Both sides have (group, id, vector). Ties go to the smaller rid; a zero row
+    is alike to nothing (similarity 0). A group with fewer than k references
+    returns all of them.
     """
-    hexed = reference.select(vector, md5_hex("pivot", F.col(rid)).alias("_h")).orderBy("_h").limit(pivots)
-    seeds = [r[0] for r in hexed.select(vector).collect()]  # `pivots` rows, whatever the table's size
-    if not seeds:
-        return query.select(qid, F.lit(None).cast("bigint").alias(rid), F.lit(None).cast("double").alias("similarity"),
-                            F.lit(None).cast("int").alias("rank")).limit(0)
-    centres = rows_scaled(np.asarray(seeds, dtype=np.float64))
     r_type, q_type = reference.schema[rid].dataType.simpleString(), query.schema[qid].dataType.simpleString()
-    g_type = reference.schema[group].dataType.simpleString()
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            u = rows_scaled(stack(batch[vector]))
-            away = _angles(u, centres)
-            # A zero row has similarity 0 with everything: a right angle from any query.
-            away[~u.any(axis=1)] = np.pi / 2
-            cell = away.argmin(axis=1)
-            yield pd.DataFrame({"grp": batch[group], "cell": cell, "away": away.min(axis=1), "rid": batch[rid], "vec": list(u),
-                                "zero": ~u.any(axis=1)})
-
-    placed = reference.select(group, rid, vector).mapInPandas(
-        place, f"grp {g_type}, cell int, away double, rid {r_type}, vec array<double>, zero boolean"
-    )
-    # Zero rows break the angle geometry; they sit in their own cell that everyone visits.
-    placed = placed.withColumn("cell", F.when(F.col("zero"), F.lit(-1)).otherwise(F.col("cell")))
-    cells = placed.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
-    chunks = F.ceil(F.col("n") / F.lit(block))
-    blocks = (
-        placed.join(cells.select("grp", "cell", "n"), ["grp", "cell"])
-        .withColumn("rchunk", F.pmod(F.xxhash64("rid"), chunks))
-        .groupBy("grp", "cell", "rchunk")
-        .agg(F.collect_list("rid").alias("rids"), F.collect_list("vec").alias("rvecs"))
-    )
-    # One small row per group: its cells' sizes and radii.
-    layout = cells.groupBy("grp").agg(F.collect_list(F.struct("cell", "n", "radius")).alias("cells"))
-    asked = query.select(F.col(group).alias("grp"), F.col(qid).alias("qid"), F.col(vector).alias("vec")).join(layout, "grp")
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for grp, part in batch.groupby("grp", sort=False):
-                found = part["cells"].iloc[0]  # one layout per group
-                ids = np.array([c["cell"] for c in found])
-                n = np.array([c["n"] for c in found])
-                radius = np.where(ids >= 0, [c["radius"] for c in found], 0.0)
-                u = rows_scaled(stack(part["vec"]))
-                theta = np.where(ids >= 0, _angles(u, centres)[:, np.maximum(ids, 0)], np.pi / 2)
-                far = np.minimum(theta + radius, np.pi)
-                order = np.argsort(far, axis=1)
-                enough = (np.cumsum(n[order], axis=1) < k).sum(axis=1).clip(max=len(ids) - 1)
-                bound = np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
-                near = theta - radius <= bound + SLACK
-                near[~u.any(axis=1)] = True  # a zero query is alike to all: every similarity is 0
-                visits = [ids[row].tolist() for row in near]
-                yield pd.DataFrame({"grp": grp, "qid": part["qid"].to_numpy(), "vec": list(u), "cells": visits})
-
-    routed = asked.mapInPandas(route, f"grp {g_type}, qid {q_type}, vec array<double>, cells array<int>")
-    visits = routed.select("grp", "qid", "vec", F.explode("cells").alias("cell"))
-    sizes = visits.groupBy("grp", "cell").agg(F.count("*").alias("n"))
-    asks = (
-        visits.join(sizes, ["grp", "cell"])
-        .withColumn("qchunk", F.pmod(F.xxhash64("qid"), F.ceil(F.col("n") / F.lit(block))))
-        .groupBy("grp", "cell", "qchunk")
-        .agg(F.collect_list("qid").alias("qids"), F.collect_list("vec").alias("qvecs"))
-    )
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                by_id = np.argsort(np.asarray(row.rids))
-                rids, qids = np.asarray(row.rids)[by_id], np.asarray(row.qids)
-                sim = stack(row.qvecs) @ stack(row.rvecs)[by_id].T
-                if sim.shape[1] > k:
-                    edge = np.partition(sim, sim.shape[1] - k, axis=1)[:, [sim.shape[1] - k]]
-                    above, level = sim > edge, sim == edge
-                    # Of those level with the k-th, the first by id fill the places left.
-                    keep = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
-                else:
-                    keep = np.ones(sim.shape, dtype=bool)
-                at, which = np.nonzero(keep)
-                yield pd.DataFrame({"qid": qids[at], "rid": rids[which], "similarity": sim[at, which]})
-
-    # Rows here are whole blocks, so a few per Arrow batch are plenty.
-    met = asks.join(blocks, ["grp", "cell"]).select("qids", "qvecs", "rids", "rvecs")
-    found = met.repartition(F.xxhash64("qids", "rids")).mapInPandas(compare, f"qid {q_type}, rid {r_type}, similarity double")
-    nearest = top_k(found, ["qid"], [F.desc("similarity"), F.asc("rid")], k, salt="rid")
+    asked = query.select(F.col(group).alias("grp"), F.col(qid).alias("qid"), F.col(vector).alias("vec"))
+    known = reference.select(F.col(group).alias("grp"), F.col(rid).alias("rid"), F.col(vector).alias("vec"))
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+
+    layout = blocks(asked, "nq").join(blocks(known, "nr"), "grp")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(layout, "grp").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("nq"))).withColumn("r", spread("nr"))
+    right = known.join(layout, "grp").withColumn("r", F.pmod(F.xxhash64("rid"), F.col("nr"))).withColumn("q", spread("nq"))
+    keys = ["grp", "q", "r"]
+
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(mine) and len(theirs):
+            theirs = theirs.sort_values("rid")
+            columns = rows_scaled(stack(theirs["vec"])).T
+            rids = theirs["rid"].to_numpy()
+            for at in range(0, len(mine), PIECE):
+                part = mine.iloc[at : at + PIECE]
+                similarity = rows_scaled(stack(part["vec"])) @ columns
+                row, column = _best(similarity, k)
+                found.append(pd.DataFrame({"qid": part["qid"].to_numpy()[row], "rid": rids[column], "similarity": similarity[row, column]}))
+        return pd.concat(found) if found else pd.DataFrame({"qid": [], "rid": [], "similarity": []})
+
+    cast = lambda df, name: df.select(F.col("grp"), F.col("q").cast("int").alias("q"), F.col("r").cast("int").alias("r"), name, "vec")
+    met = cast(left, "qid").groupBy(*keys).cogroup(cast(right, "rid").groupBy(*keys))
+    scored = met.applyInPandas(compare, f"qid {q_type}, rid {r_type}, similarity double")
+    nearest = top_k(scored, ["qid"], [F.desc("similarity"), F.asc("rid")], k)
     return nearest.select(F.col("qid").alias(qid), F.col("rid").alias(rid), "similarity", "rank")
 
 
