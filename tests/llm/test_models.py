@@ -110,11 +110,11 @@ def test_toxic_texts_are_found_wherever_the_words_are(spark):
             words[rnd.randrange(len(words))] = rnd.choice(["vile", "rotten", "nasty"])
         rows.append((i, " ".join(words), toxic))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    net, share = toxicity.train(docs.filter("doc_id % 4 <> 2"))
+    net, share = toxicity.train(docs, docs.filter("doc_id % 4 <> 2").select("doc_id", "toxic"))
     held = spark.createDataFrame([(i, t, "x") for i, t, _ in rows if i % 4 == 2] + [(None, None, "x"), (-1, "", "x"), (-2, " ".join(calm * 20) + " vile rotten", "x")], "doc_id long, text string, score string")
     found = {r.doc_id: r for r in toxicity.score_texts(held, net, share).collect()}
     wrong = sum(found[i].predicted != y for i, _, y in rows if i % 4 == 2)
     assert wrong <= 3 and found[-2].predicted == 1
     assert found[None].score == found[-1].score == share
-    assert toxicity.train(docs.filter("toxic = 0"))[0] is None
+    assert toxicity.train(docs, docs.filter("toxic = 0"))[0] is None
     assert toxicity.score_texts(held.limit(0), net, share).count() == 0

@@ -200,17 +200,24 @@ def fit(column: pa.Array, labels: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
-def train(docs: DataFrame) -> tuple[Network | None, float]:
-    """A network from (doc_id, text, toxic) and the share of toxic rows; no network if there is one class only."""
-    docs = docs.filter("text is not null and toxic in (0, 1)")
-    each = {r.toxic: r.n for r in docs.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, float]:
+    """A network from (doc_id, text) and (doc_id, toxic), and the share of toxic labels; no network if there is one class only.
+
+    The sample is drawn from the labels, so it is bounded before it meets the
+    texts: about SAMPLE rows a class are sent to the documents, which stay where
+    they are.
+    """
+    labels = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    each = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = each.get(1, 0), each.get(0, 0)
     share = n1 / max(1, n0 + n1)
     if not n0 or not n1:
         return None, share
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     size = F.when(F.col("toxic") == 1, float(n1)).otherwise(float(n0))
-    rows = docs.filter(draw * size < SAMPLE).select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
+    some = F.broadcast(labels.filter(draw * size < SAMPLE))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null").join(some, "doc_id")
+    rows = rows.select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending"), ("text", "ascending")])
     labels = np.asarray(rows.column("toxic")).astype(np.int64)
     if len(set(labels.tolist())) < 2:
         return None, share
@@ -246,6 +253,5 @@ def score_texts(docs: DataFrame, net: Network | None, share: float, threshold: f
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held = fold_of(F.col("doc_id"), 4) == 2
-    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    net, share = train(docs.filter(~held).select("doc_id", "text").join(labels, "doc_id"))
+    net, share = train(docs, table(spark, folder, "labels").filter(~held))
     return score_texts(docs, net, share).select("doc_id", held.alias("held_out"), "score", "predicted")
