@@ -6,105 +6,115 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyfold.functions.hashing import md5_hex
 from tidyfold.operators.metrics import sum_vectors
-from tidyfold.operators.ordering import hash_rank
+from tidyfold.operators.ordering import hash_rank, top_k
 from tidyfold.session import stable
 
 STRIPE = 1024
-MAX_FEATURES = 65_000
 DEFAULT_K = 20
 DEFAULT_THRESHOLD = 0.4
+PAIR = ["i", "j"]
+FOUND = "i int, a int, j int, b int, r double"
 
 
-def correlation_rows(values: DataFrame, stats: DataFrame, sample: str, feature: str = "feature",
-                     value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(index, row) of the correlation matrix of features, and (index, feature).
+def strongest_correlations(values: DataFrame, stats: DataFrame, sample: str, most: int, threshold: float, feature: str = "feature",
+                           value: str = "value", stripe: int = STRIPE) -> DataFrame:
+    """(source, target, r): each feature's `most` largest |r| of at least `threshold` and above 0, per block of partners.
 
-    Features are numbered; a sample's stored entries form one sparse row. Every
-    task turns its rows into standardised dense slices and multiplies one stripe
-    of features with all; only stripe sums are shuffled.
-    `stats` is `feature_stats` of the same values, so implied zeros count.
+    Features are dealt to blocks of about `stripe`. A task takes two blocks and
+    streams their stored entries by sample, adding up one stripe x stripe sum of
+    products; implied zeros only count in the means, so they are never made.
+    Only the strongest partners leave a task.
     """
-    varying = stable(stats.filter(F.col("var_pop") > 0))
-    g = varying.count()
-    if g > MAX_FEATURES:
-        raise ValueError(f"{g} features; a correlation graph takes at most {MAX_FEATURES}")
-    table = varying.select(feature, "mean", "sd_pop", "n").orderBy(feature).toPandas()  # bounded by MAX_FEATURES
-    names = values.sparkSession.createDataFrame(
-        [(i, f) for i, f in enumerate(table[feature].tolist())], f"index int, {feature} {stats.schema[feature].dataType.simpleString()}"
-    )
-    mean, sd = table["mean"].to_numpy(), table["sd_pop"].to_numpy()
-    n = int(table["n"].iloc[0]) if g else 0
-    rows = (
-        values.join(names, feature)
-        .groupBy(sample)
-        .agg(F.collect_list("index").alias("idx"), F.collect_list(F.col(value).cast("double")).alias("val"))
-    )
-    rows = stable(rows)
-    stripes = max(1, -(-g // STRIPE))
-    striped = rows.select("idx", "val", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"), F.xxhash64(sample).alias("_h"))
-    if stripes > 1:
-        striped = striped.repartition("stripe", F.pmod("_h", F.lit(64)))
-    base = -mean / np.where(sd > 0, sd, 1.0)
-
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for stripe, part in batch.groupby("stripe"):
-                lo, hi = stripe * STRIPE, min((stripe + 1) * STRIPE, g)
-                for start in range(0, len(part), 512):
-                    piece = part.iloc[start : start + 512]
-                    dense = np.tile(base, (len(piece), 1))
-                    for i, (idx, val) in enumerate(zip(piece["idx"], piece["val"], strict=True)):
-                        dense[i, idx] = (val - mean[idx]) / sd[idx]
-                    add = dense[:, lo:hi].T @ dense
-                    held[stripe] = held[stripe] + add if stripe in held else add
-        for stripe, block in held.items():
-            yield pd.DataFrame({"index": np.arange(len(block)) + stripe * STRIPE, "row": list(block)})
-
-    parts = striped.select("idx", "val", "stripe").mapInPandas(reduce, "index int, row array<double>")
-    # A sample with no stored entry at all is a constant row of implied zeros.
-    missing = float(max(n - rows.count(), 0))
-
-    def empty_samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = batch["id"].to_numpy()
-            yield pd.DataFrame({"index": at, "row": [missing * base[i] * base for i in at]})
+    varying = stats.filter(F.col("var_pop") > 0)
+    blocks = max(1, -(-varying.count() // stripe))
+    block = F.pmod(F.xxhash64(feature), F.lit(blocks)).cast("int")
+    place = (F.row_number().over(W.partitionBy("block").orderBy(feature)) - 1).cast("int")
+    named = stable(varying.select(feature, (F.col("mean") / F.col("sd_pop")).alias("shift"), "sd_pop", "n", block.alias("block")).withColumn("place", place))
+    sizes = named.groupBy("block").agg(F.max("place").alias("last"))
+    width = int(sizes.agg(F.max("last")).first()[0] or 0) + 1
+    n = float(named.agg(F.max("n")).first()[0] or 1)
+    entries = values.join(named, feature).select(F.xxhash64(sample).alias("s"), "block", "place", (F.col(value).cast("double") / F.col("sd_pop")).alias("x"), "shift")
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda c: F.struct(F.least(c, "block").alias("i"), F.greatest(c, "block").alias("j")))
+    dealt = entries.withColumn("_p", F.explode(others)).select("_p.i", "_p.j", "s", (F.col("block") != F.col("_p.i")).alias("right"), "place", "x", "shift")
+    keys = [*PAIR, "s"]
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, sums, shifts, rest = None, None, None, None
+
+        def add(rows: pd.DataFrame) -> None:
+            _, at = np.unique(rows["s"].to_numpy(), return_inverse=True)
+            side = [np.zeros((at.max() + 1, width)) for _ in (0, 1)]
+            right, where, x = rows["right"].to_numpy(), rows["place"].to_numpy(), rows["x"].to_numpy()
+            for k in (0, 1):
+                mine = right == bool(k)
+                side[k][at[mine], where[mine]] = x[mine]
+                shifts[k][where[mine]] = rows["shift"].to_numpy()[mine]
+            sums.__iadd__(side[0].T @ (side[0] if pair[0] == pair[1] else side[1]))
+
+        def strongest() -> Iterator[pd.DataFrame]:
+            own = pair[0] == pair[1]
+            r = sums / n - np.outer(shifts[0], shifts[0] if own else shifts[1])
+            for table, i, j in ((r, *pair),) if own else ((r, *pair), (r.T, pair[1], pair[0])):
+                size = np.abs(table)
+                if own:
+                    np.fill_diagonal(size, 0.0)
+                good = (size >= threshold) & (size > 0)
+                order = np.argsort(-size, axis=1, kind="stable")[:, :most]
+                row, column = np.nonzero(np.take_along_axis(good, order, axis=1))
+                partner = order[row, column]
+                yield pd.DataFrame({"i": np.int32(i), "a": row.astype("int32"), "j": np.int32(j), "b": partner.astype("int32"), "r": table[row, partner]})
 
-    if missing:
-        parts = parts.unionByName(values.sparkSession.range(g).mapInPandas(empty_samples, "index int, row array<double>"))
-    summed = parts.groupBy("index").agg(vector_to_array(Summarizer.sum(array_to_vector("row"))).alias("row"))
-    return summed.withColumn("row", F.transform("row", lambda r: r / float(max(n, 1)))), names
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch])
+            # Whole samples of one pair at a time; the last sample may go on in the next batch.
+            final = rest[keys].eq(rest[keys].iloc[-1]).all(axis=1)
+            ready, rest = rest[~final], rest[final]
+            for key, rows in ready.groupby(PAIR, sort=False):
+                if key != pair:
+                    if pair is not None:
+                        yield from strongest()
+                    pair, sums, shifts = key, np.zeros((width, width)), np.zeros((2, width))
+                add(rows)
+        if rest is not None and len(rest):
+            key = tuple(rest[PAIR].iloc[0])
+            if key != pair:
+                if pair is not None:
+                    yield from strongest()
+                pair, sums, shifts = key, np.zeros((width, width)), np.zeros((2, width))
+            add(rest)
+        if pair is not None:
+            yield from strongest()
+
+    met = dealt.repartition(*PAIR).sortWithinPartitions(*keys).mapInPandas(multiply, FOUND)
+    names = named.select(feature, "block", "place")
+    left = names.select(F.col(feature).alias("source"), F.col("block").alias("i"), F.col("place").alias("a"))
+    right = names.select(F.col(feature).alias("target"), F.col("block").alias("j"), F.col("place").alias("b"))
+    return met.join(left, ["i", "a"]).join(right, ["j", "b"]).select("source", "target", "r")
 
 
 def coexpression_graph(values: DataFrame, stats: DataFrame, sample: str, k: int = DEFAULT_K,
                        threshold: float = DEFAULT_THRESHOLD, feature: str = "feature", value: str = "value") -> DataFrame:
     """(source, target, weight): |r| >= threshold and above 0, each feature's k - 1 best, both directions, self-edges of 1.
 
-    A row of the matrix is cut to its k - 1 best before it is exploded.
-    Constant features keep only their self-edge.
+    Constant features keep only their self-edge. `stats` is `feature_stats` of
+    the same values, so implied zeros count.
     """
     stats = stable(stats)
-    rows, names = correlation_rows(values, stats, sample, feature, value)
-    marked = F.transform("row", lambda r, i: F.struct((-F.abs(r)).alias("o"), i.alias("j")))
-    strong = F.filter(marked, lambda s: (s["j"] != F.col("index")) & (-s["o"] >= threshold) & (-s["o"] > 0))
-    best = rows.select("index", F.explode(F.slice(F.array_sort(strong), 1, max(k - 1, 1))).alias("s"))
-    one_way = best.select(F.col("index").alias("i"), F.col("s.j").alias("j"), (-F.col("s.o")).alias("weight"))
-    if k <= 1:
-        one_way = one_way.limit(0)
-    both = one_way.unionByName(one_way.select(F.col("j").alias("i"), F.col("i").alias("j"), "weight"))
-    edges = both.groupBy("i", "j").agg(F.max("weight").alias("weight"))
-    named = edges.join(names.select(F.col("index").alias("i"), F.col(feature).alias("source")), "i").join(
-        names.select(F.col("index").alias("j"), F.col(feature).alias("target")), "j"
-    )
     loops = stats.select(F.col(feature).alias("source"), F.col(feature).alias("target"), F.lit(1.0).alias("weight"))
-    return named.select("source", "target", "weight").unionByName(loops).orderBy("source", "target")
+    if k <= 1:
+        return loops.orderBy("source")
+    found = strongest_correlations(values, stats, sample, k - 1, threshold, feature, value)
+    best = top_k(found.withColumn("weight", F.abs("r")), ["source"], [F.desc("weight"), F.asc("target")], k - 1)
+    one_way = best.select("source", "target", "weight")
+    both = one_way.unionByName(one_way.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight"))
+    edges = both.groupBy("source", "target").agg(F.max("weight").alias("weight"))
+    return edges.unionByName(loops).orderBy("source", "target")
 
 
 def gcn_normalize(edges: DataFrame) -> DataFrame:
