@@ -122,7 +122,8 @@ def silhouettes(df: DataFrame, row: str, vector: str, label: str, keys: Sequence
     classes = sums.groupBy(*keys).agg(F.collect_list(F.struct(F.col(label).alias("c"), "_m", "n")).alias("_all"), F.count("*").alias("_k"), F.sum("n").alias("_rows"))
     many = F.raise_error(F.lit("too many classes for a silhouette")).cast("bigint")
     classes = classes.withColumn("_k", F.when(F.col("_k") > MAX_CLASSES, many).otherwise(F.col("_k")))
-    met = units.join(classes, keys) if keys else units.withColumn("_j", F.lit(0)).join(classes.withColumn("_j", F.lit(0)), "_j").drop("_j")
+    one = classes.select(F.struct("_all", "_k", "_rows").alias("_c"))
+    met = units.join(classes, keys) if keys else units.withColumn("_c", one.scalar()).select("*", "_c.*").drop("_c")
     scored = F.transform(
         "_all", lambda s: F.struct(s["c"].alias("c"), s["n"].alias("n"), dot(F.col("_u"), s["_m"]).alias("d"))
     )

@@ -77,11 +77,11 @@ def mask_token(token: Column, ids: list, mask_id: int, n_bins: int, mask_prob: f
 
 
 def mask_array(tokens: Column, row_id: Column, mask_id: int, n_bins: int, mask_prob: float = 0.15, seed: int = 0,
-               pad_id: int | None = None) -> Column:
+               pad_id: int | None = None, hash_fn: str = "xxhash64") -> Column:
     """`mask_token` over an array: structs of `token` and `label` in position order."""
 
     def one(token, i):
-        masked, label = mask_token(token, [row_id, i], mask_id, n_bins, mask_prob, seed, pad_id)
+        masked, label = mask_token(token, [row_id, i], mask_id, n_bins, mask_prob, seed, pad_id, hash_fn)
         return F.struct(masked.alias("token"), label.alias("label"))
 
     return F.transform(tokens, one)

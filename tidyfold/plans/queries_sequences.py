@@ -75,21 +75,26 @@ def seq_masked_tokens(t):
     return tokens(t).select("sample", "feature", masked.alias("masked"), label.alias("label"))
 
 
-@query("seq_masked_sentences", SENTENCE_SQL + f""", pos AS (SELECT sample, unnest(range({MAX}))::INT AS position, l, length FROM sent),
-    tk AS (SELECT sample, position, CASE WHEN position < length THEN l[position + 1] ELSE {PAD} END AS token FROM pos),
-    u AS (SELECT *, {uniform_sql("'5'", 'sample', 'position')} AS u FROM tk)
-    SELECT sample, position, CASE WHEN token <> {PAD} AND u < 0.15 THEN token ELSE -100 END::BIGINT AS label FROM u""")
+MASKED_SQL = SENTENCE_SQL + f""", pos AS (SELECT sample, unnest(range({MAX}))::INT AS position, l, length FROM sent),
+    tk AS (SELECT sample, position, length, CASE WHEN position < length THEN l[position + 1] ELSE {PAD} END AS token FROM pos),
+    u AS (SELECT *, {uniform_sql("'5'", 'sample', 'position')} AS u, {md5_sql("'6'", 'sample', 'position')} % 5000 AS other FROM tk),
+    mk AS (SELECT *, token <> {PAD} AND u < 0.15 AS hit FROM u),
+    done AS (SELECT sample, position, length, CASE WHEN NOT hit THEN token WHEN u < 0.8 * 0.15::DOUBLE THEN 5000 WHEN u < 0.9 * 0.15::DOUBLE THEN other ELSE token END::BIGINT AS masked,
+        CASE WHEN hit THEN token ELSE -100 END::BIGINT AS label FROM mk)"""
+
+
+@query("seq_masked_sentences", MASKED_SQL + " SELECT sample, position, masked, label FROM done")
 def seq_masked_sentences(t):
     rows = sequences.positions(sentences(t), "genes", ["sample"])
-    _, label = sequences.mask_token(F.col("token"), [F.col("sample"), F.col("position")], 5000, 5000, 0.15, 5, PAD, "md5")
-    return rows.select("sample", "position", label.alias("label"))
+    masked, label = sequences.mask_token(F.col("token"), [F.col("sample"), F.col("position")], 5000, 5000, 0.15, 5, PAD, "md5")
+    return rows.select("sample", "position", masked.alias("masked"), label.alias("label"))
 
 
-@query("seq_masked_arrays")
+@query("seq_masked_arrays", MASKED_SQL + """ SELECT sample, string_agg(masked, ' ' ORDER BY position) AS masked, string_agg(label, ' ' ORDER BY position) AS labels, max(length) AS length FROM done GROUP BY sample""")
 def seq_masked_arrays(t):
-    masked = sequences.mask_array(F.col("genes"), F.col("sample"), 5000, 5000, 0.15, 5, PAD)
-    rows = sentences(t).withColumn("m", masked)
-    return rows.select("sample", F.size(F.filter("m", lambda s: s["label"] != -100)).alias("masked"), "length")
+    rows = sentences(t).withColumn("m", sequences.mask_array(F.col("genes"), F.col("sample"), 5000, 5000, 0.15, 5, PAD, "md5"))
+    shown = lambda field: F.array_join(F.transform("m", lambda s: s[field].cast("string")), " ")
+    return rows.select("sample", shown("token").alias("masked"), shown("label").alias("labels"), "length")
 
 
 def positions_sql(count: int, seed: int) -> str:
