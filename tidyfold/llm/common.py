@@ -144,3 +144,4 @@ def batches(parts: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.Re
     for part in parts:
         for at in range(0, part.num_rows, rows):
             yield part.slice(at, rows)
+        pa.default_memory_pool().release_unused()
