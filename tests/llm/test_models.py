@@ -118,3 +118,44 @@ def test_toxic_texts_are_found_wherever_the_words_are(spark):
     assert found[None].score == found[-1].score == share
     assert toxicity.train(docs, docs.filter("toxic = 0"))[0] is None
     assert toxicity.score_texts(held.limit(0), net, share).count() == 0
+
+
+def test_gradients_reach_words_and_trigrams():
+    texts = toxicity.Texts(pa.array(["abc cab bca abc " * 9, "abc xyz", "q"]))
+    net = toxicity.Network(texts.distinct[:3], np.array([1.0, -1, 2]))
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    some, labels = np.arange(len(texts.begin)), np.array([1, 0, 1, 0, 1, 0])[: len(texts.begin)]
+    keep, toxicity.DOUBT = toxicity.DOUBT, 0.0
+    try:
+        g = net.gradients(texts, net.inputs(texts), some, labels, np.ones(2))
+
+        def loss():
+            p = toxicity.sigmoid(net.run(net.projected(net.inputs(texts)), *texts.rows(some))[0].astype(np.float64))
+            return -np.mean(np.where(labels == 1, np.log(p), np.log(1 - p)))
+
+        for k, row in [("word", 0), ("word", 1), ("word", 2), *(("gram", i) for i in np.unique(texts.gram))]:
+            for i in (0, toxicity.WIDTH - 1):
+                net.p[k][row, i] += 1e-2
+                up = loss()
+                net.p[k][row, i] -= 2e-2
+                down = loss()
+                net.p[k][row, i] += 1e-2
+                assert g[k][row, i] == pytest.approx((up - down) / 2e-2, abs=2e-4), (k, row)
+    finally:
+        toxicity.DOUBT = keep
+
+
+def test_toxic_stems_are_found_in_words_never_seen():
+    rnd = random.Random(8)
+    ending = lambda: "".join(rnd.choices("abcdefghijklm", k=5))
+    texts, labels = [], []
+    for i in range(500):
+        words = rnd.choices([f"word{k}" for k in range(200)], k=rnd.randint(10, 60))
+        for _ in range(3):  # each word once in all texts, so that none has an embedding of its own
+            words[rnd.randrange(len(words))] = ("vilnus" if i % 3 == 0 else "gentor") + ending()
+        texts.append(" ".join(words)), labels.append(int(i % 3 == 0))
+    labels = np.array(labels)
+    net = toxicity.fit(pa.array(texts[:300]), labels[:300])
+    held = toxicity.Texts(pa.array(texts[300:]))
+    top = np.maximum.reduceat(net.logits(held), np.cumsum(held.windows) - held.windows)
+    assert ((top > 0) == labels[300:]).mean() > 0.95

@@ -8,11 +8,12 @@ window's, so every word of a text of any length counts.
 
 Training uses a bounded sample of labelled rows: about SAMPLE of each class,
 chosen by a hash of the id; the classes' true shares are put back into the logit
-afterwards. A word's embedding is its log odds between the
-classes in the sample beside a random code, a trigram's a random code; both stay
-fixed, and words of few texts have none of their own, lest the network learn
-texts by heart. Each round picks every text's strongest window and descends on
-those with all other weights. The model is a few MB whatever the corpus.
+afterwards. A word's embedding starts as its log odds between the classes in the
+sample beside a random code, a trigram's as a random code; both are learned with
+all other weights. Words of few texts have none of their own, lest the network
+learn texts by heart; their trigrams stand for them. Each round picks every
+text's strongest window and descends on those. The model is a few MB whatever
+the corpus.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SAMPLE, ROUNDS, PASSES, STEPS, RATE = 800, 4, 2, 60, 0.01
 #: Texts of the sample that a word's own embedding needs (rarer words have their trigrams only); standard errors taken off log odds; how little a doubted label weighs.
 MIN_TEXTS, SURE, DOUBT = 5, 2.5, 0.5
 THRESHOLD = 0.3
+#: What each step takes away of embeddings, so that trigrams of few texts are given up; the chance that a word's own embedding is hidden in a step, so that its trigrams have to speak for it.
+DECAY, HIDE = 0.003, 0.8
 
 
 class Texts:
@@ -52,6 +55,7 @@ class Texts:
         right = np.where(k < n[owner] - 1, low[at + 1], 0x20).astype(np.uint64)
         gram = left << np.uint64(16) | low[at].astype(np.uint64) << np.uint64(8) | right
         self.gram, self.owner, self.lengths = (mix(gram) % np.uint64(BUCKETS)).astype(np.int64), owner, np.maximum(n, 1)
+        self.grams = np.cumsum(n) - n
         count = np.diff(self.cuts)
         self.windows = np.where(count > 0, np.maximum(0, -(-(count - WINDOW) // STEP)) + 1, 0)
         self.text = np.repeat(np.arange(len(count)), self.windows)
@@ -66,6 +70,11 @@ class Texts:
         return self.word[np.minimum(at, len(self.word) - 1)], there
 
 
+def summed(rows: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place, n places."""
+    return np.stack([np.bincount(place, rows[:, k], n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -91,8 +100,8 @@ class Network:
 
     def inputs(self, texts: Texts) -> np.ndarray:
         """Input vectors of the distinct words."""
-        grams = np.stack([np.bincount(texts.owner, self.p["gram"][texts.gram, k], len(texts.lengths)) for k in range(WIDTH)], axis=1) if len(texts.lengths) else np.zeros((0, WIDTH))
-        return np.concatenate([self.p["word"][self.place(texts.distinct)], (grams / texts.lengths[:, None]).astype(np.float32)], axis=1)
+        grams = np.add.reduceat(self.p["gram"][texts.gram], texts.grams) if len(texts.lengths) else np.zeros((0, WIDTH), np.float32)
+        return np.concatenate([self.p["word"][self.place(texts.distinct)], grams / texts.lengths[:, None].astype(np.float32)], axis=1)
 
     def layer(self, x: np.ndarray, index: np.ndarray, there: np.ndarray, d: str, keep: bool):
         """States (steps, windows, HIDDEN); x holds the projected inputs of distinct words."""
@@ -138,11 +147,13 @@ class Network:
     def gradients(self, texts: Texts, vectors: np.ndarray, some: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean generalised cross entropy of some windows."""
         index, there = texts.rows(some)
+        met, index = np.unique(index, return_inverse=True)  # the distinct words of these windows
+        index, vectors = index.reshape(there.shape), vectors[met]
         logit, (h, e, a, pooled, kf, kb) = self.run(self.projected(vectors), index, there, True)
         chance = sigmoid(logit)
         # Generalised cross entropy: rows whose label the network doubts weigh less, as some labels are noise.
         d = ((chance - labels) * np.where(labels == 1, chance, 1 - chance) ** DOUBT * weights[labels] / len(some)).astype(np.float32)
-        g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("word", "gram")}
+        g, dx = {k: np.zeros_like(v) for k, v in self.p.items()}, np.zeros(vectors.shape, np.float32)
         g["u"], g["b"][0] = d @ pooled, d.sum()
         dp = d[:, None] * self.p["u"]
         da = (h * dp).sum(axis=2)
@@ -152,7 +163,7 @@ class Network:
         g["A"] = np.einsum("tnj,tnk->jk", h, de)
         dh = a[:, :, None] * dp + de @ self.p["A"].T
         for name, kept, part in (("f", kf, dh[:, :, :HIDDEN]), ("b", kb, dh[:, :, HIDDEN:])):
-            U, back = self.p[f"U{name}"], np.zeros((len(some), HIDDEN), np.float32)
+            U, back, gates = self.p[f"U{name}"], np.zeros((len(some), HIDDEN), np.float32), np.zeros((*index.shape, 3 * HIDDEN), np.float32)
             for t, before, z, r, rh, c in reversed(kept):
                 grad = (part[t] + back) * there[t][:, None]
                 dc = grad * z * (1 - c * c)
@@ -161,9 +172,20 @@ class Network:
                 gate = np.concatenate([dzr, dc], axis=1)
                 g[f"U{name}"][:, : 2 * HIDDEN] += before.T @ dzr
                 g[f"U{name}"][:, 2 * HIDDEN :] += rh.T @ dc
-                g[f"c{name}"] += gate.sum(axis=0)
-                g[f"W{name}"] += vectors[index[t]].T @ gate
+                gates[t] = gate
                 back = grad * (1 - z) + drh * r + dzr @ U[:, : 2 * HIDDEN].T
+            each = summed(gates.reshape(-1, 3 * HIDDEN), index.reshape(-1), len(met))
+            g[f"c{name}"] += each.sum(axis=0)
+            g[f"W{name}"] += vectors.T @ each
+            dx += each @ self.p[f"W{name}"].T
+        # From the inputs back to the embeddings: a word's own, and its trigrams by their share of its mean.
+        own = self.place(texts.distinct[met])
+        own[~vectors[:, :WIDTH].any(axis=1)] = len(self.known)  # hidden
+        g["word"] += summed(dx[:, :WIDTH], own, len(g["word"]))
+        g["word"][-1] = 0
+        n = texts.lengths[met]
+        at = np.arange(n.sum()) + np.repeat(texts.grams[met] - np.cumsum(n) + n, n)
+        g["gram"] += summed(np.repeat(dx[:, WIDTH:] / n[:, None], n, axis=0), texts.gram[at], BUCKETS)
         return g
 
 
@@ -184,8 +206,12 @@ def fit(column: pa.Array, labels: np.ndarray, seed: int = 3) -> Network:
     odds = net.p["word"][net.place(texts.distinct), 0]
     # In the first round the classes weigh alike, so that none is given up before it is learned.
     balance = len(labels) / (2.0 * np.array(n))
-    vectors = net.inputs(texts)
     first, slow, step = {}, {}, 0
+
+    def hide(vectors: np.ndarray) -> np.ndarray:
+        vectors[rng.random(len(vectors)) < HIDE, :WIDTH] = 0
+        return vectors
+
     for round_ in range(ROUNDS):
         value = net.logits(texts) if round_ else np.array([odds[texts.word[a:b]].max() for a, b in zip(texts.begin, texts.stop)])
         order = np.lexsort((-value, texts.text))
@@ -193,10 +219,11 @@ def fit(column: pa.Array, labels: np.ndarray, seed: int = 3) -> Network:
         for _ in range(max(PASSES, -(-STEPS * 64 // len(chosen)))):
             for some in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 64)):
                 step += 1
-                for k, g in net.gradients(texts, vectors, some, labels[texts.text[some]], balance if round_ == 0 else np.ones(2)).items():
+                for k, g in net.gradients(texts, hide(net.inputs(texts)), some, labels[texts.text[some]], balance if round_ == 0 else np.ones(2)).items():
                     first[k] = 0.9 * first.get(k, 0) + 0.1 * g
                     slow[k] = 0.99 * slow.get(k, 0) + 0.01 * g * g
-                    net.p[k] = net.p[k] - (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(slow[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                    kept = np.float32(1 - DECAY if k in ("word", "gram") else 1)
+                    net.p[k] = net.p[k] * kept - (RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(slow[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 
