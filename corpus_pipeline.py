@@ -7,7 +7,7 @@ it. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyfold.llm import decontaminate, language, mixing, neardup, suffixdedup
@@ -47,16 +47,21 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return found.select(*columns)
 
 
+def row_key() -> Column:
+    """A row by its id and its text's digest: an id may be missing, or stand on several texts."""
+    return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    leaks = decontaminate.contained(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, written(leaks.select("doc_id").distinct()))
+    """Rows that contain a benchmark item go; others of the same id, or without an id, stay."""
+    leaks = decontaminate.contained(docs.select(row_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = sent(written(leaks.select(F.col("doc_id").alias("_gone")).distinct()))
+    return docs.join(gone, row_key() == F.col("_gone"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus: one row per document and copy that the mix takes, with the copy's number."""
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
-    named = docs.withColumn("_key", F.concat_ws(" ", *key))
+    named = docs.withColumn("_key", row_key())
     found = mixing.mix_sources(named.select(F.col("_key").alias("doc_id"), "text", "source"))
     copies = found.groupBy("doc_id").agg(F.sum("copies").alias("_n")).filter("_n > 0").withColumnRenamed("doc_id", "_key")
     corpus = named.dropDuplicates(["_key"]).join(copies, "_key")

@@ -66,3 +66,12 @@ def test_sketch_fills_and_estimates():
     a = rng.integers(1, 2**63, 1000).astype(np.uint64)
     same = np.mean([(neardup.sketch(np.unique(a[:800])) == neardup.sketch(np.unique(np.append(a[:640], rng.integers(1, 2**63, 160).astype(np.uint64))))).mean() for _ in range(20)])
     assert abs(same - 640 / 960) < 0.05
+
+
+def test_texts_of_one_id_are_in_one_component(spark):
+    a, b, c = (family(k, 1)[0] for k in (11, 12, 13))
+    rows = [(3, a), (5, a), (5, b), (5, None), (9, b), (9, c), (10, c), (11, None), (None, c), (20, "x y"), (20, "z")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    want = {3: 3, 5: 3, 9: 3, 10: 3, 11: 11, None: None, 20: 20}
+    assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got)

@@ -89,3 +89,13 @@ def test_held_out_fold_is_crc32(spark):
 
     got = spark.createDataFrame([(i,) for i in (0, 7, -3, 10**12)], "doc_id long").select("doc_id", fold_of(F.col("doc_id"), 5)).collect()
     assert all(f == zlib.crc32(str(i).encode()) % 5 for i, f in got)
+
+
+def test_a_leak_takes_its_own_row_only(spark, tmp_path):
+    item = prose("item", 30)
+    pq.write_table(pa.table({"item_id": [1], "text": [item]}), tmp_path / "benchmark.parquet")
+    leak, clean = prose("e", 20) + " " + item + " " + prose("f", 20), prose("g", 50)
+    docs = [(i, text, "en", "s0", 0, None) for i in (None, 7) for text in (leak, clean)] + [(None, None, "en", "s0", 0, None), (8, leak, "en", "s0", 0, None), (8, leak, "en", "s0", 0, None)]
+    kept = dict(corpus_pipeline.STAGES)["benchmark_leaks"](spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
+    assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr(x) for x in [(None, clean), (7, clean), (None, None)])

@@ -308,8 +308,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root").join(classes.select("id", "whole"), "id").select("id", "whole", F.col("root").alias("key"), "n")
     texts = docs.join(sent(ids), F.col("doc_id") == F.col("id")).select("id", "text", "whole", "key", "n").mapInArrow(_sets, "id long, key long, n long, found binary")
     full = dealt(texts).select(*GROUPED, "part", "id", "found").mapInArrow(_linked, EDGES)
-    roots = smallest(full)
     same = signed.select("doc_id", "n_shingles", "whole").join(classes.select("whole", "id"), "whole", "left")
+    # An id on several rows links the classes of all of them, and its rows without a set follow it.
+    several = signed.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    own = same.filter("id <> doc_id").join(sent(written(several)), "doc_id", "left_semi").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    roots = smallest(full.unionByName(own))
+    same = same.withColumn("id", F.coalesce("id", "doc_id"))
     out = same.join(roots, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
