@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import chat, decontaminate, language, maxscore, mixing, neardup, scoring, suffixdedup, tokens, toxicity
+from tidyfold.llm import bpe, chat, decontaminate, language, maxscore, mixing, neardup, scoring, suffixdedup, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+    "op12_bpe_encoding": bpe.op12_bpe_encoding,
 }
 ORACLES = {
     "op1_chat_formatting": chat.SQL,
