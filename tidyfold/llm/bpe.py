@@ -31,16 +31,16 @@ from pyspark.sql import functions as F
 from tidyfold.llm.common import mix, powers, table, written
 
 #: Bytes of text in a block; bytes of text behind a shard of the word table; characters that are split into words at once.
-BLOCK_BYTES, SHARD_BYTES, SLICE = 8 << 20, 64 << 20, 1 << 19
+BLOCK_BYTES, SHARD_BYTES, SLICE = 16 << 20, 64 << 20, 1 << 19
 SPACE, LETTER, NUMBER, OTHER, SPECIAL, UNSEEN = range(6)
-_ZSTD = {"codec": "zstd", "asbytes": True}
+_LEVEL = 6
 _BLANK = re.compile("[ \t-\r]")
 #: Texts of these characters have one normal form, and each character's lower case is one of Python's and the library's alike.
 _USUAL = re.compile("[\0-ſ‐-‧€]*")
 
 
 def _press(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + (pa.compress(raw, **_ZSTD) if raw else b"")
+    return len(raw).to_bytes(8, "little") + (pa.Codec("zstd", compression_level=_LEVEL).compress(raw, asbytes=True) if raw else b"")
 
 
 def _expand(raw: bytes) -> bytes:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import bpe, chat, decontaminate, language, maxscore, mixing, neardup, scoring, suffixdedup, tokens, toxicity
+from tidyfold.llm import bpe, chat, decontaminate, language, maxscore, mixing, neardup, periodic, scoring, suffixdedup, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
     "op12_bpe_encoding": bpe.op12_bpe_encoding,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op1_chat_formatting": chat.SQL,
