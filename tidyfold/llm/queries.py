@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidyfold.llm import bpe, chat, decontaminate, language, maxscore, mixing, neardup, periodic, scoring, suffixdedup, tokens, toxicity
+from tidyfold.llm import bpe, chat, decontaminate, language, maxscore, mixing, neardup, periodic, scoring, spelling, suffixdedup, tokens, toxicity
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_bpe_encoding": bpe.op12_bpe_encoding,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
@@ -25,4 +26,5 @@ ORACLES = {
     "op6_top_products": maxscore.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_suffix_dedup": suffixdedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
 }
