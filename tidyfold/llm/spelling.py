@@ -338,7 +338,7 @@ def _crc_table() -> list[int]:
 _HEX = "(strpos('0123456789ABCDEF', h[2 * k - 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * k]) - 1"
 SQL = f"""
 WITH RECURSIVE runs AS (SELECT doc_id, run, count(*) AS times FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY doc_id, run HAVING length(run) >= {LETTERS_LEAST}),
-digests AS (SELECT run, times, xor(list_reduce(list_transform(range(1, length(h) // 2 + 1), lambda k: ({_HEX})::UBIGINT), lambda c, b: xor(c >> 8, ({_crc_table()}::UBIGINT[])[1 + (xor(c, b) & 255)]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS d
+digests AS (SELECT run, times, xor(list_reduce(list_transform(range(1, length(h) // 2 + 1), lambda k: ({_HEX})::UBIGINT), lambda c, b: xor(c >> 8, ({_crc_table()}::UBIGINT[])[(1 + (xor(c, b) & 255))::BIGINT]), 4294967295::UBIGINT), 4294967295::UBIGINT) AS d
     FROM (SELECT run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs)),
 counted AS (SELECT CASE WHEN d % {TYPO_EVERY} = 0 THEN substr(run, 1, (d % length(run))::BIGINT) || substr(run, (d % length(run))::BIGINT + 2) ELSE run END AS word, times FROM digests),
 vocabulary AS (SELECT word, sum(times)::BIGINT AS n FROM counted GROUP BY word HAVING length(word) >= {LETTERS_LEAST} AND sum(times) >= {TIMES_LEAST}),
@@ -348,4 +348,4 @@ links AS (SELECT DISTINCT a.word AS a, b.word AS b FROM cuts a JOIN cuts b ON a.
 near AS (SELECT a AS word, count(*) AS n_near, first(struct_pack(form := v.word, form_n := v.n) ORDER BY v.n DESC, v.word) AS best FROM links JOIN vocabulary v ON v.word = b GROUP BY a),
 forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best.form_n >= {STEP} * n THEN best.form END AS form, CASE WHEN best.form_n >= {STEP} * n THEN best.form_n END AS form_n FROM vocabulary LEFT JOIN near USING (word)),
 chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL)
-SELECT f.word, form, chain.root, f.n, n_near, form_n FROM forms f JOIN chain ON chain.word = f.word JOIN forms last ON last.word = chain.root AND last.form IS NULL"""
+SELECT f.word, f.form, chain.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain ON chain.word = f.word JOIN forms last ON last.word = chain.root AND last.form IS NULL"""
