@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidyfold.operators import bootstrap, checks, factorize, linear, metrics, neighbours, survival
+from tidyfold.operators import blocks, bootstrap, checks, factorize, linear, metrics, neighbours, survival
 
 
 def vectors(spark, x, **columns):
@@ -19,7 +19,8 @@ def test_ridge_leave_one_out_equals_refitting(spark):
     x, w = rng.normal(size=(25, 4)) * [1, 5, 0.1, 2], rng.normal(size=(4, 2))
     y = x @ w + rng.normal(size=(25, 2)) + 3
     df = vectors(spark, x, y=y.tolist(), fold=[0] * 25)
-    (fit,) = linear.fit_ridges(df, "x", "y", "fold", (0.1, 10.0, 1000.0)).values()
+    fits = linear.fit_ridges(df, "x", "y", "fold", (0.1, 10.0, 1000.0))
+    fit = fits[0]
     z = (x - x.mean(0)) / x.std(0)
     errors = []
     for a in (0.1, 10.0, 1000.0):
@@ -32,20 +33,84 @@ def test_ridge_leave_one_out_equals_refitting(spark):
         errors.append(total / 50)
     np.testing.assert_allclose(fit.errors, errors, rtol=1e-8)
     assert fit.alpha == (0.1, 10.0, 1000.0)[int(np.argmin(errors))]
-    pred = linear.predict_ridges(df, {0: fit}, "x", "fold").orderBy("id").toPandas()["pred"]
+    pred = linear.predict_ridges(df, fits, "x", "fold").orderBy("id").toPandas()["pred"]
     np.testing.assert_allclose(linear.stack(pred), fit.predict(x))
+    tiled = linear.fit_ridges(df, "x", "y", "fold", (0.1, 10.0, 1000.0), targets=1)  # a tile for each target
+    assert len(tiled.tiles) == 2 and tiled[0].alpha == fit.alpha
+    np.testing.assert_allclose(tiled[0].errors, errors, rtol=1e-8)
+    np.testing.assert_allclose(linear.stack(linear.predict_ridges(df, tiled, "x", "fold").orderBy("id").toPandas()["pred"]), fit.predict(x))
 
 
-def test_pca_and_wide_pca_agree_and_ignore_held_out_rows(spark):
+def test_pca_ignores_held_out_rows(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 6)) * [9, 6, 3, 1, 0.5, 0.1]
     df = vectors(spark, x, train=[i < 30 for i in range(40)])
-    exact = linear.stack(linear.pca_embeddings(df, "x", "train", 3).orderBy("id").toPandas()["embedding"])
+    got = linear.stack(linear.pca_embeddings(df, "x", "train", 3).orderBy("id").toPandas()["embedding"])
     centred = x[:30] - x[:30].mean(0)
-    _, s, _ = np.linalg.svd(centred)
-    np.testing.assert_allclose(np.linalg.norm(exact[:30], axis=0), s[:3], rtol=1e-8)
-    wide = linear.stack(linear.wide_pca_embeddings(df, "x", "train", 3, 8).orderBy("id").toPandas()["embedding"])
-    np.testing.assert_allclose(wide, exact, atol=1e-5)
+    _, s, v = np.linalg.svd(centred)
+    np.testing.assert_allclose(np.linalg.norm(got[:30], axis=0), s[:3], rtol=1e-8)
+    axes = linear.fixed_signs(v[:3].T)
+    np.testing.assert_allclose(got, (x - x[:30].mean(0)) @ axes, atol=1e-8)
+
+
+@pytest.mark.parametrize("n, rows, k", [(6, 40, 3), (90, 500, 5), (300, 120, 140), (200, 900, 70)])
+def test_lanczos_finds_the_leading_pairs(n, rows, k):
+    y = np.random.default_rng(n).normal(size=(n, rows)) * np.linspace(4, 1, n)[:, None]
+    values, u = blocks.leading(lambda q: y @ (y.T @ q), n, k)
+    left, s, _ = np.linalg.svd(y, full_matrices=n > rows)
+    s = np.append(s, np.zeros(max(0, k - len(s))))[: min(k, n)]
+    np.testing.assert_allclose(values, s**2, atol=1e-8 * s[0] ** 2)
+    some = min(k, rows, 20)
+    np.testing.assert_allclose(np.abs((u[:, :some] * left[:, :some]).sum(axis=0)), 1, atol=1e-6)
+
+
+def test_lanczos_restarts_in_little_room(monkeypatch):
+    y = np.random.default_rng(3).normal(size=(150, 600)) * np.linspace(5, 1, 150)[:, None]
+    monkeypatch.setattr(blocks, "BLOCK", 4)
+    monkeypatch.setattr(blocks, "BASIS_CELLS", 1)
+    values, _ = blocks.leading(lambda q: y @ (y.T @ q), 150, 4)
+    np.testing.assert_allclose(values, np.linalg.svd(y, compute_uv=False)[:4] ** 2, rtol=1e-8)
+
+
+def test_singular_values_by_either_side_and_gram_tiles(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(30, 12))
+    want = np.linalg.svd(x, compute_uv=False)
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    for m in (x, x.T):
+        packed = blocks.pack(vectors(spark, m), ["x"])
+        np.testing.assert_allclose(linear.singular_values(packed, "x"), want, rtol=1e-8)
+    packed = blocks.pack(vectors(spark, x, g=[i % 3 for i in range(30)]), ["x"], F.col("g"))
+    for k, g in blocks.gram(packed, "x", tile=5).items():
+        one = np.hstack([np.ones((10, 1)), x[k::3]])
+        np.testing.assert_allclose(g, one.T @ one, atol=1e-12)
+    with pytest.raises(Exception, match="ragged"):
+        blocks.pack(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "x array<double>"), ["x"])
+
+
+def test_lvs_are_swept_together_or_apart(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    c = (rng.random((40, 9)) < 0.4).astype(float)
+    ctz, gram = c.T @ rng.random((40, 7)), c.T @ c
+    whole = factorize.u_step(spark, ctz, gram, 2.0, np.zeros((9, 7)))
+    monkeypatch.setattr(factorize, "SWEEP", 2)
+    np.testing.assert_allclose(factorize.u_step(spark, ctz, gram, 2.0, np.zeros((9, 7))), whole, atol=1e-6)
+    each = np.hstack([factorize.nonnegative_lasso(ctz[:, [j]], gram, 2.0, np.zeros((9, 1))) for j in range(7)])
+    np.testing.assert_allclose(whole, each, atol=1e-6)
+    assert (whole > 0).any()
+
+
+def test_weights_as_arrays_weigh_like_rows(spark):
+    rows = spark.createDataFrame([(f"c{i % 9}", i % 4 if i % 11 else None, float(i) if i % 5 else None, i) for i in range(60)], "case string, grp int, v double, n int")
+    flat = bootstrap.bootstrap_weights(rows, "case", 25, 3)
+    vectors_ = bootstrap.bootstrap_vectors(rows, "case", 25, 3)
+    listed = vectors_.select("case", F.posexplode("weights").alias("replicate", "weight")).filter("weight > 0")
+    plain = lambda df: sorted(map(tuple, df.select("replicate", "case", F.col("weight").cast("long")).collect()))
+    assert plain(flat) == plain(listed)
+    for keys in ([], ["grp"], ["grp", "case"]):
+        sums = {"s": F.col("v"), "n": F.col("n")} if "case" not in keys else {"s": F.col("v"), "n": F.lit(1)}
+        keys = [k for k in keys if k != "case"]
+        order = lambda df: sorted(map(tuple, df.select("replicate", *keys, F.round(F.coalesce("s", F.lit(0.0)), 9), F.col("n").cast("long")).collect()), key=repr)
+        assert order(bootstrap.weigh(rows, vectors_, "case", keys, sums)) == order(bootstrap.weigh(rows, flat, "case", keys, sums))
 
 
 def test_spectrum(spark):
@@ -283,12 +348,12 @@ def test_lasso_meets_its_conditions():
     rng = np.random.default_rng(11)
     c, z = (rng.random((40, 8)) < 0.3).astype(float), np.abs(rng.normal(size=40))
     ctz, gram, l3 = c.T @ z, c.T @ c, 3.0
-    u = factorize.nonnegative_lasso(ctz, gram, l3, np.zeros(8))
+    u = factorize.nonnegative_lasso(ctz[:, None], gram, l3, np.zeros((8, 1)))[:, 0]
     slope = -2 * (ctz - gram @ u) + l3
     assert (u >= 0).all() and (u > 0).any()
     np.testing.assert_allclose(slope[u > 0], 0, atol=1e-5)
     assert (slope[u == 0] >= -1e-6).all()
-    assert not factorize.nonnegative_lasso(ctz, gram, float(factorize.lambda_max(ctz[:, None])[0]), np.zeros(8)).any()
+    assert not factorize.nonnegative_lasso(ctz[:, None], gram, float(factorize.lambda_max(ctz[:, None])[0]), np.zeros((8, 1))).any()
 
 
 def factor_data(spark, seed=12):

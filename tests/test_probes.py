@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidyfold.operators import reports, splits, survival
+from tidyfold.operators import bootstrap, linear, reports, splits, survival
 from tidyfold.plans import probes
 from tidyfold.session import stable
 
@@ -40,6 +40,44 @@ def test_every_probe_reads_the_signal(spark, cohort):
     assert row["precision_at_1"] > 0.9 and row["silhouette"] > 0.3 and row["nmi"] > 0.5 and 1 < row["effective_rank"] <= 3
 
 
+def test_invertibility_by_definition_in_any_tiles(spark, cohort, monkeypatch):
+    df, bucketed = cohort
+    planned = splits.plan(splits.every_fold(df.select("sample_index", "embedding")), bucketed).join(df.select("sample_index", "target"), "sample_index")
+    planned = stable(planned.withColumn("target", F.transform("target", lambda v: v + 3 * F.sin("sample_index"))))
+    want = planned.select("fold", "fit", "test", "embedding", "target", "case_submitter_id").toPandas()
+    x, y = np.stack(want["embedding"]), np.stack(want["target"])
+    truth, pred, base, case = [], [], [], []
+    alphas = []
+    for fold in sorted(set(want["fold"])):
+        fit, test = ((want["fold"] == fold) & want[c] for c in ("fit", "test"))
+        mean, sd = x[fit].mean(0), x[fit].std(0)
+        z, centre = (x[fit] - mean) / sd, y[fit].mean(0)
+        errors = []
+        for a in (0.1, 10.0):
+            inverse = np.linalg.inv(z.T @ z + a * np.eye(3))
+            lever = 1 / len(z) + np.einsum("ij,jk,ik->i", z, inverse, z)
+            errors.append((((y[fit] - centre - z @ inverse @ z.T @ (y[fit] - centre)) / (1 - lever)[:, None]) ** 2).sum())
+        a = (0.1, 10.0)[int(np.argmin(errors))]
+        alphas.append(a)
+        coef = np.linalg.solve(z.T @ z + a * np.eye(3), z.T @ (y[fit] - centre))
+        truth.append(y[test]), pred.append((x[test] - mean) / sd @ coef + centre), base.append(np.tile(centre, (test.sum(), 1))), case.append(want["case_submitter_id"][test])
+    truth, pred, base, case = (np.concatenate(v) for v in (truth, pred, base, case))
+    pooled = 1 - ((truth - pred) ** 2).sum() / ((truth - truth.mean(0)) ** 2).sum()
+    gene = (1 - ((truth - pred) ** 2).sum(0) / ((truth - truth.mean(0)) ** 2).sum(0)).mean()
+    rows = np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(truth, pred)])
+    flat = np.mean([np.corrcoef(a, b)[0, 1] for a, b in zip(truth, base)])
+    weights = {r["case_submitter_id"]: r["weights"] for r in bootstrap.bootstrap_vectors(planned.filter("test"), "case_submitter_id", 3).collect()}
+    w = np.stack([weights[c] for c in case])
+    drawn = [1 - (w[:, r, None] * (truth - pred) ** 2).sum() / (w[:, r, None] * (truth - np.average(truth, axis=0, weights=w[:, r])) ** 2).sum() for r in (1, 2, 3)]
+    for targets in (1024, 2):
+        fit = linear.fit_ridges
+        monkeypatch.setattr(linear, "fit_ridges", lambda *a, **k: fit(*a, **k, targets=targets))
+        row = probes.invertibility(planned, alphas=(0.1, 10.0), n_bootstrap=3).first()
+        monkeypatch.setattr(linear, "fit_ridges", fit)
+        assert [row[c] for c in ("r2_pooled", "r2_gene", "pearson_sample", "pearson_sample_baseline", "alpha")] == pytest.approx([pooled, gene, rows, flat, np.median(alphas)], rel=1e-9)
+        assert row["r2_pooled_boot"] == pytest.approx(drawn, rel=1e-9)
+
+
 def test_pathways_and_confounders(spark, cohort):
     df, bucketed = cohort
     planned = splits.plan(splits.every_fold(df.select("sample_index", "embedding")), bucketed)

@@ -8,8 +8,13 @@ replicate. The same seed and cases give the same draws, so scores stay paired.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,11 +58,90 @@ def bootstrap_weights(cases: DataFrame, case: str, n_bootstrap: int = N_BOOTSTRA
     return observed.unionByName(drawn)
 
 
+def bootstrap_vectors(cases: DataFrame, case: str, n_bootstrap: int = N_BOOTSTRAP, seed: int = 0, hash_fn: str = "xxhash64") -> DataFrame:
+    """(case, weights): the same draws as one array of counts per case, by replicate from 0 (the observed data).
+
+    A case's draws are met once, as replicate numbers, about n_bootstrap of them.
+    """
+    spark = cases.sparkSession
+    numbered = number_cases(cases, case)
+    n = numbered.count()
+    if n == 0:
+        return numbered.select(case, F.array(F.lit(1.0)).alias("weights"))
+    total = n_bootstrap * n
+    draws = spark.range(0, total, 1, int(max(spark.sparkContext.defaultParallelism, total // ROWS_PER_TASK))).select((F.floor(F.col("id") / n) + 1).cast("int").alias("replicate"), (F.col("id") % n).alias("_i"))
+    picked = draws.select("replicate", F.pmod(draw(seed, F.col("replicate"), F.col("_i"), hash_fn=hash_fn), F.lit(n)).alias("case_rank"))
+    met = numbered.join(picked.groupBy("case_rank").agg(F.collect_list("replicate").alias("_r")), "case_rank", "left").select(case, "_r")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, n_bootstrap + 1))
+            out[:, 0] = 1
+            lists = batch.column(1)
+            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+            np.add.at(out, (np.repeat(np.arange(batch.num_rows), sizes), np.asarray(lists.flatten())), 1)
+            cells = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), n_bootstrap + 1).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), cells], names=[case, "weights"])
+
+    return met.mapInArrow(count, f"`{case}` {numbered.schema[case].dataType.simpleString()}, weights array<double>")
+
+
+#: Numbers that a task of `weigh` holds at once.
+HELD = 4_000_000
+
+
 def weigh(rows: DataFrame, weights: DataFrame, case: str, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """(replicate, keys, sums): sums per (case, keys) first, then times the case's weight."""
+    """(replicate, keys, sums): sums per (case, keys) first, then times the case's weight.
+
+    `weights` are (replicate, case, weight) rows, or (case, weights) arrays; with
+    arrays a task adds vectors over the replicates, and (replicate, keys) that
+    no drawn case has are left out as they are with rows.
+    """
     per_case = rows.groupBy(case, *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     met = per_case.join(weights, case)
-    return met.groupBy("replicate", *keys).agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in sums])
+    if "weights" not in weights.columns:
+        return met.groupBy("replicate", *keys).agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in sums])
+    names = list(sums)
+    kinds = {f.name: f.dataType for f in met.schema.fields}
+    ready = met.select("weights", F.array(F.lit(1.0), *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names]).alias("_s"), *keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([k[j] for k in held], ready_types[j]) for j in range(len(keys))]
+            flat = [pa.array(m.ravel()) for m in held.values()]
+            cells = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]).astype(np.int32)), pa.concat_arrays(flat))
+            return pa.RecordBatch.from_arrays([*columns, cells], names=[*keys, "_flat"])
+
+        ready_types: list = []
+        for batch in batches:
+            ready_types = [c.type for c in batch.columns[2:]]
+            w, s = (np.asarray(batch.column(j).flatten()).reshape(batch.num_rows, -1) for j in (0, 1))
+            own: dict[tuple, list[int]] = {}
+            for r, k in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:])) if keys else ((),) * batch.num_rows):
+                own.setdefault(k, []).append(r)
+            for k, at in own.items():
+                part = s[at].T @ w[at]
+                held[k] = held[k] + part if k in held else part
+            if len(held) * w.shape[1] * (len(names) + 1) > HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    schema = ", ".join([*(f"`{k}` {kinds[k].simpleString()}" for k in keys), "_flat array<double>"])
+    parts = ready.mapInArrow(add, schema)
+    whole = parts.groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector("_flat"))).alias("_flat"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 0")
+    each = (F.size("_flat") / (len(names) + 1)).cast("int")
+    at = lambda j: F.get("_flat", F.col("replicate") + F.col("_each") * j)
+    long = whole.withColumn("_each", each).select(*keys, "_flat", "_each", F.explode(F.sequence(F.lit(0), each - 1)).alias("replicate"))
+    return long.filter(at(0) > 0).select("replicate", *keys, *[_as(at(j + 1), kinds[n]).alias(n) for j, n in enumerate(names)])
+
+
+def _as(value: Column, kind) -> Column:
+    """Whole numbers stay whole."""
+    return value.cast("bigint") if kind.simpleString() in ("int", "bigint", "smallint", "tinyint") else value
 
 
 def weighted_mean(rows: DataFrame, weights: DataFrame, case: str, value: str) -> DataFrame:

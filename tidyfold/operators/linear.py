@@ -17,9 +17,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyfold.operators import blocks
+
 MAX_WIDTH = 8192
-# Coefficients of one multi-target fit: what a task receives per key.
-COEFFICIENTS = 20_000_000
+# Entries of the smaller side of a matrix whose every singular value is asked for: what the driver decomposes.
+MAX_SIDE = 16_384
+# Target columns of a ridge that are solved at once.
+TARGETS = 1024
 # The penalty grid of the ridge probes.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 
@@ -106,19 +110,13 @@ def spectrum(df: DataFrame, vector: str, key: str | None = None) -> DataFrame:
     return table if key else table.drop("_k")
 
 
-def singular_values(df: DataFrame, vector: str) -> np.ndarray:
-    """All singular values of the row matrix, largest first, from the Gram of its width."""
-    width(df, vector)
-    (m,) = moments(df, vector, vector).values()
-    return np.sqrt(np.clip(np.linalg.eigvalsh(m["cross"])[::-1], 0.0, None))
-
-
-def principal_axes(m: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, d x k axes) of the moments; the largest absolute loading is positive."""
-    values, vectors = np.linalg.eigh(covariance(m))
-    axes = vectors[:, np.argsort(values)[::-1][:k]]
-    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    return m["left"] / m["n"], axes * np.where(signs == 0, 1.0, signs)
+def singular_values(packed: blocks.Blocks, column: str) -> np.ndarray:
+    """All singular values of the packed rows, largest first, from the products of the smaller side, which MAX_SIDE bounds."""
+    d, rows = packed.widths[column], sum(packed.rows.values())
+    if min(d, rows) > MAX_SIDE:
+        raise ValueError(f"all singular values of {rows} x {d}: the smaller side has more than {MAX_SIDE} entries")
+    product = blocks.small_gram(packed, column) if rows < d else sum(g[1:, 1:] for g in blocks.gram(packed, column).values())
+    return np.sqrt(np.clip(np.linalg.eigvalsh(product)[::-1], 0.0, None))
 
 
 def affine(df: DataFrame, vector: str, offset: np.ndarray, matrix: np.ndarray, out: str) -> DataFrame:
@@ -135,56 +133,30 @@ def affine(df: DataFrame, vector: str, offset: np.ndarray, matrix: np.ndarray, o
     return df.mapInPandas(apply, f"{fields}, `{out}` array<double>")
 
 
-def pca_embeddings(df: DataFrame, vector: str, train: str, k: int = 256, out: str = "embedding") -> DataFrame:
-    """PCA fit on the rows where `train` holds, applied to every row.
-
-    Widths beyond MAX_WIDTH need `wide_pca_embeddings`, which never forms a width x width matrix.
-    """
-    width(df, vector)
-    (m,) = moments(df.filter(F.col(train)), vector, vector).values()
-    mean, axes = principal_axes(m, min(k, m["d"]))
-    return affine(df, vector, mean, axes, out)
-
-
-def wide_pca_embeddings(df: DataFrame, vector: str, train: str, k: int = 256, iterations: int = 4, seed: int = 0,
-                        out: str = "embedding") -> DataFrame:
-    """The same for wide rows by a randomized range finder: only width x (k + 10) sums leave a task.
-
-    Each pass maps every row x to x (xᵀQ) and sums; Q is orthonormalised on the
-    driver between passes.
-    """
-    rows = df.filter(F.col(train)).select(vector)
-    n = rows.count()
-    first = rows.agg(vector_to_array(Summarizer.mean(array_to_vector(F.transform(vector, lambda v: v.cast("double")))))).first()
-    mean = np.asarray(first[0])
-    q, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(mean), min(k + 10, len(mean), n))))
-    for _ in range(iterations):
-        q, _ = np.linalg.qr(sum_pass(rows, vector, mean, q))
-    small = q.T @ sum_pass(rows, vector, mean, q)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    axes = q @ vectors[:, np.argsort(values)[::-1][:k]]
+def fixed_signs(axes: np.ndarray) -> np.ndarray:
+    """Axes whose largest absolute loading is positive."""
     signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    return affine(df, vector, mean, axes * np.where(signs == 0, 1.0, signs), out)
+    return axes * np.where(signs == 0, 1.0, signs)
 
 
-def sum_pass(rows: DataFrame, vector: str, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Σ (x - mean) ((x - mean)ᵀ q), summed per width position."""
+def pca_axes(packed: blocks.Blocks, column: str, uses: dict[int, Sequence[int]], k: int, seed: int = 0) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(mean, d x k axes) per fit, each fit on the rows of the keys it uses; all fits share their passes, whatever the width."""
+    d = packed.widths[column]
+    sums = packed.total([column], lambda key, x: x.sum(axis=0)[None], 1)
+    means = {f: sum(sums[k][0] for k in keys) / sum(packed.rows[k] for k in keys) for f, keys in uses.items()}
+    found = blocks.leading_of_each(lambda asked: blocks.centred_pass(packed, column, means, uses, asked), d, min(k, d), sorted(uses), seed)
+    return {f: (means[f], fixed_signs(axes)) for f, (_, axes) in found.items()}
 
-    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(q.shape)
-        for batch in batches:
-            if len(batch):
-                x = stack(batch[vector]) - mean
-                held += x.T @ (x @ q)
-        yield pd.DataFrame({"_i": np.arange(len(held)), "_row": list(held)})
 
-    parts = rows.mapInPandas(reduce, "_i int, _row array<double>")
-    summed = parts.groupBy("_i").agg(vector_to_array(Summarizer.sum(array_to_vector("_row"))).alias("_row"))
-    return stack(summed.toPandas().sort_values("_i")["_row"])
+def pca_embeddings(df: DataFrame, vector: str, train: str, k: int = 256, out: str = "embedding") -> DataFrame:
+    """PCA fit on the rows where `train` holds, applied to every row."""
+    packed = blocks.pack(df.filter(F.col(train)), [vector])
+    mean, axes = pca_axes(packed, vector, {0: packed.keys}, k)[0]
+    return affine(df, vector, mean, axes, out)
 
 
 def standardiser(m: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population deviation of the left side; constants get 1."""
+    """Mean and population deviation of the left side of moments; constants get 1."""
     sd = np.sqrt(np.clip(np.diag(covariance(m)) / m["n"], 0.0, None))
     return m["left"] / m["n"], np.where(sd > 1e-12, sd, 1.0)
 
@@ -192,74 +164,113 @@ def standardiser(m: dict) -> tuple[np.ndarray, np.ndarray]:
 class RidgeFit:
     """A standardised ridge: `predict` gives (x - mean) / sd @ coef + intercept."""
 
-    def __init__(self, mean, sd, coef, intercept, alpha, errors):
-        self.mean, self.sd, self.coef = mean, sd, coef
-        self.intercept, self.alpha, self.errors = intercept, alpha, errors
+    def __init__(self, products: np.ndarray):
+        n, total, cross = products[0, 0], products[0, 1:], products[1:, 1:]
+        self.n, self.mean = n, total / n
+        covariance_ = cross - np.outer(total, total) / n
+        sd = np.sqrt(np.clip(np.diag(covariance_) / n, 0.0, None))
+        self.sd = np.where(sd > 1e-12, sd, 1.0)  # constants get 1
+        values, self.vectors = np.linalg.eigh(covariance_ / np.outer(self.sd, self.sd))
+        self.values = np.clip(values, 0.0, None)
+        self.alpha, self.errors, self.intercept, self.coef = None, None, None, None
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.sd) @ self.coef + self.intercept
 
 
-def fit_ridges(df: DataFrame, x: str, y: str, key: str, alphas: Sequence[float] = ALPHAS) -> dict[int, RidgeFit]:
+class Ridges(dict):
+    """Fits by key. Their targets are handled in tiles of columns, so no task or driver holds all coefficients of many targets."""
+
+    def __init__(self, packed: blocks.Blocks, x: str, y: str, targets: int):
+        super().__init__()
+        self.packed, self.x, self.y, self.targets, self._last = packed, x, y, targets, {}
+
+    @property
+    def tiles(self) -> list[tuple[int, int]]:
+        return blocks.tiles(self.packed.widths[self.y], self.targets)
+
+    def rotated(self, lo: int, hi: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Per key the mean of the target columns [lo, hi) and their products with x in its eigenbasis."""
+        if (lo, hi) not in self._last:
+            def product(k, x, y):
+                return np.hstack([np.ones((len(x), 1)), x]).T @ y[:, lo:hi]
+
+            sums = self.packed.total([self.x, self.y], product, self.packed.widths[self.x])
+            out = {}
+            for k, f in self.items():
+                mean = sums[k][0] / f.n
+                out[k] = mean, f.vectors.T @ ((sums[k][1:] - np.outer(f.mean * f.n, mean)) / f.sd[:, None])
+            self._last = {(lo, hi): out}  # one tile is kept
+        return self._last[lo, hi]
+
+    def coefficients(self, lo: int, hi: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per key (mean, sd, coef, intercept) of the target columns [lo, hi)."""
+        return {k: (f.mean, f.sd, f.vectors @ (self.rotated(lo, hi)[k][1] / (f.values + f.alpha)[:, None]), self.rotated(lo, hi)[k][0]) for k, f in self.items()}
+
+
+def fit_ridges(df: DataFrame, x: str, y: str, key: str, alphas: Sequence[float] = ALPHAS, targets: int = TARGETS) -> Ridges:
     """One multi-target ridge per key, its penalty chosen by leave-one-out error over all targets.
 
-    Pass one sums moments. Pass two scores every row's left-out residual for
-    every penalty from its leverage 1/n + xᵀ(G + αI)⁻¹x, without refitting; in
-    the Gram's eigenbasis all penalties share one d x t matrix, whose size is
-    checked. Targets are an array column.
+    The rows' products give each key an eigenbasis. Then, for each tile of
+    `targets` columns, one pass sums its products with x and another scores every
+    row's left-out residual for every penalty from its leverage
+    1/n + xᵀ(G + αI)⁻¹x, without refitting; the squares add up over the tiles.
+    What the driver and a task hold is d x d and d x targets, however many
+    targets there are. Targets are an array column.
     """
     d, t = width(df, x), width_of(df, y)
-    if d * t > COEFFICIENTS:
-        raise ValueError(f"{d} x {t} coefficients; at most {COEFFICIENTS}: fit the targets in column blocks")
     alphas = tuple(float(a) for a in alphas)
-    fits = {}
-    for k, m in moments(df, x, y, key).items():
-        mean, sd = standardiser(m)
-        n = m["n"]
-        values, vectors = np.linalg.eigh(covariance(m) / np.outer(sd, sd))
-        cross = (m["cross"][:, d:] - np.outer(m["left"], m["both"][d:]) / n) / sd[:, None]
-        fits[k] = {
-            "mean": mean, "sd": sd, "n": n, "y": m["both"][d:] / n, "values": np.clip(values, 0.0, None), "vectors": vectors,
-            "rotated": vectors.T @ cross,
-        }
-
-    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = {k: np.zeros(len(alphas)) for k in fits}
-        for batch in batches:
-            for k, part in batch.groupby("_k"):
-                f = fits[int(k)]
-                for start in range(0, len(part), 1024):
-                    piece = part.iloc[start : start + 1024]
-                    turned = ((stack(piece[x]) - f["mean"]) / f["sd"]) @ f["vectors"]
-                    target = stack(piece[y]) - f["y"]
-                    for j, a in enumerate(alphas):
-                        shrunk = turned / (f["values"] + a)
-                        lever = 1.0 / f["n"] + (turned * shrunk).sum(axis=1)
-                        left = (target - shrunk @ f["rotated"]) / np.maximum(1.0 - lever, 1e-12)[:, None]
-                        held[int(k)][j] += (left**2).sum()
-        for k, e in held.items():
-            yield pd.DataFrame({"_k": k, "_a": np.arange(len(alphas)), "_e": e})
-
-    scored = df.select(F.col(key).cast("int").alias("_k"), x, y).mapInPandas(errors, "_k int, _a int, _e double")
-    table = scored.groupBy("_k", "_a").agg(F.sum("_e").alias("_e")).toPandas()
-    out = {}
+    fits = Ridges(blocks.pack(df, [x, y], F.col(key)), x, y, targets)
+    for k, products in blocks.gram(fits.packed, x).items():
+        fits[k] = RidgeFit(products)
+    lost = {k: np.zeros(len(alphas)) for k in fits}
+    means = {k: [] for k in fits}
+
+    def errors(k, sent, rows, target):
+        f, (mean, rotated), (lo, hi) = sent["fits"][k], sent["rotated"][k], sent["tile"]
+        turned = ((rows - f.mean) / f.sd) @ f.vectors
+        target, out = target[:, lo:hi] - mean, np.zeros((len(alphas), 1))
+        for j, a in enumerate(alphas):
+            shrunk = turned / (f.values + a)
+            lever = 1.0 / f.n + (turned * shrunk).sum(axis=1)
+            left = (target - shrunk @ rotated) / np.maximum(1.0 - lever, 1e-12)[:, None]
+            out[j] = (left**2).sum()
+        return out
+
+    at_once = max(1, blocks.CELLS // (d * (d + targets)))
+    for lo, hi in fits.tiles:
+        found = fits.rotated(lo, hi)
+        for keys in (list(fits)[a : a + at_once] for a in range(0, len(fits), at_once)):
+            sent = {"fits": {k: fits[k] for k in keys}, "rotated": {k: found[k] for k in keys}, "tile": (lo, hi)}
+            for k, e in fits.packed.only(keys).total([x, y], errors, d, sent).items():
+                lost[k] += e[:, 0]
+        for k in fits:
+            means[k].append(found[k][0])
     for k, f in fits.items():
-        e = table[table["_k"] == k].sort_values("_a")["_e"].to_numpy()
-        best = int(np.argmin(e))
-        coef = f["vectors"] @ (f["rotated"] / (f["values"] + alphas[best])[:, None])
-        out[k] = RidgeFit(f["mean"], f["sd"], coef, f["y"], alphas[best], e / (f["n"] * t))
-    return out
+        f.alpha, f.errors, f.intercept = alphas[int(np.argmin(lost[k]))], lost[k] / (f.n * t), np.concatenate(means[k])
+    if len(fits.tiles) == 1:
+        for k, (_, _, coef, _) in fits.coefficients(0, t).items():
+            fits[k].coef = coef
+    return fits
+
+
+def predict_ridges(df: DataFrame, fits: Ridges, x: str, key: str, out: str = "pred") -> DataFrame:
+    """Rows with the key's ridge predictions as an array, made tile by tile of the targets."""
+    names, parts = df.columns, [f"_p{j}" for j in range(len(fits.tiles))]
+    for part, (lo, hi) in zip(parts, fits.tiles, strict=True):
+        df = _predicted(df, df.sparkSession.sparkContext.broadcast(fits.coefficients(lo, hi)), x, key, part)
+    return df.select(*names, F.concat(*parts).alias(out))
 
 
-def predict_ridges(df: DataFrame, fits: dict[int, RidgeFit], x: str, key: str, out: str = "pred") -> DataFrame:
-    """Rows with the key's ridge predictions as an array."""
+def _predicted(df: DataFrame, sent, x: str, key: str, out: str) -> DataFrame:
     names = df.columns
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, part in batch.groupby(key):
+                mean, sd, coef, intercept = sent.value[int(k)]
                 part = part.copy()
-                part[out] = list(fits[int(k)].predict(stack(part[x])))
+                part[out] = list(((stack(part[x]) - mean) / sd) @ coef + intercept)
                 yield part[[*names, out]]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -9,13 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidyfold.operators import splits
-from tidyfold.operators.linear import affine, moments, principal_axes, wide_pca_embeddings, width_of
+from tidyfold.operators.blocks import pack
+from tidyfold.operators.linear import affine, pca_axes
 from tidyfold.operators.ordering import top_k
 from tidyfold.session import stable
 
-# Up to this width a task can hold one square of sums per fold.
-SHARED_WIDTH = 2048
-
 
 def hvg_features(values: DataFrame, bucketed: DataFrame, case: str, k: int = 5000, digits: int | None = None) -> DataFrame:
     """(fold, feature, mean, sd): every fold's k most variable training features.
@@ -95,33 +93,18 @@ def write_baseline(embedded: DataFrame, path: str, sample: str = "sample_index")
 def pca_every_fold(rows: DataFrame, vector: str, k: int = 256) -> DataFrame:
     """Long-form PCA embeddings, fit once per fold on its training rows; `rows` carry a `bucket`.
 
-    Moments add up, so one pass keyed by (test fold, validation slot) gives all
-    five fits, and one pass embeds every row five times. Wide rows are fit one
-    fold at a time instead.
+    A fold trains on the parts of the other folds, so all five fits take their
+    Lanczos steps in the same passes over rows keyed by part, and one pass
+    embeds every row five times. The way is the same at every width.
     """
     folds = range(splits.N_FOLDS)
-    if width_of(rows, vector) > SHARED_WIDTH:
-        out = None
-        for fold in folds:
-            train = splits.split_of(F.col("bucket"), fold) == "train"
-            done = wide_pca_embeddings(rows.withColumn("_train", train), vector, "_train", k).drop("_train", vector)
-            done = done.withColumn("fold", F.lit(fold).cast("tinyint"))
-            out = done if out is None else out.unionByName(done)
-        return out
     slot = (F.col("bucket") % splits.FOLD_WIDTH >= splits.FOLD_WIDTH - splits.VAL_BUCKETS).cast("int")
-    keyed = rows.filter(slot == 0).withColumn("_part", splits.fold_of(F.col("bucket")))
-    parts = moments(keyed, vector, vector, "_part")
-    centres, axes = [], []
-    for fold in folds:
-        used = [m for part, m in parts.items() if part != fold]
-        whole = {"d": used[0]["d"], **{n: sum(m[n] for m in used) for n in ("n", "left", "both", "cross")}}
-        mean, found = principal_axes(whole, min(k, whole["d"]))
-        centres.append(mean @ found)
-        axes.append(found)
-    each = axes[0].shape[1]
-    flat = affine(rows, vector, np.zeros(axes[0].shape[0]), np.hstack(axes), "_flat").drop(vector)
+    packed = pack(rows.filter(slot == 0), [vector], splits.fold_of(F.col("bucket")))
+    fits = pca_axes(packed, vector, {f: [p for p in packed.keys if p != f] for f in folds}, k)
+    each = fits[0][1].shape[1]
+    flat = affine(rows, vector, np.zeros(packed.widths[vector]), np.hstack([fits[f][1] for f in folds]), "_flat").drop(vector)
     long = splits.every_fold(flat)
-    shift = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    shift = F.array(*[F.array(*[F.lit(float(v)) for v in fits[f][0] @ fits[f][1]]) for f in folds])
     mine = F.slice("_flat", F.col("fold") * each + 1, F.lit(each))
     return long.withColumn("embedding", F.zip_with(mine, F.get(shift, F.col("fold")), lambda x, c: x - c)).drop("_flat").withColumn(
         "fold", F.col("fold").cast("tinyint")

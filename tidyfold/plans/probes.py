@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyfold.operators import bootstrap, linear, metrics, neighbours, selection, splits, survival
+from tidyfold.operators.blocks import Blocks, block_of, pack
 from tidyfold.operators.stats import centre_by_group
 from tidyfold.session import stable
 
@@ -80,82 +81,88 @@ def invertibility(planned: DataFrame, target: str = "target", case: str = "case_
                   hash_fn: str = "xxhash64") -> DataFrame:
     """How much of a target array a ridge recovers from the embedding; no interval on r2_gene.
 
-    Weights meet dense blocks of rows inside a task; per-replicate sums are
-    added in the JVM.
+    The target is handled in tiles of columns. A row's sums add up over the tiles
+    and then meet the replicates as every other score does. A replicate needs
+    per-column sums only for its means, which are squared tile by tile, so no
+    task holds more than replicates x one tile.
     """
     planned = stable(planned)
     folds = folds_of(planned)
     fits = linear.fit_ridges(planned.filter("fit"), "embedding", target, "fold", alphas)
-    tested = planned.filter("test")
-    predicted = linear.predict_ridges(tested.select(case, "fold", "embedding", target), fits, "embedding", "fold")
-    weights = bootstrap.bootstrap_weights(tested, case, n_bootstrap, seed, hash_fn)
-    listed = weights.groupBy(case).agg(F.collect_list("replicate").alias("_r"), F.collect_list("weight").alias("_w"))
-    baselines = {k: f.intercept for k, f in fits.items()}
-    shift = np.mean([f.intercept for f in fits.values()], axis=0)
-    scores, genes = _replicate_sums(predicted.join(listed, case), target, baselines, shift, n_bootstrap)
-    scores = stable(scores)
-    fixed = _beside(genes, scores.filter("replicate = 0").select("pearson_sample_baseline"))
+    numbered = stable(planned.filter("test").select(F.monotonically_increasing_id().alias("_row"), case, "fold", "embedding", target))
+    vectors = bootstrap.bootstrap_vectors(numbered, case, n_bootstrap, seed, hash_fn)
+    rows = numbered.join(vectors, case).withColumn("_id", F.array(F.col("_row").cast("double")))
+    packed = pack(rows, ["embedding", target, "weights", "_id"], F.col("fold"))
+    sums, shifted, value = _tiled_sums(packed, fits, target)
+    scores = stable(_row_scores(numbered, sums, vectors, shifted, case))
+    fixed = scores.filter("replicate = 0").select(F.lit(value).cast("double").alias("r2_gene"), "pearson_sample_baseline")
     table = _beside(_summary(scores, ["r2_pooled", "pearson_sample"]), fixed)
     table = table.withColumn("alpha", F.lit(float(np.median([f.alpha for f in fits.values()]))))
-    return _head(table, splits.plan_name(folds), tested.count())
-
+    return _head(table, splits.plan_name(folds), numbered.count())
 
-def _replicate_sums(rows: DataFrame, target: str, baselines: dict[int, np.ndarray], shift: np.ndarray,
-                    n_bootstrap: int) -> tuple[DataFrame, DataFrame]:
-    """Per replicate (r2_pooled, pearson_sample, pearson_sample_baseline), and the one r2_gene.
 
-    A replicate needs per-feature sums only for its means; the squares are
-    scalars. Replicate 0 alone keeps per-feature squares, for r2_gene.
-    """
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+ROW_SUMS = ("gap", "second", "t", "tt", "p", "pp", "tp", "b", "bb", "tb")
 
-    width, scalars = len(shift), ("total", "ss_res", "second", "r", "rn", "r0", "r0n")
 
-    def correlate(a, b):
-        left, right = linear.rows_scaled(a, centre=True), linear.rows_scaled(b, centre=True)
-        constant = ~(left.any(axis=1) & right.any(axis=1))
-        return np.where(constant, np.nan, np.einsum("ij,ij->i", left, right))
+def _tiled_sums(packed: Blocks, fits: linear.Ridges, target: str) -> tuple[DataFrame, np.ndarray, float | None]:
+    """(row sums by tile, each replicate's squared column sums, mean R2 of the columns that vary)."""
+    import pyarrow as pa
 
-    def reduce(batches):
-        sums, firsts = np.zeros((n_bootstrap + 1, len(scalars))), np.zeros((n_bootstrap + 1, width))
-        squares = np.zeros((2, width))
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                t, p = linear.stack(part[target]), linear.stack(part["pred"])
-                base = np.stack([baselines[int(f)] for f in part["fold"]])
-                w = np.zeros((n_bootstrap + 1, len(part)))
-                for i, (r, v) in enumerate(zip(part["_r"], part["_w"], strict=True)):
-                    w[np.asarray(r), i] = v
-                c, gap = t - shift, (t - p) ** 2
-                r, r0 = correlate(t, p), correlate(t, base)
-                per_row = [np.ones(len(part)), gap.sum(1), (c**2).sum(1), np.nan_to_num(r), ~np.isnan(r), np.nan_to_num(r0), ~np.isnan(r0)]
-                sums += w @ np.stack(per_row, axis=1)
-                firsts += w @ c
-                squares += np.stack([gap.sum(0), (c**2).sum(0)])
-        pad = np.zeros((1, len(scalars)))
-        yield pd.DataFrame({"replicate": np.arange(n_bootstrap + 1), "flat": list(np.hstack([sums, firsts]))})
-        yield pd.DataFrame({"replicate": [-1, -2], "flat": list(np.hstack([np.repeat(pad, 2, axis=0), squares]))})
-
-    parts = rows.select("fold", target, "pred", "_r", "_w").mapInPandas(reduce, "replicate int, flat array<double>")
-    summed = stable(parts.groupBy("replicate").agg(vector_to_array(Summarizer.sum(array_to_vector("flat"))).alias("f")))
-    tail = F.slice("f", len(scalars) + 1, width)
-    named = summed.filter("replicate >= 0").select(
-        "replicate", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(scalars)], tail.alias("first")
-    )
-    shifted = F.aggregate("first", F.lit(0.0), lambda a, x: a + x * x)
-    scores = named.select(
-        "replicate", (1 - F.try_divide(F.col("ss_res"), F.col("second") - shifted / F.col("total"))).alias("r2_pooled"),
+    context, parts = packed.table.sparkSession.sparkContext, None
+    shifted, values = 0.0, []
+    shift = np.mean([f.intercept for f in fits.values()], axis=0)
+    for lo, hi in fits.tiles:
+        sent = context.broadcast((fits.coefficients(lo, hi), shift[lo:hi]))
+
+        def predicted(k, x, t, lo=lo, hi=hi, sent=sent):
+            (mean, sd, coef, intercept), zero = sent.value[0][k], sent.value[1]
+            return t[:, lo:hi], ((x - mean) / sd) @ coef + intercept, intercept, t[:, lo:hi] - zero
+
+        def by_row(batches, predicted=predicted):
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    k, x, t, ids = block_of(batch, r)
+                    t, p, b, c = predicted(k, x, t)
+                    found = [((t - p) ** 2).sum(1), (c**2).sum(1), t.sum(1), (t**2).sum(1), p.sum(1), (p**2).sum(1), (t * p).sum(1)]
+                    found += [np.full(len(t), b.sum()), np.full(len(t), (b**2).sum()), t @ b, np.full(len(t), float(t.shape[1]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].astype(np.int64)), *map(pa.array, found)], names=["_row", *ROW_SUMS, "m"])
+
+        def by_replicate(k, x, t, w, predicted=predicted):
+            t, p, _, c = predicted(k, x, t)
+            return np.vstack([w.T @ c, ((t - p) ** 2).sum(0), (c**2).sum(0)])
+
+        own = packed.table.select("_k", "_n", "embedding", target, "_id").mapInArrow(by_row, ", ".join(["_row long", *(f"{c} double" for c in ROW_SUMS), "m double"]))
+        parts = own if parts is None else parts.unionByName(own)
+        found = sum(packed.total(["embedding", target, "weights"], by_replicate, packed.widths["weights"]).values())
+        first, gap, square = found[:-2], found[-2], found[-1]
+        shifted = shifted + (first**2).sum(axis=1)
+        n = sum(packed.rows.values())
+        tot = np.maximum(square - first[0] ** 2 / n, 0.0)
+        varies = tot > 1e-9 * n
+        values += (1 - gap[varies] / tot[varies]).tolist()
+    return parts, shifted, float(np.mean(values)) if values else None
+
+
+def _row_scores(numbered: DataFrame, sums: DataFrame, vectors: DataFrame, shifted: np.ndarray, case: str) -> DataFrame:
+    """(replicate, r2_pooled, pearson_sample, pearson_sample_baseline); a row that doesn't vary has no correlation."""
+    whole = sums.groupBy("_row").agg(*[F.sum(c).alias(c) for c in (*ROW_SUMS, "m")])
+
+    def spread(one: str, two: str) -> Column:
+        free = F.col(two) - F.col(one) * F.col(one) / F.col("m")
+        return F.when(free > 1e-12 * F.col(two), free)
+
+    def correlation(one: str, two: str, both: str) -> Column:
+        return (F.col(both) - F.col("t") * F.col(one) / F.col("m")) / F.sqrt(spread("t", "tt") * spread(one, two))
+
+    rows = whole.join(numbered.select("_row", case), "_row").select(case, "gap", "second", correlation("p", "pp", "tp").alias("r"), correlation("b", "bb", "tb").alias("r0"))
+    named = {"total": F.lit(1.0), "ss_res": F.col("gap"), "sq": F.col("second")}
+    named |= {n: F.coalesce(F.col(n), F.lit(0.0)) for n in ("r", "r0")} | {f"{n}n": F.col(n).isNotNull().cast("double") for n in ("r", "r0")}
+    weighed = bootstrap.weigh(rows, vectors, case, [], named)
+    means = rows.sparkSession.createDataFrame([(r, float(v)) for r, v in enumerate(np.atleast_1d(shifted))], "replicate int, _shifted double")
+    return weighed.join(means, "replicate").select(
+        "replicate", (1 - F.try_divide(F.col("ss_res"), F.col("sq") - F.col("_shifted") / F.col("total"))).alias("r2_pooled"),
         F.try_divide(F.col("r"), F.col("rn")).alias("pearson_sample"), F.try_divide(F.col("r0"), F.col("r0n")).alias("pearson_sample_baseline"),
     )
-    pieces = {r["replicate"]: np.asarray(r["v"]) for r in summed.filter("replicate <= 0").select("replicate", tail.alias("v")).collect()}
-    n = named.filter("replicate = 0").first()["total"]
-    tot = np.maximum(pieces[-2] - pieces[0] ** 2 / n, 0.0)
-    varies = tot > 1e-9 * n
-    value = float((1 - pieces[-1][varies] / tot[varies]).mean()) if varies.any() else None
-    return scores, rows.sparkSession.createDataFrame([(value,)], "r2_gene double")
 
 
 def _centred_embedding(rows: DataFrame, project: str) -> DataFrame:

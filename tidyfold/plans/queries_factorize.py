@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidyfold.operators import factorize, linear, splits
+from tidyfold.operators import blocks, factorize, linear, splits
 from tidyfold.plans import roles
 from tidyfold.plans.registry import query
 from tidyfold.plans.roles import SQL_SETS
@@ -67,7 +67,7 @@ def factor_dense_rows(t):
 @query("factor_singular_values", "SELECT 1 AS one, round(sum(v), 4) AS squares FROM (SELECT unnest(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS v FROM embeddings)")
 def factor_singular_values(t):
     """The squared singular values add up to the squared entries."""
-    values = linear.singular_values(t.embeddings, "embedding")
+    values = linear.singular_values(blocks.pack(t.embeddings, ["embedding"]), "embedding")
     return t.spark.createDataFrame([(1, round(float((values**2).sum()), 4))], "one int, squares double")
 
 
