@@ -318,6 +318,26 @@ def test_cox_loss_and_gradient(spark):
         assert grad[j] == pytest.approx(slope, abs=1e-7)
 
 
+def test_cox_over_many_ranges_and_heavy_ties(spark, monkeypatch):
+    monkeypatch.setattr(survival, "RANGE_ROWS", 5)
+    rng = np.random.default_rng(31)
+    n = 300
+    x = rng.normal(size=(n, 3)) * [1, 2, 20]
+    time = np.where(rng.random(n) < 0.3, 7.0, rng.integers(0, 40, n)).astype(float)  # a third share one time
+    event, strata = rng.random(n) < 0.5, rng.choice(["a", "b|c", None], n, p=[0.7, 0.2, 0.1])
+    rows = [([float(v) for v in x[i]], float(time[i]), bool(event[i]), strata[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "x array<double>, time double, event boolean, s string")
+    job = survival.CoxJob(df.withColumn("m", F.lit(3)), "x", "m", ["s"])
+    assert len(job.model) > 20 and job.blocks.filter("_alone = 1").count() > 0
+    strata, beta = np.array([s or "none" for s in strata]), np.array([0.4, -0.3, 0.9])
+    loss, grad = job.evaluate({3: beta}, {3: 0.05})[3]
+    assert loss == pytest.approx(brute_cox(x, time, event, strata, 0.05, beta), rel=1e-9)
+    for j in range(3):
+        step = np.eye(3)[j] * 1e-5
+        slope = (brute_cox(x, time, event, strata, 0.05, beta + step) - brute_cox(x, time, event, strata, 0.05, beta - step)) / 2e-5
+        assert grad[j] == pytest.approx(slope, abs=1e-6)
+
+
 def test_lbfgs_reaches_the_minimum():
     a = np.diag([1.0, 30.0, 500.0])
     run = survival.lbfgs(np.array([3.0, -2.0, 1.0]), 200, 1e-8)

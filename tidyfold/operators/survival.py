@@ -12,8 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,80 +91,153 @@ def stratified_concordance(rows: DataFrame, weights: DataFrame, case: str, strat
     return pooled, by_group.drop("concordant")
 
 
+#: Rows of a time range at least; ranges over which all rows are spread at most.
+RANGE_ROWS, RANGES = 1024, 4096
+
+
 class CoxJob:
-    """Loss and gradient of several stratified ridge Cox models (Breslow ties) in one job.
+    """Loss and gradient of several stratified ridge Cox models (Breslow ties), two passes for each evaluation.
 
     `rows` carries a `model` key, so every fold and inner fold is evaluated
-    together. One pass sums exp(x·beta) by (model, stratum, time); risk-set
-    totals and event shares are running sums over that table; a second pass
-    joins them back and sums one gradient vector per model. Give rows that are
-    read from a written table: they are read twice per evaluation.
+    together. Once, the rows of each (model, stratum) are laid out in time
+    ranges and written as packed blocks, in time order. A time that fills more
+    than a range by itself is a range of its own, in as many blocks as it needs;
+    any other range is one block. An evaluation then sums exp(x·beta) and its
+    moment by range, adds up the later ranges on the driver (ranges x width
+    numbers, at most RANGES and one a stratum), and in a second pass finishes
+    each block from what lies behind it. Nothing is shuffled or written.
     """
 
     def __init__(self, rows: DataFrame, x: str, model: str, stratum: Sequence[str], time: str = "time",
                  event: str = "event", cuts: Sequence[float] | None = None):
-        renamed = [F.col(s).alias(f"_s{i}") for i, s in enumerate(stratum)]
-        self.rows = rows.select(
-            F.col(model).cast("int").alias("_m"), F.col(x).alias("_x"), F.col(time).cast("double").alias("_t"),
-            F.col(event).cast("boolean").alias("_e"), *renamed,
-        )
-        self.keys = ["_m", *[f"_s{i}" for i in range(len(stratum))]]
-        self.cuts = cut_points(rows, time) if cuts is None else list(cuts)
-        self.n = {r["_m"]: r["n"] for r in self.rows.groupBy("_m").agg(F.count("*").alias("n")).collect()}
-        self.d = width(self.rows, "_x")
-
-    def scored(self, betas: dict[int, np.ndarray]) -> DataFrame:
-        names = self.rows.columns
-
-        def dots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for m, part in batch.groupby("_m"):
-                    yield part[names].assign(_eta=stack(part["_x"]) @ betas[int(m)])
-
-        wanted = self.rows.filter(F.col("_m").isin(*betas))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.rows.schema.fields)
-        return wanted.mapInPandas(dots, f"{fields}, _eta double")
-
-    def shares(self, scored: DataFrame) -> DataFrame:
-        """(model, stratum, time): log-likelihood terms and Σ 1/s0 over events no later."""
-        e = F.col("_e").cast("double")
-        sums = {"risk": F.exp("_eta"), "events": e, "eta": e * F.col("_eta")}
-        totals = prefix_sums(scored, self.keys, "_t", sums, self.cuts, descending=True).select(
-            *self.keys, "_t", "events", "eta", (F.col("risk_before") + F.col("risk")).alias("s0")
+        keys = ["_m", *[f"_s{i}" for i in range(len(stratum))]]
+        renamed = [F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(f"_s{i}") for i, s in enumerate(stratum)]  # rows without a stratum are one
+        rows = rows.select(
+            F.col(model).cast("int").alias("_m"), F.col(x).cast("array<double>").alias("_x"), F.col(time).cast("double").alias("_t"),
+            F.col(event).cast("double").alias("_e"), *renamed,
         )
-        terms = {"inverse": F.col("events") / F.col("s0"), "loglik": F.col("eta") - F.col("events") * F.ln("s0")}
-        running = prefix_sums(totals, self.keys, "_t", terms, self.cuts)
-        return running.select(*self.keys, "_t", "loglik", (F.col("inverse_before") + F.col("inverse")).alias("share"))
+        self.d = width(rows, "_x")
+        times = stable(rows.groupBy(*keys, "_t").agg(F.count("*").alias("n")))
+        self.n = {r["_m"]: r["n"] for r in times.groupBy("_m").agg(F.sum("n").alias("n")).collect()}
+        step = max(RANGE_ROWS, -(-sum(self.n.values()) // RANGES))
+        before = prefix_sums(times, keys, "_t", {"c": F.col("n")}, cut_points(times, "_t") if cuts is None else list(cuts))
+        alone = (F.col("c") > step).cast("int")
+        placed = before.select(*keys, "_t", (F.floor(F.col("c_before") / step) * 2).cast("bigint").alias("_half"), alone.alias("_alone"))
+        placed = stable(placed.withColumn("_range", F.col("_half") + F.col("_alone")).drop("_half"))
+        # Ranges in the order of their times; one that stands alone comes where its time does.
+        found = placed.groupBy(*keys, "_range", "_alone").agg(F.min("_t").alias("_first")).orderBy(*keys, "_first").toPandas()
+        self.group = found.groupby(keys, dropna=False).ngroup().to_numpy()
+        self.model = found["_m"].to_numpy(dtype=int)
+        spark = rows.sparkSession
+        found["_cell"] = np.arange(len(found))
+        cells = spark.createDataFrame(found[["_cell", *keys, "_range"]], "_cell int, " + ", ".join(f"`{k}` {placed.schema[k].dataType.simpleString()}" for k in [*keys, "_range"]))
+        numbered = placed.join(cells, [*keys, "_range"]).select("_cell", "_alone", *keys, "_t")
+        laid = rows.join(numbered, [*keys, "_t"]).select("_cell", "_alone", "_t", "_e", "_x")
+        ordered = laid.repartition("_cell").sortWithinPartitions("_cell", "_t")
+        self.blocks = stable(ordered.mapInArrow(_lay_out, "_cell int, _alone int, _n int, _t binary, _e binary, _x binary"))
 
     def evaluate(self, betas: dict[int, np.ndarray], alphas: dict[int, float]) -> dict[int, tuple[float, np.ndarray]]:
-        d = self.d
-        scored = self.scored(betas)
-        # Taking each stratum's largest score off changes neither loss nor gradient and keeps exp from overflowing.
-        tops = scored.groupBy(*self.keys).agg(F.max("_eta").alias("_top"))
-        scored = scored.join(tops, self.keys).withColumn("_eta", F.col("_eta") - F.col("_top")).drop("_top")
-        shares = self.shares(scored)
-        met = scored.join(shares, [*self.keys, "_t"])
-        pull = met.select("_m", "_x", (F.col("_e").cast("double") - F.exp("_eta") * F.col("share")).alias("_c"))
-
-        def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        d, model = self.d, self.model
+        context = self.blocks.sparkSession.sparkContext
+        cells = [int(c) for c in np.flatnonzero(np.isin(model, list(betas)))]
+        wanted = self.blocks if len(cells) == len(model) else self.blocks.filter(F.array_contains(F.lit(cells), F.col("_cell")))
+        known = context.broadcast((model, betas))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, coefficients = known.value
+            for cell, _, _, _, x in _blocks(batches):
+                eta = x @ coefficients[own[cell]]
+                top = eta.max()
+                share = np.exp(eta - top)
+                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([np.concatenate([[top, share.sum()], share @ x]).tobytes()], pa.binary())], names=["_cell", "_v"])
+
+        whole = np.tile(np.concatenate([[-np.inf], np.zeros(d + 1)]), (len(model), 1))
+        for row in wanted.mapInArrow(sums, "_cell int, _v binary").collect():
+            whole[row["_cell"]] = _add_scaled(whole[row["_cell"]], np.frombuffer(row["_v"]))
+        later = np.tile(np.concatenate([[-np.inf], np.zeros(d + 1)]), (len(model), 1))
+        for c in range(len(model) - 2, -1, -1):
+            if self.group[c] == self.group[c + 1]:
+                later[c] = _add_scaled(later[c + 1], whole[c + 1])
+        sent = context.broadcast((later, whole))
+
+        def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (own, coefficients), (behind, all_) = known.value, sent.value
             held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for m, part in batch.groupby("_m"):
-                    held[m] = held.get(m, np.zeros(d)) + part["_c"].to_numpy() @ stack(part["_x"])
-            for m, g in held.items():
-                yield pd.DataFrame({"_m": [m], "_g": [g]})
-
-        parts = pull.mapInPandas(reduce, "_m int, _g array<double>")
-        pulls = parts.groupBy("_m").agg(vector_to_array(Summarizer.sum(array_to_vector("_g"))).alias("_g"))
-        likelihoods = shares.groupBy("_m").agg(F.sum("loglik").alias("_l"))
+            for cell, alone, t, e, x in _blocks(batches):
+                m = int(own[cell])
+                eta = x @ coefficients[m]
+                rest = _add_scaled(behind[cell], all_[cell]) if alone else behind[cell]
+                top = max(rest[0], eta.max())
+                scale = np.exp(rest[0] - top) if np.isfinite(rest[0]) else 0.0
+                if alone:  # one time: everyone here and behind is at risk
+                    at_risk = np.full(len(t), rest[1] * scale)
+                else:
+                    share = np.exp(eta - top)
+                    first = np.searchsorted(t, t)  # the first row of each time
+                    at_risk = (np.cumsum(share[::-1])[::-1] + rest[1] * scale)[first]
+                inverse = np.where(e > 0, e / at_risk, 0.0)
+                pull = e @ x - rest[2:] * (scale * inverse.sum())
+                if not alone:
+                    until = np.searchsorted(t, t, side="right") - 1
+                    pull = pull - (share * np.cumsum(inverse)[until]) @ x
+                add = np.concatenate([[(e * (eta - top - np.log(at_risk))).sum()], pull])
+                held[m] = held[m] + add if m in held else add
+            for m, v in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["_m", "_v"])
+
+        totals = {m: np.zeros(d + 1) for m in betas}
+        for row in wanted.mapInArrow(gradients, "_m int, _v binary").collect():  # one row per task and model
+            totals[row["_m"]] += np.frombuffer(row["_v"])
+        known.destroy()
+        sent.destroy()
         out = {}
-        for row in pulls.join(likelihoods, "_m").collect():  # one row per model
-            m, beta, alpha = row["_m"], betas[row["_m"]], alphas[row["_m"]]
-            loss = -row["_l"] / self.n[m] + 0.5 * alpha * beta @ beta
-            out[m] = (float(loss), -np.asarray(row["_g"]) / self.n[m] + alpha * beta)
+        for m, v in totals.items():
+            beta, alpha = betas[m], alphas[m]
+            out[m] = (float(-v[0] / self.n[m] + 0.5 * alpha * beta @ beta), -v[1:] / self.n[m] + alpha * beta)
         return out
 
 
+def _add_scaled(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums kept as (top, values / exp(top))."""
+    top = max(a[0], b[0])
+    if not np.isfinite(top):
+        return a
+    return np.concatenate([[top], a[1:] * np.exp(a[0] - top) + b[1:] * np.exp(b[0] - top)])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            cell, alone, n = (batch.column(k)[r].as_py() for k in range(3))
+            t, e, x = (np.frombuffer(batch.column(k)[r].as_buffer()) for k in (3, 4, 5))
+            yield cell, alone, t, e, x.reshape(n, -1)
+
+
+def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one range each from rows in order; a range of one time is cut after RANGE_ROWS rows."""
+    held: list[tuple] = []
+
+    def block() -> pa.RecordBatch:
+        t, e, x = (np.concatenate([h[k] for h in held]) for k in (2, 3, 4))
+        cell, alone = held[0][:2]
+        held.clear()
+        cells = [pa.array([v.tobytes()], pa.binary()) for v in (t, e, x)]
+        return pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([alone], pa.int32()), pa.array([len(t)], pa.int32()), *cells], names=["_cell", "_alone", "_n", "_t", "_e", "_x"])
+
+    for batch in batches:
+        cell, alone, t, e = (np.asarray(batch.column(k)) for k in range(4))
+        x = np.asarray(batch.column(4).flatten()).reshape(len(cell), -1)
+        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            for at in range(a, b, RANGE_ROWS):
+                to = min(b, at + RANGE_ROWS)
+                if held and (held[0][0] != cell[at] or alone[at] and sum(len(h[2]) for h in held) >= RANGE_ROWS):
+                    yield block()
+                held.append((int(cell[at]), int(alone[at]), t[at:to].astype(float), e[at:to].astype(float), x[at:to]))
+    if held:
+        yield block()
+
+
 def cox_objective(rows: DataFrame, x: str, stratum: Sequence[str], beta: np.ndarray, alpha: float, **names) -> tuple[float, np.ndarray]:
     """(loss, gradient) of one model at `beta`."""
     job = CoxJob(rows.withColumn("_one", F.lit(0)), x, "_one", stratum, **names)
