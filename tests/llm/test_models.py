@@ -31,6 +31,27 @@ def test_word_probability_sums_over_all_segmentations():
             assert row[k] == pytest.approx(want, rel=1e-9)
 
 
+def test_long_words_lose_nothing_where_they_are_cut():
+    pieces = [bytes([b]) for b in range(256)] + [b" a", b"ab", b"abc", b"cabca", b"abcabcabcabcabcabcabcabcabcabcabcabcabcabcab", b"b" * 20]
+    p = np.zeros((len(pieces) + 1, 2))
+    p[1:] = np.random.default_rng(3).dirichlet(np.ones(len(pieces)), 2).T
+    model, rnd = language.Model(["x", "y"], pieces, p), random.Random(4)
+    texts = ["abc" * 40, "b" * 33, "b" * 64, "b" * 65, "b" * 333, "Abc" * 11, *("".join(rnd.choices("abcb", k=rnd.randint(1, 200))) for _ in range(40)), "x y " + "abc" * 700]
+    got = model.log_texts(pa.array(texts))
+    for text, row in zip(texts, got):
+        for k in (0, 1):
+            want = 0.0
+            for word in text.lower().split():
+                raw = b" " + word.encode()
+                alpha = [0.0]  # logarithms
+                for e in range(1, len(raw) + 1):
+                    terms = [alpha[e - len(q)] + math.log(p[j + 1, k]) for j, q in enumerate(pieces) if raw[max(0, e - len(q)) : e] == q]
+                    top = max(terms)
+                    alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+                want += alpha[-1]
+            assert row[k] == pytest.approx(want, rel=1e-9)
+
+
 def test_expected_counts_raise_the_likelihood():
     words = [b"banana", b"bandana", b"ananas", b"x" * 40]
     counts = np.array([[5, 1], [2, 0], [1, 7], [1, 1]], float)

@@ -1,13 +1,15 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has its own probabilities over one fixed public vocabulary: its
-pieces of at most LONGEST bytes and the 256 single bytes. A word's probability
-is the sum over all its segmentations into pieces, which a forward pass over the
-word's bytes adds up; a text's is the product over its words. The probabilities
-are fitted by expectation maximisation (forward and backward passes give each
-piece's expected count over all segmentations) on a bounded sample: about
-PER_LANGUAGE labelled training documents of each language, chosen by a hash of
-the id. Words of more than CUT bytes count as several, so no text is cut short.
+Each language has its own probabilities over one fixed public vocabulary: all its
+pieces and the 256 single bytes. A word's probability is the sum over all its
+segmentations into pieces, which a forward pass over the word's bytes adds up; a
+text's is the product over its words. A longer word goes through the pass CUT
+bytes at a time; the forward values that pieces can still start from are carried
+on, rescaled, so nothing is lost where it is cut. The probabilities are fitted by
+expectation maximisation (forward and backward passes give each piece's expected
+count over all segmentations) on a bounded sample: about PER_LANGUAGE labelled
+training documents of each language, chosen by a hash of the id. Only there,
+words of more than CUT bytes teach as parts of that length.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidyfold.llm.common import LOWER, batches, fold_of, mix, powers, sent, string_bytes, table, words
 
-PER_LANGUAGE, ROUNDS, LONGEST, CUT = 600, 3, 8, 32
+PER_LANGUAGE, ROUNDS, CUT = 600, 3, 32
 UNKNOWN = "und"
 
 
@@ -33,7 +35,8 @@ class Pieces:
         size = 1 << (len(pieces) * 8 - 1).bit_length()
         self.shift = np.uint64(64 - size.bit_length() + 1)
         self.keys, self.ids = np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        rows = np.zeros((len(pieces), LONGEST + 1), np.uint8)
+        self.longest = max(map(len, pieces))
+        rows = np.zeros((len(pieces), self.longest), np.uint8)
         for k, p in enumerate(pieces):
             rows[k, : len(p)] = np.frombuffer(p, np.uint8)
         total, lengths = prefixes(rows), np.array([len(p) for p in pieces])
@@ -78,29 +81,32 @@ def vocabulary(path: str) -> list[bytes]:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     usual = {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
     singles = [bytes([b]) for b in range(256)]
-    return singles + sorted(p for p in usual if 1 < len(p) <= LONGEST)
+    return singles + sorted(p for p in usual if len(p) > 1)
 
 
 class Lattice:
-    """Piece ids of all substrings of words of like length: ids[start][k] for the k-th piece length."""
+    """Piece ids of the substrings of words of like length that end behind the place `first`."""
 
-    def __init__(self, pieces: Pieces, rows: np.ndarray, lengths: np.ndarray):
+    def __init__(self, pieces: Pieces, rows: np.ndarray, lengths: np.ndarray, first: int = 0):
         self.lengths, self.width = lengths, rows.shape[1]
         total, (_, down) = prefixes(rows), powers(rows.shape[1] + 1)
         self.arcs = []
         for start in range(self.width):
             for n in pieces.lengths:
-                if start + n <= self.width:
+                if first < start + n <= self.width:
                     ids = pieces.find(mix((total[:, start + n] - total[:, start]) * down[start] + np.uint64(n)))
                     some = np.flatnonzero(ids)
                     some = some[lengths[some] >= start + n]
                     if len(some):
                         self.arcs.append((start, start + n, some, ids[some]))
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """(positions, words, languages): probability of all segmentations up to each position."""
+    def forward(self, p: np.ndarray, begin: np.ndarray | None = None) -> np.ndarray:
+        """(positions, words, languages): probability of all segmentations up to each position; `begin` are the first positions' values."""
         alpha = np.zeros((self.width + 1, len(self.lengths), p.shape[1]))
-        alpha[0] = 1
+        if begin is None:
+            alpha[0] = 1
+        else:
+            alpha[: len(begin)] = begin
         for start, end, some, ids in self.arcs:
             alpha[end, some] += alpha[start, some] * p[ids]
         return alpha
@@ -169,9 +175,37 @@ class Model:
     def log_words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """(words, languages) log-probabilities."""
         out = np.zeros((len(start), len(self.languages)))
-        for place, rows, lengths in units(raw, start, end):
+        short = np.flatnonzero(end - start <= CUT)
+        for place, rows, lengths in units(raw, start[short], end[short]):
             lattice = Lattice(self.found, rows, lengths)
-            np.add.at(out, place, np.log(np.maximum(lattice.total(lattice.forward(self.p)), 1e-300)))
+            out[short[place]] = np.log(np.maximum(lattice.total(lattice.forward(self.p)), 1e-300))
+        long = np.flatnonzero(end - start > CUT)
+        for at in range(0, len(long), 1000):
+            out[long[at : at + 1000]] = self.log_long(raw, start[long[at : at + 1000]], end[long[at : at + 1000]])
+        return out
+
+    def log_long(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same for long words, CUT bytes at a time from the last forward values that a piece can start from."""
+        keep = self.found.longest
+        out, scale = np.zeros((2, len(start), len(self.languages)))
+        length, open_, done = end - start + 1, np.arange(len(start)), 0
+        carried = np.zeros((keep + 1, len(start), len(self.languages)))
+        carried[keep] = 1
+        while len(open_):
+            # The word's bytes from `keep` before to CUT behind what is done; byte 0 is the space before the word.
+            place = done - keep + np.arange(keep + CUT)
+            at = start[open_][:, None] + place - 1
+            inside = (place >= 1) & (place < length[open_][:, None])
+            rows = np.where(inside, LOWER[raw[np.clip(at, 0, len(raw) - 1)]], np.uint8(0))
+            rows[:, place == 0] = 0x20
+            left = np.minimum(length[open_] - done, CUT)
+            alpha = Lattice(self.found, rows, keep + left, keep).forward(self.p, carried)
+            last = length[open_] - done <= CUT
+            out[open_[last]] = np.log(np.maximum(alpha[keep + left[last], np.flatnonzero(last)], 1e-300)) + scale[open_[last]]
+            open_, alpha, done = open_[~last], alpha[-keep - 1 :, ~last], done + CUT
+            top = np.maximum(alpha.max(axis=0, initial=0.0), 1e-300)
+            scale[open_] += np.log(top)
+            carried = alpha / top
         return out
 
     def log_texts(self, column: pa.Array) -> np.ndarray:
@@ -238,32 +272,30 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Null texts, texts without a letter, and all texts if no language was learned
     are `und` with score 0. Ties go to the first language by name. Columns that
-    are called lang_pred or score are replaced.
+    are called lang_pred or score are replaced. Only texts go to Python.
     """
-    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_letter", "_text")]
-    columns = [F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in kept]
-    rows = docs.select(*columns, F.coalesce(F.col("text").cast("string").rlike("\\p{L}"), F.lit(False)).alias("_letter"))
-    place = kept.index("text")
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(model)
-
-    def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    text = F.col("text").cast("string")
+    letter = F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+    if model is None:
+        return docs.select(*kept, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<place int, score double>")
+    def posterior(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for part in batches(parts, 1000):
-            letter, text = part.column(part.num_columns - 1), part.column(place)
-            if own is None or part.num_rows == 0:
-                names, scores = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            else:
-                logs = own.log_texts(text)
-                top = logs.argmax(axis=1)
-                scores = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                good = np.asarray(letter.cast(pa.int8())).astype(bool)
-                names = [own.languages[k] if g else UNKNOWN for k, g in zip(top, good)]
-                scores = np.where(good, scores, 0.0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
-
-    schema = docs.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return rows.mapInArrow(work, schema)
+        for part in parts:
+            places, scores = [np.zeros(0, np.int32)], [np.zeros(0)]
+            for piece in batches([pa.RecordBatch.from_arrays([part], names=["text"])], 1000):
+                logs = own.log_texts(piece.column(0))
+                places.append(logs.argmax(axis=1).astype(np.int32))
+                scores.append(1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(scores))], names=["place", "score"])
+
+    names = F.array(*[F.lit(x) for x in model.languages])
+    found = docs.select(*kept, letter.alias("__letter"), posterior(text).alias("__found"))
+    outcome = [F.when(F.col("__letter"), F.get(names, F.col("__found.place"))).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("__letter"), F.col("__found.score")).otherwise(0.0).alias("score")]
+    return found.select(*kept, *outcome)
 
 
 def labelled(docs: DataFrame) -> DataFrame:
