@@ -11,7 +11,8 @@ threshold. Blocks whose total bound is below the threshold are skipped. Blocks g
 by falling bound, so thresholds rise early. Shards' lists are merged by query.
 
 All comparisons are between exact integers: sums are done in a float type only
-where the largest possible sum is exactly representable.
+where the largest possible sum is exactly representable, and in unbounded
+integers where it may pass 64 bits; a score that does is an error.
 """
 
 from __future__ import annotations
@@ -27,29 +28,35 @@ from pyspark.sql import functions as F
 from tidyfold.llm.common import table
 
 TOP, SCALE, EVERY = 20, 64, 20
-#: Candidates of a shard and of a block in it, queries of a block; components beyond MOST are held there so that sums fit 64 bits.
-SHARD_ROWS, BLOCK_ROWS, QUERY_ROWS, MOST = 8192, 1024, 16384, 1 << 26
+#: Candidates of a shard and of a block in it, queries of a block.
+SHARD_ROWS, BLOCK_ROWS, QUERY_ROWS = 8192, 1024, 16384
 
-QUANTISED = "vec_id long, whole binary"
+QUANTISED = "row long, vec_id long, whole binary, wide boolean"
 
 
 def _quantise(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """floor(64 x) of each component; vectors that are null or hold null or non-finite components go."""
+    """floor(64 x) of each component, in 32 bits, or 64 where it needs them; vectors that are null or hold null or non-finite components go."""
     for part in parts:
-        ids, out = [], []
-        for i, x in zip(part.column(0).to_pylist(), part.column(1)):
+        rows, ids, out, wide = [], [], [], []
+        for row, i, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
             if i is None or not x.is_valid or x.values.null_count:
                 continue
             v = np.asarray(x.values, dtype=np.float64)
             if np.isfinite(v).all():
-                ids.append(i)
                 with np.errstate(over="ignore"):
-                    out.append(np.clip(np.floor(SCALE * v), -MOST, MOST).astype(np.int32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["vec_id", "whole"])
+                    whole = np.floor(SCALE * v)  # exact: SCALE is a power of two
+                if (np.abs(whole) >= 2.0**63).any():
+                    raise OverflowError(f"vector {i}: {SCALE} x a component doesn't fit a long")
+                whole = whole.astype(np.int64)
+                big = bool((np.abs(whole) >= 2**31).any())
+                rows.append(row), ids.append(i), wide.append(big)
+                out.append((whole if big else whole.astype(np.int32)).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(wide, pa.bool_())], names=["row", "vec_id", "whole", "wide"])
 
 
-def _matrix(group: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    return np.asarray(group.column("vec_id")), [np.frombuffer(x.as_py(), np.int32) for x in group.column("whole")]
+def _matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    whole = [np.frombuffer(x.as_py(), np.int64 if w.as_py() else np.int32) for x, w in zip(group.column("whole"), group.column("wide"))]
+    return np.asarray(group.column("row")), np.asarray(group.column("vec_id")), whole
 
 
 def _pad(rows: list[np.ndarray], width: int, kind) -> np.ndarray:
@@ -69,9 +76,9 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = TOP, block: int = BLOCK_ROWS) -> list[tuple[np.ndarray, np.ndarray]]:
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int = TOP, block: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, scores) of each query's k best of the vectors (an exact type), its own id left out."""
-    blocks = []
+    blocks, block = [], block or BLOCK_ROWS
     for at in range(0, len(ids), block):
         own = np.ascontiguousarray(vectors[at : at + block].T)
         blocks.append((ids[at : at + block], own, own.max(axis=1), own.min(axis=1)))
@@ -120,36 +127,56 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     return out
 
 
-def _search(left: pa.Table, right: pa.Table) -> pa.Table:
-    (ids, rows), (query_ids, query_rows) = _matrix(left), _matrix(right)
-    out = {"query_id": [], "vec_id": [], "score": []}
-    if len(ids) and len(query_ids):
-        width = max(map(len, [*rows, *query_rows]))
-        most = [max((int(np.abs(r).max()) for r in x if len(r)), default=0) for x in (rows, query_rows)]
-        reach = most[0] * most[1] * max(width, 1)
-        kind = np.float32 if reach < 2**22 else np.float64 if reach < 2**51 else np.int64
-        found = search(ids, _pad(rows, width, kind), query_ids, _pad(query_rows, width, kind)) if width else [(ids[ids != q][np.argsort(ids[ids != q])][:TOP], np.zeros(min(TOP, int((ids != q).sum())))) for q in query_ids]
-        for q, (near, scores) in zip(query_ids, found):
-            out["query_id"].append(np.full(len(near), q)), out["vec_id"].append(near), out["score"].append(scores)
-    return pa.table({k: pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for k, v in out.items()})
+def _exact(ids: np.ndarray, rows: list[np.ndarray], own_id: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A query's best with unbounded integers, where sums may pass 64 bits."""
+    q = query.tolist()
+    scores = [sum(a * b for a, b in zip(q, r.tolist())) for r in rows]
+    if any(abs(x) >= 2**63 for x, i in zip(scores, ids) if i != own_id):
+        raise OverflowError(f"query {own_id}: a score doesn't fit a long")
+    some = np.flatnonzero(ids != own_id)
+    scores = np.array([scores[k] for k in some], np.int64)
+    top = best(scores, ids[some], TOP)
+    return ids[some][top], scores[top]
+
+
+def _search(block: int):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        (_, ids, rows), (query_rows, query_ids, queries) = _matrix(left), _matrix(right)
+        out = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
+        if len(ids) and len(query_ids):
+            width = max(1, *map(len, rows), *map(len, queries))
+            most = [max((max(-int(r.min()), int(r.max())) for r in x if len(r)), default=0) for x in (rows, queries)]
+            reach = most[0] * most[1] * width
+            if reach < 2**62:
+                kind = np.float32 if reach < 2**22 else np.float64 if reach < 2**51 else np.int64
+                found = search(ids, _pad(rows, width, kind), query_ids, _pad(queries, width, kind), block=block)
+            else:
+                found = [_exact(ids, rows, i, q) for i, q in zip(query_ids, queries)]
+            for row, q, (near, scores) in zip(query_rows, query_ids, found):
+                out["query_row"].append(np.full(len(near), row)), out["query_id"].append(np.full(len(near), q)), out["vec_id"].append(near), out["score"].append(scores)
+        return pa.table({k: pa.array(np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64)) for k, v in out.items()})
+
+    return work
 
 
 def top_products(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's TOP candidates by inner product of floor(64 x).
 
     Both sides are (vec_id, embedding). Components that a vector lacks against a
-    longer one count as 0; components beyond 2^26 are held there. Candidates with the query's id
-    are its own and left out; other repeated ids are candidates of their own.
-    Vectors without an id take no part. Empty tables give empty results.
+    longer one count as 0. Candidates with the query's id are its own and left
+    out; other repeated ids are candidates of their own, and each query row has
+    a list of its own, repeated ids included. Vectors without an id take no
+    part. A score or 64 x that doesn't fit a long is an error. Empty tables give
+    empty results.
     """
-    quantised = lambda df: df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_quantise, QUANTISED)
+    quantised = lambda df: df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_quantise, QUANTISED)
     n, m = candidates.count(), queries.count()
     shards, blocks = n // SHARD_ROWS + 1, m // QUERY_ROWS + 1
     everywhere = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = quantised(candidates).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", everywhere(blocks))
-    right = quantised(queries).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", everywhere(shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    left = quantised(candidates).withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", everywhere(blocks))
+    right = quantised(queries).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).withColumn("shard", everywhere(shards))
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(BLOCK_ROWS), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= TOP).select("query_id", "rank", "vec_id", "score")
 
 
@@ -159,7 +186,7 @@ def op6_top_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL = f"""
-WITH fit AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM fit q JOIN fit c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pairs)
+WITH fit AS (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL),
+pairs AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM fit q JOIN fit c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id))::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {TOP}"""
