@@ -143,17 +143,19 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
 BATCH_BYTES = 4 << 20
 
 
-def batches(parts: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut to `rows` rows and BATCH_BYTES of strings, so that work space follows the rows at hand."""
+def batches(parts: Iterator[pa.RecordBatch], rows: int = 2000, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to `rows` rows, and to `most` bytes of strings if given, so that work space follows the rows at hand."""
     for part in parts:
         size = np.zeros(part.num_rows, np.int64)
-        for column in part.columns:
+        for column in part.columns if most else []:
             if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
                 size += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + part.num_rows + 1]) if part.num_rows else 0
         reach, at = np.cumsum(size), 0
         while at < part.num_rows:
             before = int(reach[at - 1]) if at else 0
-            to = max(at + 1, min(at + rows, int(np.searchsorted(reach, before + BATCH_BYTES, side="right"))))
+            to = min(at + rows, part.num_rows)
+            if most:
+                to = max(at + 1, min(to, int(np.searchsorted(reach, before + most, side="right"))))
             yield part.slice(at, to - at)
             at = to
         pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyfold.llm.common import LOWER, batches, fold_of, mix, powers, sent, string_bytes, table, words
+from tidyfold.llm.common import BATCH_BYTES, LOWER, batches, fold_of, mix, powers, sent, string_bytes, table, words
 
 PER_LANGUAGE, ROUNDS, CUT = 600, 3, 32
 UNKNOWN = "und"
@@ -235,7 +235,7 @@ def fit(languages: list[str], texts: list[bytes], counts: np.ndarray, pieces: li
 
 
 def _word_counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches(parts):
+    for part in batches(parts, most=BATCH_BYTES):
         raw, bounds = string_bytes(part.column(1))
         start, end, hashes, cuts = words(raw, bounds)
         code = part.column(0).dictionary_encode()
@@ -286,7 +286,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         own = shared.value
         for part in parts:
             places, scores = [np.zeros(0, np.int32)], [np.zeros(0)]
-            for piece in batches([pa.RecordBatch.from_arrays([part], names=["text"])], 1000):
+            for piece in batches([pa.RecordBatch.from_arrays([part], names=["text"])], 1000, BATCH_BYTES):
                 logs = own.log_texts(piece.column(0))
                 places.append(logs.argmax(axis=1).astype(np.int32))
                 scores.append(1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1))

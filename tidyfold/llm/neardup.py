@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyfold.llm.common import batches, mix, sent, shingles, string_bytes, table, words, written
+from tidyfold.llm.common import BATCH_BYTES, batches, mix, sent, shingles, string_bytes, table, words, written
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
@@ -82,7 +82,7 @@ SIGNED = "doc_id long, n_shingles long, whole binary, agree binary, bands array<
 
 def _sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets' sizes, digests and sketches. `agree` holds 8 bits of each coordinate, so half a coordinate agrees by chance."""
-    for part in batches(parts):
+    for part in batches(parts, most=BATCH_BYTES):
         sizes, whole, agree, bands = [], [], [], []
         for found in text_sets(part.column(1)):
             sizes.append(len(found))
@@ -241,7 +241,7 @@ def _linked(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Full sets of texts whose digest is the class's."""
-    for part in batches(parts):
+    for part in batches(parts, most=BATCH_BYTES):
         found = list(text_sets(part.column(1)))
         mine = pa.array([len(x) > 0 and digest(x) == d for x, d in zip(found, part.column(2).to_pylist())], pa.bool_())
         yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), part.column(4), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "key", "n", "found"]).filter(mine)
