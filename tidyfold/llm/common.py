@@ -139,6 +139,17 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
+ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows of a batch of texts.
+TEXT_ROWS = "1000"
+
+
+def batch_rows(spark: SparkSession, texts: bool) -> None:
+    """Sets the rows of the batches that Spark builds for Python from now on: fewer where they are texts. A size that the session chose itself stays."""
+    if spark.conf.get(ARROW_ROWS) in (ARROW_DEFAULT, TEXT_ROWS):
+        spark.conf.set(ARROW_ROWS, TEXT_ROWS if texts else ARROW_DEFAULT)
+
+
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
