@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -151,7 +152,7 @@ def batch_rows(spark: SparkSession, texts: bool) -> None:
 
 
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def batches(parts: Iterator[pa.RecordBatch], rows: int = 2000, most: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -170,3 +171,12 @@ def batches(parts: Iterator[pa.RecordBatch], rows: int = 2000, most: int | None
             yield part.slice(at, to - at)
             at = to
         pa.default_memory_pool().release_unused()
+    if most:
+        give_back()
+
+
+def give_back() -> None:
+    """Hands the worker's free memory back to the system, where the C library can; a worker outlives its task."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
