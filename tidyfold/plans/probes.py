@@ -59,7 +59,7 @@ def classification_probe(planned: DataFrame, tasks: dict[str, Column], case: str
         n = predicted.count()
         if n == 0:
             continue
-        weights = bootstrap.bootstrap_weights(predicted, case, n_bootstrap, seed, hash_fn)
+        weights = bootstrap.bootstrap_vectors(predicted, case, n_bootstrap, seed, hash_fn)
         cells = bootstrap.weigh(predicted, weights, case, ["true", "pred"], {"w": F.lit(1.0)})
         scores = metrics.classification_scores(cells, ["replicate"])
         table = _summary(scores, ["accuracy", "balanced_accuracy", "macro_f1", "weighted_f1"])
@@ -189,7 +189,7 @@ def pathway_probe(planned: DataFrame, scores: DataFrame, key: str = "aliquot_id"
     done = stable(linear.predict_ridges(ready.filter("test"), fits, "x", "fold"))
     flat = done.select(case, F.posexplode(F.arrays_zip(F.col("_y").alias("true"), F.col("pred").alias("pred"))).alias("pathway", "_s"))
     flat = flat.select(case, "pathway", F.col("_s.true").alias("true"), F.col("_s.pred").alias("pred"))
-    weights = bootstrap.bootstrap_weights(done, case, n_bootstrap, seed, hash_fn)
+    weights = bootstrap.bootstrap_vectors(done, case, n_bootstrap, seed, hash_fn)
     sums = bootstrap.weigh(flat, weights, case, ["pathway"], metrics.squared_sums())
     table = _summary(metrics.target_r2(sums, "pathway", ["replicate"]), ["r2_pooled", "r2_pathway"])
     table = table.select(F.lit(len(pathways)).alias("pathways"), F.lit(float(np.median([f.alpha for f in fits.values()]))).alias("alpha"), "*")
@@ -208,7 +208,7 @@ def confounder_probe(planned: DataFrame, quality: Sequence[str], batches: Sequen
     folds = folds_of(planned)
     rows = stable(_centred_embedding(centre_by_group(planned.filter(tumour), ["fold", project], F.col("fit"), list(quality)), project))
     tested = planned.filter(tumour & F.col("test"))
-    weights = stable(bootstrap.bootstrap_weights(tested, case, n_bootstrap, seed, hash_fn))
+    weights = stable(bootstrap.bootstrap_vectors(tested, case, n_bootstrap, seed, hash_fn))
     table, names = None, []
     for name in quality:
         ready = rows.filter(F.col(name).isNotNull()).select("fold", "fit", "test", case, "x", F.array(F.col(name).cast("double")).alias("_y"))
@@ -254,7 +254,7 @@ def geometry_probe(planned: DataFrame, label: Column, row: str = "sample_index",
     precision = neighbours.neighbour_precision(nearest, rows.select(F.col("_id").alias("id"), F.col("_label").alias("label")), ks)
     silhouette = neighbours.silhouettes(test, "_id", "x", "_label", ["fold"]).select("_id", "silhouette")
     per_row = stable(test.select("_id", case).join(precision.withColumnRenamed("qid", "_id"), "_id", "left").join(silhouette, "_id", "left"))
-    weights = stable(bootstrap.bootstrap_weights(per_row, case, n_bootstrap, seed, hash_fn))
+    weights = stable(bootstrap.bootstrap_vectors(per_row, case, n_bootstrap, seed, hash_fn))
     table, names = None, [*[f"precision_at_{k}" for k in ks], "silhouette"]
     for name in names:
         scores = bootstrap.weighted_mean(per_row, weights, case, name)

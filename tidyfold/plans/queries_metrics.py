@@ -9,8 +9,9 @@ from tidyfold.operators import bootstrap, metrics
 from tidyfold.plans import roles
 from tidyfold.plans.registry import query
 from tidyfold.plans.roles import md5_sql
+from tidyfold.session import stable
 
-R = 20  # replicates in the registered queries; the library's default is 1,000
+R = bootstrap.N_BOOTSTRAP
 
 # true: the order's status; pred: a guess from its price and priority.
 PRED_SQL = """CASE WHEN o_totalprice > 300000 THEN 'F' WHEN o_totalprice > 150000 THEN 'O' WHEN o_orderpriority < '4' THEN 'P' ELSE 'X' END"""
@@ -186,20 +187,24 @@ def vector_unit(t):
 
 # ---- resampling
 
-BOOT_SQL = f"""numbered AS (SELECT case_id, row_number() OVER (ORDER BY substr(md5('boot:' || case_id), 1, 15), case_id) - 1 AS k, count(*) OVER () AS n
+def boot_sql(replicates: int) -> str:
+    return f"""numbered AS (SELECT case_id, row_number() OVER (ORDER BY substr(md5('boot:' || case_id), 1, 15), case_id) - 1 AS k, count(*) OVER () AS n
         FROM (SELECT DISTINCT case_id FROM rows)),
-    draws AS (SELECT r AS replicate, {md5_sql("'1'", 'r', 'i')} % n AS k FROM (SELECT DISTINCT n FROM numbered), (SELECT unnest(range(1, {R + 1})) AS r), LATERAL (SELECT unnest(range(n)) AS i)),
+    draws AS (SELECT r AS replicate, {md5_sql("'1'", 'r', 'i')} % n AS k FROM (SELECT DISTINCT n FROM numbered), (SELECT unnest(range(1, {replicates + 1})) AS r), LATERAL (SELECT unnest(range(n)) AS i)),
     weights AS (SELECT replicate::INT AS replicate, case_id, weight FROM (SELECT replicate, k, count(*) AS weight FROM draws GROUP BY 1, 2) JOIN numbered USING (k)
         UNION ALL SELECT 0, case_id, 1 FROM numbered)"""
 
 
+BOOT_SQL = boot_sql(R)
+
+
 @query("boot_weights", "WITH " + ROWS_SQL + ", " + BOOT_SQL + " SELECT replicate, case_id, weight FROM weights")
 def boot_weights(t):
     return bootstrap.bootstrap_weights(guesses(t), "case_id", R, 1, "md5")
 
 
 def weights(t, rows):
-    return bootstrap.bootstrap_weights(rows, "case_id", R, 1, "md5")
+    return stable(bootstrap.bootstrap_vectors(rows, "case_id", R, 1, "md5"))
 
 
 CELLS_SQL = "cells AS (SELECT replicate, truth, pred, sum(weight)::DOUBLE AS w FROM rows JOIN weights USING (case_id) GROUP BY 1, 2, 3)"

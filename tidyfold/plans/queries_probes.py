@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tidyfold.functions.hashing import md5_hash
 from tidyfold.operators import bootstrap, linear, splits, survival
 from tidyfold.plans import baseline, probes, roles
-from tidyfold.plans.queries_metrics import BOOT_SQL
+from tidyfold.plans.queries_metrics import boot_sql
 from tidyfold.plans.registry import query
 from tidyfold.plans.roles import SQL_SURVIVAL
 
+# Replicates of the concordance queries, whose pairs are counted per replicate; the probes take the library's default.
 R = 20
 
 
@@ -34,7 +35,7 @@ def planned(t):
 @query("probe_classification")
 def probe_classification(t):
     task = F.when(F.col("label") < 3, F.col("label"))
-    done = probes.classification_probe(planned(t), {"label": F.col("label"), "within_three": task}, "case_id", R, hash_fn="md5", max_iter=25)
+    done = probes.classification_probe(planned(t), {"label": F.col("label"), "within_three": task}, "case_id", hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
@@ -42,27 +43,27 @@ def probe_classification(t):
 def probe_invertibility(t):
     """How well a ridge recovers the products of neighbouring entries."""
     target = F.transform(F.sequence(F.lit(1), F.size("embedding") - 1), lambda i: F.get("embedding", i - 1) * F.get("embedding", i).cast("double"))
-    done = probes.invertibility(planned(t).withColumn("target", target), case="case_id", n_bootstrap=R, hash_fn="md5")
+    done = probes.invertibility(planned(t).withColumn("target", target), case="case_id", hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
 @query("probe_pathways")
 def probe_pathways(t):
     scores = t.embeddings.select(F.col("vec_id").alias("sample"), *[(F.col("embedding")[i] + F.col("embedding")[i + 1]).cast("double").alias(f"p{i}") for i in range(4)])
-    done = probes.pathway_probe(planned(t), scores, "sample", "case_id", "project", F.lit(True), n_bootstrap=R, hash_fn="md5")
+    done = probes.pathway_probe(planned(t), scores, "sample", "case_id", "project", F.lit(True), hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
 @query("probe_geometry")
 def probe_geometry(t):
-    done = probes.geometry_probe(planned(t), F.col("label"), "sample", "case_id", n_bootstrap=R, hash_fn="md5")
+    done = probes.geometry_probe(planned(t), F.col("label"), "sample", "case_id", hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
 @query("probe_confounders")
 def probe_confounders(t):
     rows = planned(t).withColumn("log_reads", F.log10(1 + F.abs(F.col("embedding")[0].cast("double"))))
-    done = probes.confounder_probe(rows, ["log_reads"], ["plate"], "sample", "case_id", "project", F.lit(True), n_bootstrap=R, hash_fn="md5")
+    done = probes.confounder_probe(rows, ["log_reads"], ["plate"], "sample", "case_id", "project", F.lit(True), hash_fn="md5")
     return done.drop(*[c for c in done.columns if c.endswith("_boot")])
 
 
@@ -83,6 +84,20 @@ def ridge_leave_one_out(t):
     return t.spark.createDataFrame(found, "alpha double, error double, chosen boolean")
 
 
+@query("ridge_leave_one_out_single", """WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x0, embedding FROM embeddings),
+    s AS (SELECT count(*) AS n, avg(x0) AS m, stddev_pop(x0) AS sd FROM v), z AS (SELECT vec_id, (x0 - m) / sd AS z, n FROM v, s),
+    y AS (SELECT vec_id, j, embedding[j]::DOUBLE AS y FROM v, (SELECT unnest(range(2, 65)) AS j)), yc AS (SELECT j, avg(y) AS my FROM y GROUP BY 1),
+    c AS (SELECT vec_id, j, z, n, y - my AS y FROM y JOIN yc USING (j) JOIN z USING (vec_id)), b AS (SELECT j, sum(z * y) AS zy FROM c GROUP BY 1),
+    e AS (SELECT a AS alpha, sum(((y - z * zy / (n + a)) / (1 - 1.0 / n - z * z / (n + a))) ^ 2) / count(*) AS error FROM c JOIN b USING (j), (SELECT unnest([0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0]::DOUBLE[]) AS a) GROUP BY 1)
+    SELECT alpha, round(error, 6) AS error, alpha = arg_min(alpha, error) OVER () AS chosen FROM e""")
+def ridge_leave_one_out_single(t):
+    """One column against the 63 others, in target tiles of 16: the whole error in closed form."""
+    rows = t.embeddings.select(F.lit(0).alias("fold"), F.slice("embedding", 1, 1).alias("x"), F.slice("embedding", 2, 63).alias("y"))
+    (fit,) = linear.fit_ridges(rows, "x", "y", "fold", targets=16).values()
+    found = [(float(a), round(float(e), 6), bool(a == fit.alpha)) for a, e in zip(linear.ALPHAS, fit.errors, strict=True)]
+    return t.spark.createDataFrame(found, "alpha double, error double, chosen boolean")
+
+
 @query("ridge_moments", """WITH e AS (SELECT label, vec_id, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)
     SELECT a.label, a.d AS i, b.d AS j, round(sum(a.x * b.x), 6) AS cross FROM e a JOIN e b USING (label, vec_id) GROUP BY 1, 2, 3""")
 def ridge_moments(t):
@@ -120,7 +135,7 @@ def survival_pairs_by_project(t):
     return sums.select("project", "concordant", F.col("pairs").cast("bigint").alias("pairs"))
 
 
-STRAT_SQL = CASES_SQL + ", rows AS (SELECT *, user_id AS case_id FROM surv), " + BOOT_SQL + """, sw AS (SELECT s.*, replicate, weight FROM rows s JOIN weights USING (case_id)),
+STRAT_SQL = CASES_SQL + ", rows AS (SELECT *, user_id AS case_id FROM surv), " + boot_sql(R) + """, sw AS (SELECT s.*, replicate, weight FROM rows s JOIN weights USING (case_id)),
     pr AS (SELECT a.replicate, a.project, sum(a.weight * b.weight) AS pairs,
         sum(a.weight * b.weight * CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) AS concordant
         FROM sw a JOIN sw b ON a.project = b.project AND a.replicate = b.replicate AND a.event = 1 AND a.time < b.time GROUP BY 1, 2),
@@ -177,7 +192,7 @@ def survival_cox_objective(t):
 def survival_cox_fit(t):
     from tidyfold.session import stable
 
-    beta = survival.fit_cox(stable(covariates(t)), "x", ["project"], 0.1, max_iter=10)
+    beta = survival.fit_cox(stable(covariates(t)), "x", ["project"], 0.1)
     return t.spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i int, beta double")
 
 
@@ -201,3 +216,24 @@ def survival_score_rows(t):
     return projects.filter("pairs > 0").select(
         "project", "patients", "events", "pairs", *[F.round(c, 6).alias(c) for c in ("c_index", "c_index_lo", "c_index_hi")]
     )
+
+
+@query("survival_penalty_path")
+def survival_penalty_path(t):
+    """The penalty that inner folds choose for each of five outer folds."""
+    from tidyfold.session import stable
+
+    rows = stable(covariates(t).drop("risk").withColumn("fold", F.pmod(F.xxhash64("user_id"), F.lit(5)).cast("int")))
+    chosen = survival.select_alphas(rows, "x", "fold", ["project"], "user_id")
+    return t.spark.createDataFrame(sorted((m, float(a)) for m, a in chosen.items()), "fold int, alpha double")
+
+
+@query("survival_probe")
+def survival_probe(t):
+    """Each project's held-out concordance, from the users' own event shares as embeddings."""
+    cases = covariates(t).drop("risk").select(F.col("user_id").alias("sample"), F.col("user_id").cast("string").alias("case_id"), "project", F.col("x").alias("embedding"), "event", "time")
+    cohort = splits.with_buckets(cases.drop("embedding", "event", "time"), "case_id", "project", roles.SALT, "md5").withColumn("sample_type", F.lit("Primary Tumor"))
+    rows = splits.plan(splits.every_fold(cases.select("sample", "embedding")), cohort, "sample", validate=False)
+    labels = cases.select("case_id", F.col("event").cast("bigint").alias("pfi_event"), F.col("time").cast("double").alias("pfi_time"))
+    _, projects = probes.survival_probe(rows, labels, n_bootstrap=R, hash_fn="md5", case="case_id", project="project", row="sample")
+    return projects.drop(*[c for c in projects.columns if c.endswith("_boot")])

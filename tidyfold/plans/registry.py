@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidyfold.session import stable
+from tidyfold.session import shared_folder, stable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,5 +39,9 @@ class Tables:
             self.kept[name] = stable(build())
         return self.kept[name]
 
+    def place(self, name: str) -> str:
+        """A new folder in the shared one, for what a query writes and reads back."""
+        return f"{shared_folder(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
