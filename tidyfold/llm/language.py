@@ -25,6 +25,8 @@ from tidyfold.llm.common import BATCH_BYTES, LOWER, batches, fold_of, mix, power
 
 PER_LANGUAGE, ROUNDS, CUT = 600, 3, 32
 UNKNOWN = "und"
+#: Bytes of text that are scored at once; a word is scored once in each such batch.
+SCORED_BYTES = 4 << 20
 
 
 class Pieces:
@@ -286,7 +288,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         own = shared.value
         for part in parts:
             places, scores = [np.zeros(0, np.int32)], [np.zeros(0)]
-            for piece in batches([pa.RecordBatch.from_arrays([part], names=["text"])], 1000, BATCH_BYTES):
+            for piece in batches([pa.RecordBatch.from_arrays([part], names=["text"])], 1000, SCORED_BYTES):
                 logs = own.log_texts(piece.column(0))
                 places.append(logs.argmax(axis=1).astype(np.int32))
                 scores.append(1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1))
