@@ -94,6 +94,16 @@ def test_runs_are_the_same_however_many_words():
     assert (few == many).all() and (a == b).all() and (few[:, a] == np.stack([one, two, three])).all()
 
 
+def test_packed_words_come_back():
+    keys = np.random.default_rng(4).integers(1, 1 << 63, 50).astype(np.uint64)
+    listed = scoring.Frequent(np.append(keys[:20], scoring.END), np.arange(21))
+    asked = np.append(keys, [scoring.END, scoring.BEGIN, scoring.AFTER])
+    for width in (8, 5):
+        got = listed.unpack(listed.pack(listed.codes(asked), asked, width), width)
+        assert (got == asked >> np.uint64(64 - 8 * width) << np.uint64(64 - 8 * width)).all()
+    assert len(listed.unpack(listed.pack(listed.codes(asked[:0]), asked[:0], 5), 5)) == 0
+
+
 def test_a_block_lays_out_its_runs():
     texts = pa.array(["a b a b", None, "c"])
     few = scoring.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64))

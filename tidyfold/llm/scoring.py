@@ -13,8 +13,9 @@ context. A trie holds c / (c(context) + l) and l / (c(context) + l).
    block repeats a run, it leaves the block once. A shard has about SHARD tokens.
    A word whose runs would fill much of a shard is dealt to several by its next
    word. The words that may need it have N / FREQUENT occurrences at least, so
-   their list, the only thing that is broadcast, has at most FREQUENT rows of 16
-   bytes at any size of the corpus. It decides where runs go, and no score.
+   their list, the only thing that is broadcast, has at most FREQUENT rows at any
+   size of the corpus, 28 bytes each. It decides where runs go and how words are
+   sent (as places in the list, which take half of the bytes), and no score.
 3. A shard builds its trie from what all blocks send, looks every run up, and
    answers each block with codes in the order of its questions.
 4. Each block, laid out again in the same order, puts codes and tokens together
@@ -38,7 +39,7 @@ SHARD, FREQUENT, SHARDS_MOST = 1_000_000, 500_000, 100_000
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 100_000
 END, BEGIN, AFTER = np.uint64(0x1D), np.uint64(0x2D), np.uint64(0x3D)  # no word hashes to them in practice
-_NEXT = np.uint64(64 - Trie.BITS)
+NEXT = Trie.BITS // 8  # bytes of the hashes of second and third words
 ASKED = "shard int, block long, words binary, pairs binary, seconds binary, runs binary, thirds binary, times binary"
 ANSWERED = "block long, shard int, counts binary, two binary, rest binary, three binary"
 LAID = "block long, doc_ids array<long>, sizes array<long>, places binary, pairs binary, runs binary"
@@ -70,16 +71,6 @@ def _numbers(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(_expand(raw), np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _forty(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray((x >> _NEXT).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_forty(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each text's words and then the end; each token's text."""
     raw, bounds = string_bytes(column)
@@ -100,18 +91,45 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Frequent:
-    """Counts of the frequent words, of the end and of the beginning, sorted by hash."""
+    """Counts of the frequent words, of the end and of what stands around texts, sorted by hash."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        ends = counts[hashes == END]
-        hashes, counts = np.append(hashes, BEGIN), np.append(counts, ends.sum())
+        self.texts = int(counts[hashes == END].sum())
+        hashes, counts = np.append(hashes, [BEGIN, AFTER]), np.append(counts, [self.texts, self.texts])
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.texts = hashes[order], counts[order], int(ends.sum())
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.ranked = np.argsort(-self.counts, kind="stable")
+        self.rank = np.empty(len(order), "<u4")
+        self.rank[self.ranked] = np.arange(len(order))
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return at, self.hashes[at] == keys
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """Counts of words; 0 where they aren't frequent."""
-        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == keys, self.counts[at], 0)
+        at, there = self._find(keys)
+        return np.where(there, self.counts[at], 0)
+
+    def codes(self, keys: np.ndarray) -> np.ndarray:
+        """Places in the list, most frequent first; the list's length for other words."""
+        at, there = self._find(keys)
+        return np.where(there, self.rank[at], len(self.rank)).astype("<u4")
+
+    def pack(self, codes: np.ndarray, keys: np.ndarray, width: int) -> bytes:
+        """Words as their codes, and the other words' `width` highest bytes."""
+        short, rare = _planes(codes), keys[codes == len(self.rank)]
+        return len(short).to_bytes(8, "little") + short + np.ascontiguousarray(rare.view(np.uint8).reshape(-1, 8)[:, 8 - width :]).tobytes()
+
+    def unpack(self, raw: bytes, width: int) -> np.ndarray:
+        """Hashes of packed words, zeros below their `width` highest bytes."""
+        to = 8 + int.from_bytes(raw[:8], "little")
+        codes, rare = _numbers(raw[8:to], "<u4"), np.frombuffer(raw[to:], np.uint8).reshape(-1, width)
+        out, wide = np.empty(len(codes), np.uint64), np.zeros((len(rare), 8), np.uint8)
+        wide[:, 8 - width :] = rare
+        listed = codes < len(self.rank)
+        out[listed], out[~listed] = self.hashes[self.ranked[codes[listed]]], wide.view(np.uint64).ravel()
+        return out & np.uint64(2**64 - (1 << 8 * (8 - width)))
 
 
 def distinct_runs(one: np.ndarray, two: np.ndarray, three: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +186,11 @@ def _ask(shards: int, share: int, frequent: Frequent):
         for part in batches(parts, BLOCK_ROWS, BLOCK_BYTES):
             block = Block(part.column(2), np.asarray(part.column(3).cast(pa.int8())), shards, share, frequent)
             cuts = np.append(np.flatnonzero(np.append(True, np.diff(block.shard) != 0)), len(block.shard))
-            rows = []
+            rows, codes = [], frequent.codes(block.known)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 word, pair, pairs, runs = block.groups(a, b)
-                known = block.known
-                rows.append((int(block.shard[a]), part.column(0)[0].as_py(), known[block.one[word]].tobytes(), _planes(pairs), _forty(known[block.two[pair]]), _planes(runs), _forty(known[block.three[a:b]]), _planes(block.times[a:b])))
+                one, two, three = (frequent.pack(codes[x], block.known[x], width) for x, width in ((block.one[word], 8), (block.two[pair], NEXT), (block.three[a:b], NEXT)))
+                rows.append((int(block.shard[a]), part.column(0)[0].as_py(), one, _planes(pairs), two, _planes(runs), three, _planes(block.times[a:b])))
             types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split(" ")[0] for c in ASKED.split(", ")])
 
@@ -198,8 +216,8 @@ def _answer(frequent: Frequent):
 
     def work(group: pa.Table) -> pa.Table:
         get = lambda k, read: [read(x.as_py()) for x in group.column(k)]
-        words_ = get("words", lambda x: np.frombuffer(x, np.uint64))
-        seconds, thirds = get("seconds", _from_forty), get("thirds", _from_forty)
+        words_ = get("words", lambda x: frequent.unpack(x, 8))
+        seconds, thirds = (get(k, lambda x: frequent.unpack(x, NEXT) >> np.uint64(64 - Trie.BITS)) for k in ("seconds", "thirds"))
         pairs, runs, times = (get(k, lambda x: _numbers(x, "<u4")) for k in ("pairs", "runs", "times"))
         # All blocks' words, pairs and runs as ranks, each level below the ranks of the level above.
         known, word = np.unique(np.concatenate(words_), return_inverse=True)
