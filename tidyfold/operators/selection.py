@@ -57,6 +57,7 @@ PROJECT_ORGAN = {
     "TCGA-UCS": "uterus",
     "TCGA-UVM": "eye",
 }
+# The chromosomes in order.
 CHROMOSOMES = tuple(f"chr{c}" for c in [*range(1, 23), "X", "Y", "M"])
 PAR_Y = "_PAR_Y"
 
