@@ -69,6 +69,17 @@ def test_many_blocks_and_shards(spark, monkeypatch):
     monkeypatch.setattr(suffixdedup, "_SLICE", 700)
     cut = suffixdedup.records(raw, bounds)
     assert whole[1].sum() == cut[1].sum() and set(whole[2].tolist()) == set(cut[2].tolist())
+    # Shards are chosen by the driver, so many of them meet the blocks of several partitions here.
+    total = sum(len(t.encode()) for _, t in rows)
+    assert total // suffixdedup.SHARD_BYTES > 5
+    check(spark, rows)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    long = "one and the same passage that is longer than fifty bytes in all"
+    docs = spark.createDataFrame([(1, long, "a", 7, "x"), (2, long + " end", "b", 8, "y")], "doc_id long, text string, kept string, n_bytes int, shard string")
+    got = sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffixdedup.remove_repeats(docs).select("doc_id", "n_removed", "kept").collect())
+    assert got == [(1, 0, long.encode()), (2, len(long), b" end")]
 
 
 def test_suffixes_are_in_order():
