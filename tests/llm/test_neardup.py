@@ -75,3 +75,10 @@ def test_texts_of_one_id_are_in_one_component(spark):
     assert len(got) == len(rows)
     want = {3: 3, 5: 3, 9: 3, 10: 3, 11: 11, None: None, 20: 20}
     assert all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == want[r.doc_id]) for r in got)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    long = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, long, 5, "a", 9), (2, long, 6, "b", 9), (3, "other words", 7, "c", 9)], "doc_id long, text string, id int, whole string, key int")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(1, 6, 1, True), (2, 6, 1, False), (3, 1, 3, True)]

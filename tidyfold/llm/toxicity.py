@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, float]:
 
     The sample is drawn from the labels, so it is bounded before it meets the
     texts: about SAMPLE rows a class are sent to the documents, which stay where
-    they are.
+    they are. An id labelled twice counts with each of its labels; labels without
+    an id or a text teach nothing.
     """
     labels = labels.filter("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     each = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
