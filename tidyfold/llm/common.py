@@ -140,15 +140,17 @@ def shingles(hashes: np.ndarray, width: int = 5) -> np.ndarray:
     return np.unique(mix(total))
 
 
-ARROW_ROWS, ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-#: Rows of a batch of texts.
-TEXT_ROWS = "1000"
+#: What bounds a batch for Python by rows and by bytes, and what a task holds of a table before it writes; each with Spark's or the format's own value.
+ARROW_ROWS, ARROW_BYTES, GROUP_BYTES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"), ("parquet.block.size", None)
 
 
-def batch_rows(spark: SparkSession, texts: bool) -> None:
-    """Sets the rows of the batches that Spark builds for Python from now on: fewer where they are texts. A size that the session chose itself stays."""
-    if spark.conf.get(ARROW_ROWS) in (ARROW_DEFAULT, TEXT_ROWS):
-        spark.conf.set(ARROW_ROWS, TEXT_ROWS if texts else ARROW_DEFAULT)
+def bound_buffers(spark: SparkSession, rows: int, most: int, group: int = 16 << 20) -> None:
+    """From now on batches for Python hold up to `rows` rows and `most` bytes, and tables are written in row groups of `group` bytes. A size that the session chose itself stays."""
+    for (name, default), size in ((ARROW_ROWS, rows), (ARROW_BYTES, most), (GROUP_BYTES, group)):
+        set_here = f"tidyfold.{name}"
+        if spark.conf.get(name, None) in (default, spark.conf.get(set_here, default)):
+            spark.conf.set(name, str(size))
+            spark.conf.set(set_here, str(size))
 
 
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
