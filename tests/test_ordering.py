@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidyfold.operators import ordering
@@ -74,3 +75,23 @@ def test_running_min(spark):
     for cuts in ([], [2.5], [1.5, 2.0, 3.5]):
         out = {r["o"]: r["v"] for r in ordering.running_min(df, [], "o", "v", cuts).collect()}
         assert out == {1.0: 3.0, 2.0: 3.0, 3.0: 4.0, 4.0: 9.0}
+
+
+def test_radix_selection_matches_numpy_over_signs_scales_ties_and_weights(spark):
+    rng = np.random.default_rng(8)
+    groups = {
+        "wide": np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), np.zeros(40)]),
+        "close": 1.0 + np.arange(500) * 2.0**-52, "tied": np.repeat([-2.5, 3.0], [7, 8]), "one": np.array([4.0]), "zero": np.zeros(5),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.993, "e": 1.0}
+    found = {r["k"]: r for r in ordering.selected_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(found) == set(groups)
+    for k, v in groups.items():
+        for name, p in probs.items():
+            assert found[k][name] == pytest.approx(np.quantile(v, p), rel=1e-12, abs=0), (k, name)
+    weighted = spark.createDataFrame([(-1.0, 3), (0.0, 5), (2.0, 0), (7.0, 4)], "v double, w long")
+    out = ordering.selected_quantiles(weighted, [], "v", {"m": 0.5, "q": 0.7}, F.col("w")).first()
+    every = np.repeat([-1.0, 0.0, 7.0], [3, 5, 4])
+    assert (out["m"], out["q"]) == (np.quantile(every, 0.5), pytest.approx(np.quantile(every, 0.7)))

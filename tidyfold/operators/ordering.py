@@ -197,6 +197,57 @@ def exact_quantiles(
     )
 
 
+#: Digits of a value per doubling, level by level: each level's counts pick one digit for the next.
+LEVELS = (32, 1 << 17)
+_OCTAVES = 1100  # doublings below 1 that a double can have, and some
+
+
+def digit_of(value: Column, per_octave: int) -> Column:
+    """A whole number that never falls as the value rises: its sign and how many `1/per_octave` doublings it is from the least double."""
+    v = value.cast("double")
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(float(_OCTAVES))) + F.lit(float(_OCTAVES))) * F.lit(float(per_octave))) + 1
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
+
+
+def selected_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], weight: Column | None = None) -> DataFrame:
+    """`exact_quantiles` of all keys at once by radix selection, planned lazily.
+
+    A histogram of the values' leading digits tells in which digit a wanted rank
+    lies; only that digit's rows go on to the next histogram, and the few that
+    are left meet in a window. Histograms are added on the map side, and their
+    size depends on the values' range, not on how many there are. `df` is read
+    once for each level and once for the rest, so what must not change between
+    readings should be written before. A key without a value has no row.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("_w")).filter("_w > 0")
+    for k, per_octave in enumerate(LEVELS):
+        rows = rows.withColumn(f"_d{k}", digit_of(F.col(value), per_octave))
+    digits, by = [], keys
+    for k in range(len(LEVELS)):
+        part = W.partitionBy(*by)
+        counts = rows.groupBy(*by, f"_d{k}").agg(F.sum("_w").alias("_n")) if k == 0 else met.groupBy(*by, *digits, f"_d{k}", "_place").agg(F.sum("_w").alias("_n"))
+        counts = counts.withColumn("_before", F.sum("_n").over(part.orderBy(f"_d{k}")) - F.col("_n"))
+        if k == 0:
+            counts, last = counts.withColumn("_last", F.sum("_n").over(part) - 1), F.col("_last")
+            ends = [F.struct(F.lit(f"{name}:{end}").alias("name"), near(last * F.lit(float(p))).cast("bigint").alias("place")) for name, p in probs.items() for end, near in (("lo", F.floor), ("hi", F.ceil))]
+            counts = counts.withColumn("_wanted", F.explode(F.array(*ends))).select("*", F.col("_wanted.name").alias("_name"), F.col("_wanted.place").alias("_place"))
+            by = [*keys, "_name"]
+        inside = (F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n"))
+        digits = [*digits, f"_d{k}"]
+        picked = counts.filter(inside).select(*by, *digits, (F.col("_place") - F.col("_before")).alias("_place"))
+        met = rows.join(picked, [*keys, *digits])
+    here = W.partitionBy(*by).orderBy(value)
+    found = met.withColumn("_before", F.sum("_w").over(here) - F.col("_w"))
+    found = found.filter((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_w")))
+    total = rows.groupBy(*keys).agg(F.sum("_w").alias("_all"))
+    at = lambda name: F.max(F.when(F.col("_name") == name, F.col(value).cast("double")))
+    ends = found.groupBy(*keys).agg(*[at(f"{n}:{e}").alias(f"_{n}_{e}") for n in probs for e in ("lo", "hi")])
+    part = lambda p: (F.col("_all") - 1) * F.lit(float(p)) - F.floor((F.col("_all") - 1) * F.lit(float(p)))
+    whole = ends.join(total, keys) if keys else ends.withColumn("_all", total.scalar())
+    return whole.select(*keys, *[(F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * part(p)).alias(n) for n, p in probs.items()])
+
+
 def running_min(df: DataFrame, keys: Sequence[str], order: str, value: str, cuts: Sequence[float] | None = None, descending: bool = True) -> DataFrame:
     """(keys, order, value): the smallest `value` at this `order` or any earlier one; descending by default."""
     keys = list(keys)

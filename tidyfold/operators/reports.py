@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidyfold.functions.arrays import LIBRARY_SIZE
-from tidyfold.operators.ordering import exact_quantiles
+from tidyfold.operators.ordering import selected_quantiles
 
 
 def log_normalize_tidy(values: DataFrame, sample: str, value: str = "value", library_size: float = LIBRARY_SIZE) -> DataFrame:
@@ -61,7 +61,7 @@ def histogram(df: DataFrame, value: str, step: float) -> DataFrame:
 
 def quantile_row(df: DataFrame, value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles of a whole column in one row."""
-    return exact_quantiles(df, [], value, probs)
+    return selected_quantiles(df, [], value, probs)
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

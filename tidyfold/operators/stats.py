@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyfold.operators.ordering import exact_quantiles, top_k
+from tidyfold.operators.ordering import selected_quantiles, top_k
 from tidyfold.session import stable
 
 
@@ -133,19 +133,16 @@ def tokens(rows: DataFrame, tokenizer: DataFrame, n_bins: int, value: str = "val
     return rows.withColumn("token", token(F.col(value), tokenizer.scalar(), n_bins))
 
 
-def median_absolute_deviation(
-    train: DataFrame, n_samples: Column | int, feature: str = "feature", value: str = "value",
-    cuts: list[float] | None = None,
-) -> DataFrame:
-    """(feature, median, mad), exact, implied zeros counted."""
+def median_absolute_deviation(train: DataFrame, n_samples: Column | int, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(feature, median, mad), exact, implied zeros counted; all features in the same passes. Values and medians are written once."""
     n = n_samples if isinstance(n_samples, Column) else F.lit(n_samples)
     counted = train.groupBy(feature, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_w"))
-    zeros = train.groupBy(feature).agg((n - F.count("*")).alias("_w")).filter(F.col("_w") > 0)
-    grid = stable(counted.unionByName(zeros.select(feature, F.lit(0.0).alias("_v"), "_w")))
-    medians = exact_quantiles(grid, [feature], "_v", {"median": 0.5}, cuts, F.col("_w"))
+    written = stable(counted)
+    zeros = written.groupBy(feature).agg((n - F.sum("_w")).alias("_w")).filter(F.col("_w") > 0)
+    grid = written.unionByName(zeros.select(feature, F.lit(0.0).alias("_v"), "_w"))
+    medians = stable(selected_quantiles(grid, [feature], "_v", {"median": 0.5}, F.col("_w")))
     gaps = grid.join(medians, feature).withColumn("_gap", F.abs(F.col("_v") - F.col("median")))
-    mads = exact_quantiles(gaps, [feature], "_gap", {"mad": 0.5}, cuts, F.col("_w"))
-    return medians.join(mads, feature)
+    return medians.join(selected_quantiles(gaps, [feature], "_gap", {"mad": 0.5}, F.col("_w")), feature)
 
 
 def top_features(stats: DataFrame, by: str, k: int, feature: str = "feature") -> DataFrame:
