@@ -42,6 +42,74 @@ def share_mask(rows: DataFrame, sample: str, count: int, feature: str = "feature
     return marked.withColumn("mask", F.coalesce("mask", F.lit(False)))
 
 
+#: Rounds of `keyed_positions`.
+ROUNDS = 6
+
+
+def grid_sides(n: int) -> tuple[int, int]:
+    """Sides of the smallest near-square grid with at least n cells."""
+    a = math.isqrt(n - 1) + 1
+    return a, -(-n // a)
+
+
+def keyed_positions(n: int, k: int, seed: int, *ids, hash_fn: str = "xxhash64") -> Column:
+    """An array of k distinct positions of 0..n-1, drawn from (seed, ids) without listing the n.
+
+    A Feistel network permutes the cells of an a x b grid: in turn one
+    coordinate is moved by a hashed amount that the other one picks, so each
+    round can be undone. Cells from n on are passed over; there are fewer than a
+    of them, so the first k + a * b - n cells hold k positions. The amounts are
+    tables of a or b numbers per row.
+    """
+    if not 0 <= k <= n:
+        raise ValueError(f"{k} of {n} positions can't be drawn")
+    if k == 0:
+        return F.array().cast("array<int>")
+    a, b = grid_sides(n)
+    sides = [(b, a) if r % 2 == 0 else (a, b) for r in range(ROUNDS)]  # what picks, what is moved
+
+    def amounts(r: int, size: int, most: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: choice(seed, F.lit(most), *ids, F.lit(r), j, hash_fn=hash_fn).cast("int"))
+
+    tables = F.array(*[amounts(r, size, most) for r, (size, most) in enumerate(sides)])
+
+    def place(cell: Column, moves: Column) -> Column:
+        left, right = cell % a, F.floor(cell / a).cast("int")
+        for r in range(ROUNDS):
+            if r % 2 == 0:
+                left = (left + moves[r][right]) % a
+            else:
+                right = (right + moves[r][left]) % b
+        return right * a + left
+
+    cells = F.sequence(F.lit(0), F.lit(k + a * b - n - 1))
+    # One more lambda, so that a row's tables are made once and not for each cell.
+    drawn = F.transform(F.array(tables), lambda moves: F.transform(cells, lambda c: place(c, moves)))[0]
+    return F.slice(F.filter(drawn, lambda x: x < n), 1, k)
+
+
+def masked_positions(samples: DataFrame, sample: str, n_features: int, k: int, seed: int = 0, hash_fn: str = "xxhash64") -> DataFrame:
+    """(sample, position): k of all `n_features` positions for each sample, whether it stores a value there or not."""
+    return samples.select(sample).distinct().select(sample, F.explode(keyed_positions(n_features, k, seed, F.col(sample), hash_fn=hash_fn)).alias("position"))
+
+
+def bernoulli_positions(samples: DataFrame, sample: str, n_features: int, rate: float, seed: int = 0, hash_fn: str = "xxhash64") -> DataFrame:
+    """(sample, position): each of all `n_features` positions with probability `rate`; the others are dropped where they are made."""
+    every = samples.select(sample).distinct().select(sample, F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("position"))
+    return every.filter(bernoulli(rate, seed, F.col(sample), F.col("position"), hash_fn=hash_fn))
+
+
+def mask_everywhere(rows: DataFrame, positions: DataFrame, axis: DataFrame, sample: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(sample, feature, value, mask): every stored row, and a row of value 0 for each masked position that isn't stored.
+
+    `axis` (position, feature) numbers all features from 0. What is neither
+    stored nor masked is 0 and stays 0, and has no row.
+    """
+    hit = positions.join(axis.select("position", feature), "position").select(sample, feature, F.lit(True).alias("mask"))
+    met = rows.select(sample, feature, F.col(value).cast("double").alias(value)).join(hit, [sample, feature], "full")
+    return met.select(sample, feature, F.coalesce(value, F.lit(0.0)).alias(value), F.coalesce("mask", F.lit(False)).alias("mask"))
+
+
 def bernoulli(rate: float, seed: int, *ids, hash_fn: str = "xxhash64") -> Column:
     return uniform(seed, *ids, hash_fn=hash_fn) < rate
 

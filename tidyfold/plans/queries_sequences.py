@@ -184,6 +184,59 @@ def augment_views(t):
     return done.select("sample", "feature", F.round("augmented", 6).alias("augmented"))
 
 
+# ---- masks and corruption over all features, zeros that aren't stored included
+
+
+def axis(t):
+    return t.part.select(F.col("p_partkey").alias("position"), F.col("p_partkey").alias("feature"))
+
+
+def keyed_sql(rate: float, seed: int) -> str:
+    """`sampling.keyed_positions` cell by cell: (sample, feature, value) of the masked positions."""
+    moved = "cell0 AS (SELECT c_custkey AS sample, c, n, a, b, k, c % a AS l, c // a AS r FROM customer, (SELECT n, a, b, k, unnest(range(k + a * b - n)) AS c FROM axis))"
+    for i in range(sampling.ROUNDS):
+        step = f"(l + {md5_sql(repr(str(seed)), 'sample', repr(str(i)), 'r')} % a) % a AS l, r" if i % 2 == 0 else f"l, (r + {md5_sql(repr(str(seed)), 'sample', repr(str(i)), 'l')} % b) % b AS r"
+        moved += f", cell{i + 1} AS (SELECT sample, c, n, a, b, k, {step} FROM cell{i})"
+    return f""", size AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM part), axis AS (SELECT n, a, ((n + a - 1) // a)::BIGINT AS b, floor({rate}::DOUBLE * n)::BIGINT AS k FROM size), {moved},
+    hit AS (SELECT sample, r * a + l AS feature FROM cell{sampling.ROUNDS} WHERE r * a + l < n QUALIFY row_number() OVER (PARTITION BY sample ORDER BY c) <= k),
+    masked AS (SELECT h.sample, h.feature, coalesce(v.value, 0)::DOUBLE AS value FROM hit h LEFT JOIN vals v USING (sample, feature))"""
+
+
+def masked(t, rate: float, seed: int):
+    n = t.part.count()
+    samples = t.customer.select(F.col("c_custkey").alias("sample"))
+    drawn = sampling.masked_positions(samples, "sample", n, sampling.fixed_count(n, rate), seed, "md5")
+    return sampling.mask_everywhere(roles.values(t), drawn, axis(t), "sample")
+
+
+@query("mask_all_features", BASE + keyed_sql(0.15, 51) + " SELECT sample, feature, value FROM masked")
+def mask_all_features(t):
+    return masked(t, 0.15, 51).filter("mask").select("sample", "feature", "value")
+
+
+@query("mask_all_bernoulli", BASE + f""", every AS (SELECT c_custkey AS sample, position, position AS feature FROM customer, (SELECT unnest(range(count(*))) AS position FROM part))
+    SELECT sample, feature, coalesce(value, 0)::DOUBLE AS value FROM every LEFT JOIN vals USING (sample, feature) WHERE {uniform_sql(repr('52'), 'sample', 'position')} < 0.15""")
+def mask_all_bernoulli(t):
+    drawn = sampling.bernoulli_positions(t.customer.select(F.col("c_custkey").alias("sample")), "sample", t.part.count(), 0.15, 52, "md5")
+    return sampling.mask_everywhere(roles.values(t), drawn, axis(t), "sample").filter("mask").select("sample", "feature", "value")
+
+
+@query("corrupt_all_uniform", WITH_STATS + keyed_sql(0.1, 53) + f""" SELECT sample, feature, value, round(low + (high - low) * {uniform_sql(repr('54'), 'sample', 'feature')}, 6) AS corrupted
+    FROM masked JOIN stats USING (feature)""")
+def corrupt_all_uniform(t):
+    rows = masked(t, 0.1, 53).join(feature_stats(t).select("feature", "low", "high"), "feature")
+    drawn = sampling.uniform_draw(F.col("low"), F.col("high"), 54, F.col("sample"), F.col("feature"), hash_fn="md5")
+    corrupted = sampling.corrupt(F.col("mask"), drawn, F.col("value"))
+    return rows.filter("mask").select("sample", "feature", "value", F.round(corrupted, 6).alias("corrupted"))
+
+
+@query("corrupt_all_marginal", POOL_SQL.replace(", pool AS", keyed_sql(0.1, 55) + ", pool AS").replace("AS replacement FROM vals v", "AS replacement FROM masked v").replace("%SEED%", md5_sql(repr("56"), "v.sample", "v.feature")) + """
+    SELECT sample, feature, value, replacement AS corrupted, replacement <> value AS changed FROM dr""")
+def corrupt_all_marginal(t):
+    rows = sampling.marginal_draws(masked(t, 0.1, 55).filter("mask"), train(t), pool(t), "sample", seed=56, hash_fn="md5")
+    return rows.select("sample", "feature", "value", F.col("replacement").alias("corrupted"), (F.col("replacement") != F.col("value")).alias("changed"))
+
+
 def negative_sql(scope: str) -> str:
     """The layout of `sampling.number_candidates`, written as windows."""
     return f"""cand AS (SELECT {scope} AS scope, case_id, sample AS negative FROM samples WHERE split = 'train'),
