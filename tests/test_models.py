@@ -1,10 +1,12 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidyfold.functions import hashing
 from tidyfold.operators import blocks, bootstrap, checks, factorize, linear, metrics, neighbours, survival
 
 
@@ -99,6 +101,39 @@ def test_lvs_are_swept_together_or_apart(spark, monkeypatch):
     assert (whole > 0).any()
 
 
+@pytest.mark.parametrize("hash_fn", ["md5", "xxhash64"])
+def test_draws_travel_as_blocks_of_counts(spark, monkeypatch, hash_fn):
+    """Small blocks, chunks and tasks give the draws of the definition."""
+    monkeypatch.setattr(bootstrap, "BLOCK", 7)
+    monkeypatch.setattr(bootstrap, "DRAWS_HELD", 9)
+    monkeypatch.setattr(bootstrap, "DRAWS_AT_ONCE", 5)
+    rows = spark.createDataFrame([(f"c{i % 23}",) for i in range(60)] + [(None,)], "case string")
+    ranks = {r["case_rank"]: r["case"] for r in bootstrap.number_cases(rows, "case").collect()}
+    ids = spark.range(1, 5).select(F.col("id").cast("int").alias("r")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))))
+    picked = ids.select("r", F.pmod(hashing.draw(6, F.col("r"), F.col("i"), hash_fn=hash_fn), F.lit(24)).alias("k")).collect()
+    wanted = Counter((r["r"], ranks[r["k"]]) for r in picked) + Counter((0, c) for c in ranks.values())
+    flat = bootstrap.bootstrap_weights(rows, "case", 4, 6, hash_fn).collect()
+    assert len(flat) == len(wanted) and {(r["replicate"], r["case"]): r["weight"] for r in flat} == wanted
+    for r in bootstrap.bootstrap_vectors(rows, "case", 4, 6, hash_fn).collect():
+        assert r["weights"] == [wanted[b, r["case"]] for b in range(5)]
+
+
+def test_many_keys_are_weighed_in_tiles_and_slices(spark, monkeypatch):
+    """Partial sums of many keys meet in one task per tile and slice; before, every task sent every key it saw."""
+    rows = spark.createDataFrame([(f"c{i % 13}", i % 40 if i % 40 else None, float(i % 7)) for i in range(400)] + [(None, 1, 1.0)], "case string, key int, v double")
+    vectors_, flat = bootstrap.bootstrap_vectors(rows, "case", 25, 3), bootstrap.bootstrap_weights(rows, "case", 25, 3)
+    sums = {"s": F.col("v"), "n": F.lit(1)}
+    order = lambda df: sorted(map(tuple, df.select("replicate", "key", "s", "n").collect()), key=repr)
+    wanted = order(bootstrap.weigh(rows, flat, "case", ["key"], sums))
+    monkeypatch.setattr(bootstrap, "MANY_KEYS", 3)
+    monkeypatch.setattr(bootstrap, "SLICE", 8)
+    for held in (64, 16_000_000):
+        monkeypatch.setattr(bootstrap, "HELD", held)
+        done = bootstrap.weigh(rows, vectors_, "case", ["key"], sums)
+        assert order(done) == wanted
+    assert "_tile" in done._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_weights_as_arrays_weigh_like_rows(spark):
     rows = spark.createDataFrame([(f"c{i % 9}", i % 4 if i % 11 else None, float(i) if i % 5 else None, i) for i in range(60)], "case string, grp int, v double, n int")
     flat = bootstrap.bootstrap_weights(rows, "case", 25, 3)
