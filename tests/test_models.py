@@ -127,7 +127,8 @@ def test_many_keys_are_weighed_in_tiles_and_slices(spark, monkeypatch):
     wanted = order(bootstrap.weigh(rows, flat, "case", ["key"], sums))
     monkeypatch.setattr(bootstrap, "MANY_KEYS", 3)
     monkeypatch.setattr(bootstrap, "SLICE", 8)
-    for held in (64, 16_000_000):
+    monkeypatch.setattr(bootstrap, "N_BOOTSTRAP", 25)
+    for held in (640, 16_000_000):
         monkeypatch.setattr(bootstrap, "HELD", held)
         done = bootstrap.weigh(rows, vectors_, "case", ["key"], sums)
         assert order(done) == wanted
