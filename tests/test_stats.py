@@ -262,3 +262,27 @@ def test_hvg_embeddings_hold_standardised_zeros_and_can_be_written(spark, tmp_pa
             assert e == pytest.approx((stored.get((r["sample"], f), 0.0) - mean) / sd)
     write_baseline(rows.select(F.col("sample").alias("sample_index"), "fold", "embedding"), str(tmp_path / "hvg"))
     assert read_embeddings(spark, str(tmp_path / "hvg")).count() == 100
+
+
+def test_members_bind_without_a_shuffle_of_what_they_make(spark):
+    edges = spark.createDataFrame([("s", "A"), ("s", "A"), ("t", "A"), ("t", "B"), (None, "A"), ("u", None)], "set string, member string")
+    genes = spark.createDataFrame([("A", 1), ("A", 2), ("A", 2), ("B", 3), (None, 4), ("C", 5), ("B", None)], "gene_name string, gene_index int")
+    found = sets.bind_members(edges, genes)
+    wanted = [(None, "A", 1), (None, "A", 2), ("s", "A", 1), ("s", "A", 2), ("t", "A", 1), ("t", "A", 2), ("t", "B", 3), ("t", "B", None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted, key=repr)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_grids_of_samples_and_sets_are_made_after_the_last_shuffle(spark):
+    values = spark.createDataFrame([(1, 10, 2.0), (1, 20, 3.0), (2, 30, 5.0), (4, 10, 1.0)], "sample int, feature int, value double")
+    members = sets.set_weights(spark.createDataFrame([("a", 10, True), ("a", 20, True), ("b", 30, True), ("c", 40, False), (None, 10, True)], "set string, feature int, present boolean"))
+    samples = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "sample int")
+    bias = spark.createDataFrame([("a", 0.5), ("b", 1.0), ("b", 1.0), ("d", 9.0), ("c", None)], "set string, bias double")
+    done = sets.score_sets(values, members, "sample", bias, samples=samples)
+    wanted = [(s, "a", 0.5 + (2.5 if s == 1 else 0)) for s in (1, 2, 3, None)] + 2 * [(s, "b", 1.0 + (5.0 if s == 2 else 0)) for s in (1, 2, 3, None)] + [(s, "c", 0.0) for s in (1, 2, 3, None)]
+    assert sorted(map(tuple, done.collect()), key=repr) == sorted(wanted, key=repr)
+    node = done._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Generate":  # above the rows' making nothing joins or gathers them
+        assert node.nodeName() in ("Project", "Filter")
+        node = node.children().apply(0)
+    assert sets.score_sets(values.limit(0), members.filter("set = 'z'"), "sample", samples=samples).count() == 0
