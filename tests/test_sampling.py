@@ -58,3 +58,34 @@ def test_masks_reach_zeros_that_are_not_stored(spark):
     every = sampling.bernoulli_positions(samples, "sample", 4, 1.0)
     assert sampling.mask_everywhere(rows, every, axis, "sample").filter("mask").count() == 12
     assert sampling.mask_everywhere(rows.limit(0), every.limit(0), axis, "sample").count() == 0
+
+
+@pytest.mark.parametrize("hash_fn", ["xxhash64", "md5"])
+def test_lists_hold_the_same_positions_and_are_dealt_over_tasks(spark, hash_fn):
+    samples = spark.createDataFrame([(s,) for s in (1, 2, 3, 3, None)], "sample int")
+    for n, k in ((1, 1), (7, 0), (10, 4), (1000, 150)):
+        rows = sampling.masked_lists(samples, "sample", n, k, 5, hash_fn)
+        wanted = samples.distinct().select("sample", sampling.keyed_positions(n, k, 5, F.col("sample"), hash_fn=hash_fn).alias("p")).collect()
+        assert {r["sample"]: r["positions"] for r in rows.collect()} == {r["sample"]: r["p"] for r in wanted}
+    every = samples.distinct().select("sample", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("position"))
+    hit = every.filter(sampling.bernoulli(0.15, 6, F.col("sample"), F.col("position"), hash_fn=hash_fn))
+    found = sampling.bernoulli_positions(samples, "sample", 200, 0.15, 6, hash_fn)
+    assert sorted(map(str, found.collect())) == sorted(map(str, hit.collect()))
+    for drawn in (sampling.masked_positions(samples, "sample", 1000, 150, 5, hash_fn), found):
+        assert drawn.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_bernoulli_bound_is_the_first_draw_not_below_the_rate():
+    for rate in (0.0, 0.15, 0.3, 1 / 3, 1.0):
+        cut = sampling._first_above(rate)
+        assert float(cut) / sampling.SPAN >= rate and (cut == 0 or float(cut - 1) / sampling.SPAN < rate)
+
+
+def test_masks_by_lists_and_by_rows_are_the_same(spark):
+    rows = spark.createDataFrame([(1, "b", 2.0), (1, "b", 7.0), (1, "c", None), (2, "a", 5.0), (9, "d", 1.0), (2, "z", 4.0), (None, "a", 3.0)], "sample int, feature string, value double")
+    axis = spark.createDataFrame([*enumerate("abcd"), (1, "b")], "position int, feature string")
+    samples = spark.createDataFrame([(1,), (2,), (3,), (None,)], "sample int")
+    for drawn in (sampling.masked_lists(samples, "sample", 5, 3, 5), sampling.bernoulli_lists(samples, "sample", 5, 0.5, 2, "md5"), sampling.masked_lists(samples, "sample", 5, 0)):
+        tidy = drawn.select("sample", F.explode("positions").alias("position"))
+        found, wanted = ([tuple(r) for r in sampling.mask_everywhere(rows, p, axis, "sample").collect()] for p in (drawn, tidy))
+        assert sorted(found, key=str) == sorted(wanted, key=str)
