@@ -159,6 +159,21 @@ def test_graph_matches_numpy(spark):
         assert out[k] == pytest.approx(w, abs=1e-9)
 
 
+@pytest.mark.parametrize("stripe", [1024, 4])
+def test_correlations_by_slices_of_samples_are_the_same(spark, stripe):
+    rng = np.random.default_rng(4)
+    base = rng.poisson(1.0, (80, 5))
+    df = tidy(spark, np.hstack([base, base + rng.poisson(0.5, (80, 5))]).astype(float))
+    fitted = stats.feature_stats(df, 80)
+    whole, cut = (
+        {(r["source"], r["target"]): r["r"] for r in graph.strongest_correlations(df, fitted, "sample", 3, 0.1, stripe=stripe, most_entries=most).collect()}
+        for most in (graph.SLICE_ENTRIES, 60)
+    )
+    assert whole and set(whole) == set(cut)
+    for k, r in whole.items():
+        assert cut[k] == pytest.approx(r, abs=1e-9)
+
+
 def test_selection(spark):
     genes = spark.createDataFrame(
         [(0, "E1.1", "A", "protein_coding", "chr2", 50), (1, "E2.3", "B", "lnc", "chr1", 9), (2, "E2.3_PAR_Y", "B", "protein_coding", "chrZ", 1),
