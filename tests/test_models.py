@@ -559,3 +559,19 @@ def test_supervision_by_organ_project_or_none(spark):
     for bad in ("none", "tissue"):
         with pytest.raises(ValueError):
             selection.supervision_labels(samples, "project", bad)
+
+
+def test_dense_rows_and_affine_maps_are_made_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(linear, "CUT_CELLS", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["x"])
+    assert [p.num_rows for p in linear.cut([batch], 3)] == [3, 3, 3, 1] and [p.num_rows for p in linear.cut([batch.slice(0, 2)], 99)] == [1, 1]
+    values = spark.createDataFrame([(s, f, float(s + 10 * f)) for s in range(1, 20) for f in (0, 2)] + [(1, 1, None)], "sample int, feature int, value double")
+    features = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "index int, feature int")
+    samples = spark.range(21).select(F.col("id").cast("int").alias("sample"))
+    rows = factorize.to_arrays(values, features, samples, "sample")
+    found = {r["sample"]: r["y"] for r in rows.collect()}
+    assert found == {s: [float(s), None if s == 1 else 0.0, float(s + 20)] if 0 < s < 20 else [0.0] * 3 for s in range(21)}
+    mapped = linear.affine(rows.filter("sample <> 1"), "y", np.ones(3), np.array([[1.0, 0.0], [0.0, 0.0], [0.0, 2.0]]), "z").collect()
+    assert len(mapped) == 20 and all(r["z"] == [r["y"][0] - 1, 2 * (r["y"][2] - 1)] for r in mapped)
