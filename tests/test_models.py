@@ -118,6 +118,17 @@ def test_draws_travel_as_blocks_of_counts(spark, monkeypatch, hash_fn):
         assert r["weights"] == [wanted[b, r["case"]] for b in range(5)]
 
 
+def test_md5_numbers_are_those_of_the_column(spark):
+    """Draws in numpy, over changes of digits and pieces, are `md5_hash`'s."""
+    want = [r[0] for r in spark.range(8185, 10_005, numPartitions=1).select(hashing.md5_hash(-3, 17, F.col("id"))).collect()]
+    assert hashing.md5_numbers("-3:17:", 8185, 10_005).tolist() == want
+    spread = hashing.md5_numbers("1:2:", 0, 20_000)
+    assert len(spread) == 20_000 and hashing.md5_numbers("1:2:", 8190, 8195).tolist() == spread[8190:8195].tolist()
+    assert hashing.md5_numbers("1:2:", 4, 4).size == 0
+    with pytest.raises(ValueError, match="one block"):
+        hashing.md5_numbers("x" * 55, 0, 10)
+
+
 def test_many_keys_are_weighed_in_tiles_and_slices(spark, monkeypatch):
     """Partial sums of many keys meet in one task per tile and slice; before, every task sent every key it saw."""
     rows = spark.createDataFrame([(f"c{i % 13}", i % 40 if i % 40 else None, float(i % 7)) for i in range(400)] + [(None, 1, 1.0)], "case string, key int, v double")
