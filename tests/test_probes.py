@@ -40,6 +40,21 @@ def test_every_probe_reads_the_signal(spark, cohort):
     assert row["precision_at_1"] > 0.9 and row["silhouette"] > 0.3 and row["nmi"] > 0.5 and 1 < row["effective_rank"] <= 3
 
 
+def test_invertibility_draws_once(spark, cohort, monkeypatch):
+    """Its weights are read twice, so they are written; the draws would be made for each read."""
+    df, bucketed = cohort
+    planned = splits.plan(splits.every_fold(df.select("sample_index", "embedding")), bucketed).join(df.select("sample_index", "target"), "sample_index")
+    plans, weigh = [], bootstrap.weigh
+
+    def seen(rows, weights, *rest):
+        plans.append(weights._jdf.queryExecution().optimizedPlan().toString())
+        return weigh(rows, weights, *rest)
+
+    monkeypatch.setattr(bootstrap, "weigh", seen)
+    assert probes.invertibility(planned, n_bootstrap=3, alphas=(1.0,)).count() == 1
+    assert plans and not any("Arrow" in p or "Range" in p for p in plans)
+
+
 def test_invertibility_by_definition_in_any_tiles(spark, cohort, monkeypatch):
     df, bucketed = cohort
     planned = splits.plan(splits.every_fold(df.select("sample_index", "embedding")), bucketed).join(df.select("sample_index", "target"), "sample_index")

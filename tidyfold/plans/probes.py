@@ -90,7 +90,7 @@ def invertibility(planned: DataFrame, target: str = "target", case: str = "case_
     folds = folds_of(planned)
     fits = linear.fit_ridges(planned.filter("fit"), "embedding", target, "fold", alphas)
     numbered = stable(planned.filter("test").select(F.monotonically_increasing_id().alias("_row"), case, "fold", "embedding", target))
-    vectors = bootstrap.bootstrap_vectors(numbered, case, n_bootstrap, seed, hash_fn)
+    vectors = stable(bootstrap.bootstrap_vectors(numbered, case, n_bootstrap, seed, hash_fn))
     rows = numbered.join(vectors, case).withColumn("_id", F.array(F.col("_row").cast("double")))
     packed = pack(rows, ["embedding", target, "weights", "_id"], F.col("fold"))
     sums, shifted, value = _tiled_sums(packed, fits, target)
