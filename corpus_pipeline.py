@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyfold.llm import decontaminate, language, mixing, neardup, suffixdedup
-from tidyfold.llm.common import bound_buffers, sent, table, written
+from tidyfold.llm.common import BATCH_BYTES, bound_buffers, sent, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, and one row of each id; rows without an id stay."""
-    bound_buffers(spark, 1000, 4 << 20)
+    bound_buffers(spark, 1000, BATCH_BYTES)
     found = written(neardup.near_duplicates(docs.select("doc_id", "text")))
     kept = without(docs, found.filter(~F.col("kept")).select("doc_id").distinct())
     repeated = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
@@ -43,9 +43,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings that repeat from documents of smaller ids. A character that a cut goes through goes whole."""
-    bound_buffers(spark, 10_000, suffixdedup.BLOCK_BYTES)  # a block of texts comes from one batch
-    found = suffixdedup.remove_repeats(docs)
-    text = F.pandas_udf(lambda kept: kept.map(lambda raw: raw.decode("utf-8", "ignore")), "string")(F.col("kept"))
+    bound_buffers(spark, 1000, BATCH_BYTES)
+    found = suffixdedup.remove_repeats(docs, as_text=True)
+    text = F.col("kept")
     columns = [text.alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col("others")[c].alias(c) for c in docs.columns]
     return found.select(*columns)
 

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 
 import corpus_pipeline
 from tests.llm.test_suffixdedup import brute as cut
+from tidyfold.llm import common
 from tidyfold.llm.common import written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,3 +100,17 @@ def test_a_leak_takes_its_own_row_only(spark, tmp_path):
     kept = dict(corpus_pipeline.STAGES)["benchmark_leaks"](spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra"]
     assert sorted(repr((r.doc_id, r.text)) for r in kept.collect()) == sorted(repr(x) for x in [(None, clean), (7, clean), (None, None)])
+
+
+def test_buffers_are_bounded_unless_the_session_chose(spark):
+    """A setting that nobody made reads as None, not as Spark's own value, so the bounds on batches were never set."""
+    session = spark.newSession()
+    names = [name for name, _ in (common.ARROW_ROWS, common.ARROW_BYTES, common.GROUP_BYTES, common.READ_ROWS)]
+    session.conf.set(common.GROUP_BYTES[0], "12345678")
+    common.bound_buffers(session, 1000, 4 << 20)
+    assert [session.conf.get(n) for n in names] == ["1000", str(4 << 20), "12345678", str(common.READ_AT_ONCE)]
+    common.bound_buffers(session, 1000, 1 << 20)
+    assert [session.conf.get(n) for n in names] == ["1000", str(1 << 20), "12345678", str(common.READ_AT_ONCE)]
+    session.conf.set(common.ARROW_BYTES[0], "5000000")
+    common.bound_buffers(session, 500, 1 << 20)
+    assert [session.conf.get(n) for n in names] == ["500", "5000000", "12345678", str(common.READ_AT_ONCE)]

@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from tidyfold.llm import suffixdedup
 from tidyfold.llm.induced import permuted_prefixes, suffix_array
 
@@ -82,6 +84,49 @@ def test_extra_columns_with_clashing_names(spark):
     assert got == [(1, 0, long.encode()), (2, len(long), b" end")]
 
 
+def test_blocks_go_on_over_batches(monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BLOCK_BYTES", 1000)
+    rnd = random.Random(5)
+    sizes = [rnd.choice([0, 1, 90, 300, 1000, 2500]) for _ in range(200)]
+    rows = [(i, i if i % 7 else None, "xyé"[i % 3] * n if n else None, {"extra": i}) for i, n in enumerate(sizes)]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["row", "doc_id", "text", "others"])
+    for step in (1, 7, 200):
+        blocks = pa.Table.from_batches(suffixdedup._pack(whole.slice(a, step) for a in range(0, 200, step))).to_pylist()
+        texts, held = [], [sum(b["sizes"]) for b in blocks]
+        for b in blocks:
+            raw, at = suffixdedup._expand(b["packed"], np.uint8).tobytes(), np.cumsum([0, *b["sizes"]])
+            texts += [raw[x:y].decode() for x, y in zip(at[:-1], at[1:])]
+            assert b["block"] == b["others"][0]["extra"] and (sum(b["sizes"]) <= 1000 or len(b["sizes"]) == 1)
+        assert texts == [t or "" for _, _, t, _ in rows]
+        assert [i for b in blocks for i in b["ids"]] == [i for _, i, _, _ in rows] and [o for b in blocks for o in b["others"]] == [o for *_, o in rows]
+        # However the rows come, a block ends only where the next text doesn't fit; the old one ended with each batch.
+        assert all(a + b["sizes"][0] > 1000 for a, b in zip(held, blocks[1:]))
+
+
+def test_text_is_decoded_where_it_is_cut(spark):
+    """As a second Python step behind the first, decoding kept two more workers on every executor of two cores."""
+    line = "one and the same passage that is longer than fifty bytes, with an é"
+    # The repeated windows end within a character: é and è share their first byte.
+    docs = spark.createDataFrame([(1, "a " + line, 7), (2, "b " + line[:-1] + "è end", 8), (3, None, 9)], "doc_id long, text string, n_chars long")
+    raw = {r.doc_id: bytes(r.kept) for r in suffixdedup.remove_repeats(docs).collect()}
+    assert raw[2] == b"b\xa8 end"
+    found = corpus_pipeline.repeated_strings(spark, docs, "")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+    assert sorted(map(tuple, found.collect())) == [(1, "a " + line, len(line) + 2), (2, "b end", 5), (3, "", 0)]
+
+
+def test_grams_of_contents_need_no_room_for_all(monkeypatch):
+    rnd = np.random.default_rng(6)
+    count = rnd.integers(1, suffixdedup.WINDOWS + 1, 3000)
+    starts = np.cumsum(count + suffixdedup.LENGTH - 1) - count - suffixdedup.LENGTH + 1
+    raw = rnd.integers(97, 100, int((count + suffixdedup.LENGTH - 1).sum())).astype(np.uint8)
+    want = np.array([(suffixdedup.gram_hashes(raw[a : a + c + suffixdedup.LENGTH - 1]) & ~np.uint64(0xFFFFF)).min() for a, c in zip(starts, count)])
+    longest = []
+    monkeypatch.setattr(suffixdedup, "_SLICE", 5000)
+    monkeypatch.setattr(suffixdedup, "gram_hashes", lambda part, f=suffixdedup.gram_hashes: longest.append(len(part)) or f(part))
+    assert (suffixdedup._content_owners(raw, starts, count) == want).all() and max(longest) < 5000 + 2 * suffixdedup.LENGTH
+
+
 def test_suffixes_are_in_order():
     rnd = random.Random(4)
     for _ in range(40):

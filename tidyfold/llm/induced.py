@@ -87,23 +87,26 @@ def suffix_array(text: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     # Types: a position is smaller if its next different character is larger; a record's end is.
     end = text == 0
+    kind = np.int32 if n < 2**31 else np.int64
     differs = np.append(text[1:] != text[:-1], True) | end
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=kind), kind(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
-    smaller = end | (text[np.minimum(at + 1, n - 1)] > text[at]) & ~end[at]
+    smaller = end | (text[np.minimum(at, n - 2) + 1 if n > 1 else at] > text[at]) & ~end[at]
+    del at, differs
     left = np.append(False, ~smaller[:-1]) & smaller & ~begin  # leftmost smaller
-    places = np.flatnonzero(left).astype(np.int32 if n < 2**31 else np.int64)
+    places = np.flatnonzero(left).astype(kind)
     rough = places[np.argsort(text[places], kind="stable")]
     order = _induce(text, smaller, begin, rough, size)
     order = order[left[order]]
     # Name the leftmost-smaller substrings (each reaches to the next one's first character) by content.
-    index = np.full(n + 1, -1, np.int64)
-    index[places] = np.arange(len(places))
+    index = np.full(n + 1, -1, kind)
+    index[places] = np.arange(len(places), dtype=kind)
     following = np.append(np.arange(1, len(places)), -1)
     following[end[places]] = -1
     stop = np.where(following >= 0, places[following], places)
     hashes = _substring_hashes(text, places, stop + 1)
     ordered = index[order]
+    del index, order
     new = np.append(True, hashes[ordered][1:] != hashes[ordered][:-1])
     names = np.empty(len(places), np.int64)
     names[ordered] = np.cumsum(new) - 1

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidyfold.llm.common import mix, powers, string_bytes, table, written
+from tidyfold.llm.common import BATCH_BYTES, batches, give_back, mix, powers, string_bytes, table, written
 from tidyfold.llm.induced import permuted_prefixes, suffix_array
 
 LENGTH, K = 50, 16
@@ -119,18 +119,59 @@ def _content_hashes(raw: np.ndarray, start: np.ndarray, count: np.ndarray) -> np
 
 
 def _pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: ids, texts' bounds, text, other columns."""
+    """Blocks of documents: ids, texts' bounds, text, other columns. A block's rows may come from several batches."""
+    held, size = [], 0
     for part in parts:
-        raw, bounds = string_bytes(part.column(2))
+        bounds = string_bytes(part.column(2))[1]
         at = 0
         while at < part.num_rows:
-            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES, side="right")) - 1)
-            rows = part.slice(at, to - at)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).slice(0, 1), pa.array([rows.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(bounds[at : to + 1]).tolist()], pa.list_(pa.int64())), pa.array([_press(raw[bounds[at] : bounds[to]])], pa.binary()), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), pa.concat_arrays([rows.column(3)]))],
-                names=["block", "ids", "sizes", "packed", "others"],
-            )
+            to = max(at, int(np.searchsorted(bounds, bounds[at] + BLOCK_BYTES - size, side="right")) - 1)
+            if to > at or not held:  # a longer text is a block of its own
+                to = max(at + 1, to)
+                held.append(part.slice(at, to - at))
+                size += int(bounds[to] - bounds[at])
+            if to < part.num_rows:
+                yield _packed(held)
+                held, size = [], 0
+                give_back()
             at = to
+        if held and held[-1].num_rows < part.num_rows:  # a few rows don't keep their batch
+            held[-1] = held[-1].take(pa.array(np.arange(held[-1].num_rows)))
+    if held:
+        yield _packed(held)
+        give_back()
+
+
+def _packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    ids, sizes = [i for rows in held for i in rows.column(1).to_pylist()], []
+    raw = np.empty(sum(len(string_bytes(rows.column(2))[0]) for rows in held), np.uint8)
+    at = 0
+    for rows in held:
+        part, bounds = string_bytes(rows.column(2))
+        raw[at : at + len(part)] = part
+        sizes += np.diff(bounds).tolist()
+        at += len(part)
+    others = pa.concat_arrays([rows.column(3) for rows in held])
+    return pa.RecordBatch.from_arrays(
+        [held[0].column(0).slice(0, 1), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_press(raw)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), others)],
+        names=["block", "ids", "sizes", "packed", "others"],
+    )
+
+
+def _tidy(work):
+    """`work` on one group, or a pair of groups; what it has freed goes back to the system."""
+
+    def alone(group: pa.Table) -> pa.Table:
+        out = work(group)
+        give_back()
+        return out
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        give_back()
+        return out
+
+    return alone if work.__code__.co_argcount == 1 else both
 
 
 class Block:
@@ -187,6 +228,8 @@ def _send_owners(shards: int):
                 some = np.flatnonzero(np.diff(cuts))
                 pack = lambda x: pa.array([_press(x[cuts[s] : cuts[s + 1]]) for s in some], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows.column("block")[0].as_py()] * len(some), pa.int64()), pack(distinct), pack(low), pack(high - low)], names=["shard", "block", "owners", "low", "over"])
+                del block, distinct, index, low, high
+                give_back()
 
     return work
 
@@ -227,33 +270,36 @@ def _send_contents(shards: int):
                     out[k].append(v)
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))})
 
-    return work
+    return _tidy(work)
 
 
 def least_owners(raw: np.ndarray, count: np.ndarray, low: np.ndarray) -> np.ndarray:
     """For each window of each content (in order) the least document id that has its string, by the contents' suffix array."""
     sizes = count + LENGTH - 1
     starts = np.cumsum(sizes + 1) - sizes - 1
+    kind = np.int32 if len(raw) + len(sizes) < 2**31 else np.int64
     text = np.zeros(int(sizes.sum()) + len(sizes), np.int16)
-    text[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw.astype(np.int16) + 1
+    text[np.arange(len(raw), dtype=kind) + np.repeat(np.arange(len(sizes), dtype=kind), sizes)] = raw.astype(np.int16) + 1
     begin = np.zeros(len(text), bool)
     begin[starts] = True
     order = suffix_array(text, begin, 257)
     prefix = permuted_prefixes(text, starts, order, LENGTH)
-    run = np.cumsum(prefix[order] < LENGTH) - 1
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    run = np.cumsum(prefix[order] < LENGTH, dtype=kind) - kind(1)
+    del prefix, begin, text
+    owner = np.repeat(np.arange(len(sizes), dtype=kind), sizes + 1)
     # Only windows count: their suffixes have LENGTH bytes at least.
-    offset = np.arange(len(text)) - starts[owner]
-    window = offset < count[owner]
+    offset = np.arange(len(owner), dtype=kind) - starts.astype(kind)[owner]
+    window = offset < count.astype(kind)[owner]
+    del offset
     least = np.full(int(run[-1]) + 1 if len(run) else 0, _LARGEST, np.int64)
     inside = window[order]
     places, runs = order[inside], run[inside]
     if len(runs):
         first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1]))
         least[runs[first]] = np.minimum.reduceat(low[owner[places]], first)
-    out = np.empty(len(text), np.int64)
-    out[order] = least[run]
-    return out[window]
+    place = np.empty(len(owner), kind)
+    place[order] = run
+    return least[place[window]]
 
 
 def _grams(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -261,6 +307,17 @@ def _grams(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.stack([starts, starts + count + LENGTH - K], axis=1).ravel()[: 2 * len(starts) - 1]
 
 
+def _content_owners(raw: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each content's least K-gram, of contents laid end to end, slice by slice."""
+    out = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(raw), _SLICE):
+        i, j = np.searchsorted(starts, [a, a + _SLICE])
+        if i < j:
+            part = raw[starts[i] : starts[j - 1] + count[j - 1] + LENGTH - 1]
+            out[i:j] = np.minimum.reduceat(gram_hashes(part) & ~np.uint64(0xFFFFF), _grams(starts[i:j] - starts[i], count[i:j]))[::2]
+    return out
+
+
 def _answer(group: pa.Table) -> pa.Table:
     """Each block's contents' windows' least ids, as runs of equal ids."""
     counts = [np.frombuffer(x.as_py(), np.uint8).astype(np.int64) for x in group.column("counts")]
@@ -272,14 +329,16 @@ def _answer(group: pa.Table) -> pa.Table:
     least = _least(low, index, len(first))
     found = np.repeat(least, count[first])
     # A content whose owner has no other content shares no window with any other; the rest are sorted.
-    owner = np.minimum.reduceat(gram_hashes(raw) & ~np.uint64(0xFFFFF), _grams(starts, count))[::2][first]
+    owner = _content_owners(raw, starts, count)[first]
     _, alike, members = np.unique(owner, return_inverse=True, return_counts=True)
     some = np.flatnonzero(members[alike] > 1)
     if len(some):
         mine = first[some]
         sizes = count[mine] + LENGTH - 1
         at = np.repeat(starts[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        found[np.repeat(members[alike] > 1, count[first])] = least_owners(raw[at], count[mine], least[some])
+        raw = raw[at]
+        del at
+        found[np.repeat(members[alike] > 1, count[first])] = least_owners(raw, count[mine], least[some])
     begins = np.cumsum(count[first]) - count[first]
     out, k = [], 0
     for c in counts:
@@ -291,16 +350,16 @@ def _answer(group: pa.Table) -> pa.Table:
     return pa.table({"shard": group.column("shard"), "block": group.column("block"), "least": pa.array(out, pa.binary())})
 
 
-KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept"
 COUNTS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
-def _remove(shards: int, content: bool):
+def _remove(shards: int, content: bool, as_text: bool):
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {k: [] for k in COUNTS}
         if left.num_rows:
             block = Block.of(left)
-            gone = np.zeros(len(block.raw) + 1, np.int32)  # +1 where a removed window begins, -1 behind its end
+            gone = np.zeros(len(block.raw) + 1, np.int8)  # +1 where a removed window begins, -1 behind its end; at most LENGTH are open
             some = _repeating(block, right.filter(pc.is_valid(right.column("bits"))), shards) if right.num_rows else np.zeros(0, np.int64)
             if len(some):
                 one, index, cuts = block.contents(some, shards)
@@ -312,29 +371,34 @@ def _remove(shards: int, content: bool):
                     if cuts[s + 1] > cuts[s]:
                         ids = np.repeat(both[n:], both[:n])
                         least[begins[cuts[s]] : begins[cuts[s]] + len(ids)] = ids
-                count = block.count[some]
-                offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                hit = least[np.repeat(begins[index], count) + offset] < np.repeat(block.order[block.doc[some]], count)
-                at = (np.repeat(block.start[some], count) + offset)[hit]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + LENGTH, -1)
-            removed = np.cumsum(gone)[:-1] > 0
+                for k in range(0, len(some), _SLICE // WINDOWS):
+                    mine, own = some[k : k + _SLICE // WINDOWS], index[k : k + _SLICE // WINDOWS]
+                    count = block.count[mine]
+                    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    hit = least[np.repeat(begins[own], count) + offset] < np.repeat(block.order[block.doc[mine]], count)
+                    at = (np.repeat(block.start[mine], count) + offset)[hit]  # no window begins twice
+                    gone[at] += 1
+                    gone[at + LENGTH] -= 1
+                del least
+            removed = np.cumsum(gone, dtype=np.int8)[:-1] > 0
             for k, i in enumerate(block.ids):
                 a, b = block.bounds[k], block.bounds[k + 1]
                 mask = removed[a:b]
                 kept = block.raw[a:b][~mask].tobytes()
-                for name, v in zip(out, (i, int(b - a), int(mask.sum()), int((mask & ~np.append(False, mask[:-1])).sum()) if b > a else 0, hashlib.sha256(kept).hexdigest(), kept if content else None)):
+                for name, v in zip(out, (i, int(b - a), int(mask.sum()), int((mask & ~np.append(False, mask[:-1])).sum()) if b > a else 0, hashlib.sha256(kept).hexdigest(), (kept.decode("utf-8", "ignore") if as_text else kept) if content else None)):
                     out[name].append(v)
-        columns = {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))}
-        return pa.table(columns | {"others": left.column("others").combine_chunks().flatten() if left.num_rows else pa.array([], left.schema.field("others").type.value_type)})
+        columns = {k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if as_text else pa.binary()))}
+        rows = pa.table(columns | {"others": left.column("others").combine_chunks().flatten() if left.num_rows else pa.array([], left.schema.field("others").type.value_type)})
+        return pa.Table.from_batches(batches(rows.to_batches(), most=BATCH_BYTES), rows.schema)
 
-    return work
+    return _tidy(work)
 
 
-def remove_repeats(docs: DataFrame, content: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, content: bool = True, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, others) for each row of (doc_id, text, ...).
 
-    `kept` are the remaining bytes (null unless `content`), `others` is a struct
+    `kept` are the remaining bytes (null unless `content`), or with `as_text` a
+    string without the characters that a cut goes through; `others` is a struct
     of the row's columns but its text. Null texts are empty.
     Rows of one id are documents of their own that don't take from each other; a
     null id counts as larger than all others. Texts shorter than LENGTH stay.
@@ -347,12 +411,12 @@ def remove_repeats(docs: DataFrame, content: bool = True) -> DataFrame:
     texts = blocks.drop("others")
     total = blocks.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = int(total // SHARD_BYTES + 1)
-    bits = texts.mapInArrow(_send_owners(shards), "shard int, block long, owners binary, low binary, over binary").groupBy("shard").applyInArrow(_shared, "shard int, block long, bits binary")
+    bits = texts.mapInArrow(_send_owners(shards), "shard int, block long, owners binary, low binary, over binary").groupBy("shard").applyInArrow(_tidy(_shared), "shard int, block long, bits binary")
     bits = written(bits)
     contents = texts.groupBy("block").cogroup(bits.groupBy("block")).applyInArrow(_send_contents(shards), "shard int, block long, texts binary, counts binary, low binary")
-    least = contents.groupBy("shard").applyInArrow(_answer, "shard int, block long, least binary")
+    least = contents.groupBy("shard").applyInArrow(_tidy(_answer), "shard int, block long, least binary")
     answers = bits.withColumn("least", F.lit(None).cast("binary")).unionByName(least.withColumn("bits", F.lit(None).cast("binary")))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(shards, content), T._parse_datatype_string(KEPT).add("others", kind))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_remove(shards, content, as_text), T._parse_datatype_string(f"{KEPT} {'string' if as_text else 'binary'}").add("others", kind))
 
 
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
