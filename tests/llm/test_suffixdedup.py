@@ -143,3 +143,39 @@ def test_suffixes_are_in_order():
         for a, b, i in zip(found, found[1:], order[1:]):
             n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y or x == 0), min(len(a), len(b)))
             assert prefix[i] == min(n, 12)
+
+
+def test_only_contents_that_can_share_a_window_are_sorted(monkeypatch):
+    """Of many contents around one K-gram, those with the same string about it go on; the answers are those of brute force."""
+    length, k, rng = suffixdedup.LENGTH, suffixdedup.K, np.random.default_rng(5)
+    gram = b"m" * k
+    parts = [rng.bytes(40) + gram + rng.bytes(40) for _ in range(30)]
+    near, before = rng.bytes(40), rng.bytes(7)
+    parts += [rng.bytes(33) + before + gram + near, rng.bytes(30) + before + gram + near[:30] + rng.bytes(3)]
+    monkeypatch.setattr(suffixdedup, "gram_hashes", lambda raw: _least_at(raw, gram, k))
+    texts, counts = [], []
+    for part in parts:  # the windows that hold the gram
+        at = part.index(gram)
+        text = part[max(0, at - (length - k)) : at + length]
+        texts.append(text), counts.append(len(text) - length + 1)
+    sorted_ = []
+    whole = suffixdedup.least_owners
+    monkeypatch.setattr(suffixdedup, "least_owners", lambda raw, count, low: sorted_.append(len(count)) or whole(raw, count, low))
+    packed = suffixdedup._press(np.frombuffer(b"".join(texts), np.uint8))
+    low = np.arange(len(parts), 0, -1)
+    group = pa.table({"shard": pa.array([0], pa.int32()), "block": pa.array([0], pa.int64()), "texts": pa.array([packed], pa.binary()),
+                      "counts": pa.array([np.array(counts, np.uint8).tobytes()], pa.binary()), "low": pa.array([suffixdedup._press(low)], pa.binary())})
+    raw = suffixdedup._answer(group).column("least")[0].as_py()
+    n, both = int.from_bytes(raw[:4], "little"), suffixdedup._expand(raw[4:], np.int64)
+    least = {}
+    for text, i in zip(texts, low.tolist()):
+        for p in range(len(text) - length + 1):
+            least[text[p : p + length]] = min(i, least.get(text[p : p + length], i))
+    assert np.repeat(both[n:], both[:n]).tolist() == [least[t[p : p + length]] for t in texts for p in range(len(t) - length + 1)]
+    assert len(least) < sum(counts) and sorted_ == [2]
+
+
+def _least_at(raw, gram, k):
+    """Hashes of K-grams, of which `gram` has the least."""
+    rows = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(raw), k)
+    return np.where((rows == np.frombuffer(gram, np.uint8)).all(axis=1), np.uint64(0), np.uint64(1 << 40) + (rows.astype(np.uint64) @ np.arange(1, k + 1, dtype=np.uint64) << np.uint64(20)))

@@ -11,9 +11,10 @@ one owner make one record of at most LENGTH + WINDOWS - 1 bytes.
    id; a shard answers which owners are in several documents. Records of other
    owners can't repeat.
 3. Each block sends the distinct contents of the remaining records with their
-   least document id. A shard sorts the suffixes of all its contents by induced
-   sorting, computes permuted common prefixes, and finds the runs of suffixes
-   that share LENGTH bytes. Its answer is each window's least document id.
+   least document id. A shard sorts the suffixes of all its contents that may
+   share a window by induced sorting, computes permuted common prefixes, and
+   finds the runs of suffixes that share LENGTH bytes. Its answer is each
+   window's least document id.
 4. Each block compares those with its documents' ids and removes.
 
 What meets in a shard is one row per block and content, not one per document, so
@@ -209,6 +210,12 @@ class Block:
         return some[first[order]], place[index], np.searchsorted(shard[first[order]], np.arange(shards + 1, dtype=np.uint64))
 
 
+def _several(values: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    _, index, times = np.unique(values, return_inverse=True, return_counts=True)
+    return times[index] > 1
+
+
 def _least(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
     order = np.lexsort((values, index))
     out = np.empty(n, np.int64)
@@ -308,14 +315,45 @@ def _grams(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _content_owners(raw: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Each content's least K-gram, of contents laid end to end, slice by slice."""
-    out = np.zeros(len(starts), np.uint64)
+    """Each content's least K-gram, of contents laid end to end."""
+    return _owners_and_places(raw, starts, count)[0]
+
+
+def _owners_and_places(raw: np.ndarray, starts: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each content's least K-gram and its place, leftmost on ties, slice by slice."""
+    out, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     for a in range(0, len(raw), _SLICE):
         i, j = np.searchsorted(starts, [a, a + _SLICE])
         if i < j:
-            part = raw[starts[i] : starts[j - 1] + count[j - 1] + LENGTH - 1]
-            out[i:j] = np.minimum.reduceat(gram_hashes(part) & ~np.uint64(0xFFFFF), _grams(starts[i:j] - starts[i], count[i:j]))[::2]
-    return out
+            key = gram_hashes(raw[starts[i] : starts[j - 1] + count[j - 1] + LENGTH - 1])
+            key = (key & ~np.uint64(0xFFFFF)) | np.arange(len(key), dtype=np.uint64)
+            least = np.minimum.reduceat(key, _grams(starts[i:j] - starts[i], count[i:j]))[::2]
+            out[i:j], place[i:j] = least & ~np.uint64(0xFFFFF), (least & np.uint64(0xFFFFF)).astype(np.int64) + starts[i]
+    return out, place
+
+
+#: Places of an owner in a window that are told apart at once when contents are compared.
+_PLACES = 5
+
+
+def _around(raw: np.ndarray, starts: np.ndarray, count: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the string around each content's owner that all its windows with the owner at the first, second, ... _PLACES places hold; 0 where it has no such window."""
+    stop, cuts = starts + count + LENGTH - 1, range(0, WINDOWS, _PLACES)
+    out = np.zeros((len(cuts), len(starts)), np.uint64)
+    for a in range(0, len(raw), _SLICE):
+        i, j = np.searchsorted(starts, [a, a + _SLICE])
+        if i == j:
+            continue
+        part = raw[a : stop[j - 1]]
+        up, down = powers(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_CODE[part] * up[: len(part)], out=total[1:])
+        for row, before in zip(out, cuts):
+            begin, end = place[i:j] - before, place[i:j] + K + max(0, WINDOWS - before - _PLACES)
+            held = np.flatnonzero((begin >= starts[i:j]) & (end <= stop[i:j]))
+            begin, end = begin[held] - a, end[held] - a
+            row[i + held] = mix((total[end] - total[begin]) * down[begin]) | np.uint64(1)
+    yield from out
 
 
 def _answer(group: pa.Table) -> pa.Table:
@@ -328,17 +366,24 @@ def _answer(group: pa.Table) -> pa.Table:
     _, first, index = np.unique(_content_hashes(raw, starts, count), return_index=True, return_inverse=True)
     least = _least(low, index, len(first))
     found = np.repeat(least, count[first])
-    # A content whose owner has no other content shares no window with any other; the rest are sorted.
-    owner = _content_owners(raw, starts, count)[first]
-    _, alike, members = np.unique(owner, return_inverse=True, return_counts=True)
-    some = np.flatnonzero(members[alike] > 1)
+    # A content shares windows only with those that have its owner, and a string around it that the window holds; the rest aren't sorted.
+    owner, place = _owners_and_places(raw, starts, count)
+    alike = _several(owner[first])
+    some = np.flatnonzero(alike)
+    if len(some):
+        near = np.zeros(len(some), bool)
+        for hashes in _around(raw, starts, count, place):
+            mine = hashes[first[some]]
+            near |= _several(mine) & (mine != 0)
+        alike[some] = near
+        some = some[near]
     if len(some):
         mine = first[some]
         sizes = count[mine] + LENGTH - 1
         at = np.repeat(starts[mine] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         raw = raw[at]
         del at
-        found[np.repeat(members[alike] > 1, count[first])] = least_owners(raw, count[mine], least[some])
+        found[np.repeat(alike, count[first])] = least_owners(raw, count[mine], least[some])
     begins = np.cumsum(count[first]) - count[first]
     out, k = [], 0
     for c in counts:
