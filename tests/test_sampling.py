@@ -89,3 +89,36 @@ def test_masks_by_lists_and_by_rows_are_the_same(spark):
         tidy = drawn.select("sample", F.explode("positions").alias("position"))
         found, wanted = ([tuple(r) for r in sampling.mask_everywhere(rows, p, axis, "sample").collect()] for p in (drawn, tidy))
         assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
+def test_positions_are_drawn_where_they_are_opened(spark):
+    """Only ids and stored values are shuffled, whatever the grid; rows and more draws are those of lists that meet them."""
+    from tidyfold.functions.hashing import md5_hash
+
+    rows = spark.createDataFrame([(1, "b", 2.0), (1, "b", 7.0), (1, "c", None), (2, "a", 5.0), (9, "d", 1.0), (2, "z", 4.0), (None, "a", 3.0)], "sample int, feature string, value double")
+    axis = spark.createDataFrame([*enumerate("abcd"), (1, "b"), (2, None)], "position int, feature string")
+    samples = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "sample int")
+    for make, lists, args in ((sampling.masked_draws, sampling.masked_lists, (5, 3, 5, "md5")), (sampling.masked_draws, sampling.masked_lists, (5, 3, 5)), (sampling.masked_draws, sampling.masked_lists, (5, 0)),
+                              (sampling.bernoulli_draws, sampling.bernoulli_lists, (5, 0.5, 2, "md5")), (sampling.bernoulli_draws, sampling.bernoulli_lists, (5, 0.5, 2))):
+        found = sampling.mask_everywhere(rows, make(samples, "sample", *args), axis, "sample", draws={"_d": 8})
+        wanted = sampling.mask_everywhere(rows, lists(samples, "sample", *args), axis, "sample")
+        wanted = wanted.withColumn("_d", F.when(F.col("mask"), md5_hash(8, F.col("sample"), F.col("feature"))))
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    plan = sampling.mask_everywhere(rows, sampling.masked_draws(samples, "sample", 5, 3), axis, "sample")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0]
+
+
+def test_marginal_draws_do_not_shuffle_the_entries(spark):
+    train = spark.createDataFrame([(s, f, float(10 * s + f)) for s in range(1, 9) for f in range(6) if (s + f) % 3], "sample int, feature int, value double")
+    pool = sampling.number_pool(train.select("sample"), "sample")
+    rows = spark.range(300).select((F.col("id") % 50).alias("sample"), (F.col("id") % 7).cast("int").alias("feature"))
+    found = sampling.marginal_draws(rows, train, pool, "sample", seed=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [feature" in plan and "SortMergeJoin [pool_row" not in plan
+    numbered = {r["pool_row"]: r["pool_sample"] for r in pool.collect()}
+    stored = {(r["sample"], r["feature"]): r["value"] for r in train.collect()}
+    picked = rows.select("sample", "feature", sampling.choice(4, F.lit(len(numbered)), F.col("sample"), F.col("feature")).alias("p")).collect()
+    wanted = sorted((r["sample"], r["feature"], stored.get((numbered[r["p"]], r["feature"]), 0.0)) for r in picked)
+    assert sorted(map(tuple, found.select("sample", "feature", "replacement").collect())) == wanted
+    twice = sampling.marginal_draws(rows, train.unionByName(train), pool, "sample", seed=4)
+    assert twice.count() == sum(1 + (r[2] > 0) for r in wanted)
