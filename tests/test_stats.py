@@ -301,3 +301,35 @@ def test_grids_of_samples_and_sets_are_made_after_the_last_shuffle(spark):
         assert node.nodeName() in ("Project", "Filter")
         node = node.children().apply(0)
     assert sets.score_sets(values.limit(0), members.filter("set = 'z'"), "sample", samples=samples).count() == 0
+
+
+def test_score_rows_take_a_thousand_replicates(spark, tmp_path, monkeypatch):
+    """Intervals of concordance rest on the library's replicates, in the query and in its SQL."""
+    from tidyfold.operators import bootstrap, survival
+    from __spark_entry__ import ORACLES, QUERIES
+
+    asked = []
+    monkeypatch.setattr(survival, "survival_scores", lambda rows, weights, *a, f=survival.survival_scores: asked.append(weights.select(F.max(F.size("weights"))).first()[0]) or f(rows, weights, *a))
+    events = [(i, i % 7, ["view", "click", "purchase"][(i * i + i // 7) % 3], i * 5000, float(i * 37 % 11)) for i in range(84)]
+    rows = spark.createDataFrame(events, "event_id long, user_id long, event_type string, s long, value double")
+    rows.select("event_id", "user_id", "event_type", F.timestamp_seconds("s").alias("ts"), "value").write.parquet(f"{tmp_path}/events.parquet")
+    QUERIES["survival_score_rows"](spark, str(tmp_path)).collect()
+    assert asked == [bootstrap.N_BOOTSTRAP + 1] and f"range(1, {bootstrap.N_BOOTSTRAP + 1})" in ORACLES["survival_score_rows"]
+
+
+def test_concordance_under_arrays_of_weights_is_that_under_rows(spark):
+    """Strata, ties, no events, missing keys, times and risks without a value; a slice of replicates at a time."""
+    from tidyfold.operators import bootstrap, survival
+
+    rnd = np.random.default_rng(3)
+    made = [(int(i), [None, "a", "b", "c"][rnd.integers(4)], int(rnd.integers(12)) if i % 11 else None, int(rnd.integers(2)), float(rnd.integers(6))) for i in range(150)] + [(150, "d", 3, 0, 1.0), (None, "a", 4, 1, 2.0)]
+    rows = spark.createDataFrame(made, "who long, project string, time long, event int, risk double")
+    weights = bootstrap.bootstrap_vectors(rows, "who", 30, 2)
+    long = bootstrap.bootstrap_weights(rows, "who", 30, 2)
+    for found, wanted in zip(survival.stratified_concordance(rows, weights, "who", ["project"], "project"), survival.stratified_concordance(rows, long, "who", ["project"], "project")):
+        found, wanted = (sorted((tuple(r[c] for c in wanted.columns) for r in df.collect()), key=str) for df in (found, wanted))
+        assert len(found) == len(wanted) > 0
+        assert all(x == y if not isinstance(x, float) else abs(x - y) < 1e-9 for f, w in zip(found, wanted) for x, y in zip(f, w))
+    w = np.array([[1, 2], [1, 0], [1, 1]])
+    concordant, pairs = survival.pair_sums(np.array([1.0, 2.0, 3.0]), np.array([True, True, False]), np.array([5.0, np.nan, 1.0]), np.array([False, True, False]), w)
+    assert concordant.tolist() == [1.0, 2.0] and pairs.tolist() == [3.0, 2.0]

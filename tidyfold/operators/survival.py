@@ -61,6 +61,75 @@ def concordance_sums(rows: DataFrame, stratum: Sequence[str], time: str = "time"
     )
 
 
+#: Weights of a stratum that a task takes at once, and replicates at most and at least.
+HELD, SLICE, FEWEST = 2_000_000, 256, 8
+
+
+def replicated_sums(rows: DataFrame, weights: DataFrame, case: str, stratum: Sequence[str], time: str = "time", event: str = "event",
+                    risk: str = "risk") -> DataFrame:
+    """(replicate, stratum, concordant, pairs): `concordance_sums` under each replicate of (case, weights) arrays.
+
+    A task takes a stratum under a slice of the replicates and counts its pairs
+    bit by bit for all of them together, so a row is sent once a slice and never
+    once a replicate and bit.
+    """
+    keys = list(stratum)
+    base = rows.select(case, *keys, F.col(time).cast("double").alias("_t"), F.coalesce(F.col(event).cast("boolean"), F.lit(False)).alias("_e"), F.col(risk).cast("double").alias("_r"))
+    base = base.dropna(subset=[case, "_t"])
+    counted = base.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_t").alias("t")).agg(F.max("n"), F.min("t")).first()
+    width = max(FEWEST, min(SLICE, HELD // (counted[0] or 1)))
+    met = base.dropna(subset=keys).join(weights.select(case, "weights"), case)
+    spread = F.explode(F.sequence(F.lit(0), F.floor((F.size("weights") - 1) / width).cast("int")))
+    cut = met.select(*keys, "_t", "_e", "_r", spread.alias("_v"), "weights").withColumn("weights", F.slice("weights", F.col("_v") * width + 1, width))
+    earliest = counted[1]
+
+    def count(group: pa.Table) -> pa.Table:
+        t, e, r = (group.column(c).to_numpy() for c in ("_t", "_e", "_r"))
+        e, lacking = e.astype(bool), np.asarray(group.column("_r").is_null())
+        w = group.column("weights").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        concordant, pairs = pair_sums(t, e, r, lacking, w)
+        met = np.flatnonzero((w[e | (t > earliest)] > 0).any(axis=0))  # only replicates in which a row can be of a pair
+        first = group.column("_v")[0].as_py() * width
+        return pa.table({
+            "replicate": pa.array((first + met).astype(np.int32)), **{k: pa.repeat(group.column(k)[0], len(met)) for k in keys},
+            "concordant": pa.array(concordant[met]), "pairs": pa.array(pairs[met]),
+        })
+
+    kinds = "".join(f"`{k}` {base.schema[k].dataType.simpleString()}, " for k in keys)
+    dealt = cut.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys, "_v")
+    return dealt.groupBy(*keys, "_v").applyInArrow(count, f"replicate int, {kinds}concordant double, pairs double")
+
+
+def pair_sums(t: np.ndarray, e: np.ndarray, r: np.ndarray, lacking: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(concordant, pairs) of one stratum under each column of weights, by the bits of its times' codes and a running sum over risk.
+
+    A pair of which a risk is `lacking` counts, but isn't concordant.
+    """
+    code, place = np.unique(t, return_inverse=True)[1], np.unique(r, return_inverse=True)[1]
+    place = np.where(lacking, len(r), place)
+    order = np.argsort(place, kind="stable")
+    code, place, e, lacking, w = code[order], place[order], e[order], lacking[order], w[order]
+    concordant, pairs = np.zeros(w.shape[1]), np.zeros(w.shape[1])
+    for level in range(int(code.max(initial=0)).bit_length()):
+        by_prefix = np.argsort(code >> (level + 1), kind="stable")
+        prefix, own = (code >> (level + 1))[by_prefix], place[by_prefix]
+        upper, weight = ((code >> level) & 1)[by_prefix].astype(bool), w[by_prefix].astype(float)
+        begins = np.append(True, prefix[1:] != prefix[:-1])
+        runs = np.flatnonzero(begins | np.append(True, own[1:] != own[:-1]))
+        ask = np.add.reduceat(weight * (~upper & e[by_prefix])[:, None], runs)
+        have = np.add.reduceat(weight * upper[:, None], runs)
+        del weight
+        until = np.cumsum(have, axis=0)
+        first = np.flatnonzero(begins[runs])
+        group = np.cumsum(begins[runs]) - 1
+        before = (until[first] - have[first])[group]
+        every = until[np.append(first[1:], len(runs)) - 1][group] - before
+        known = ~lacking[by_prefix][runs]
+        concordant += (ask * (until - before - 0.5 * have))[known].sum(axis=0)
+        pairs += (ask * every).sum(axis=0)
+    return concordant, pairs
+
+
 def concordance(rows: DataFrame, stratum: Sequence[str] = (), time: str = "time", event: str = "event", risk: str = "risk") -> DataFrame:
     """One row: Harrell's C pooled over strata (null without pairs) and its comparable pairs."""
     sums = concordance_sums(rows, stratum, time, event, risk)
@@ -73,12 +142,16 @@ def stratified_concordance(rows: DataFrame, weights: DataFrame, case: str, strat
                            risk: str = "risk") -> tuple[DataFrame, DataFrame]:
     """Per replicate: (c_index, c_index_macro, pairs), and the same by group.
 
-    A pair counts with the product of its patients' weights. The macro mean
+    A pair counts with the product of its patients' weights, which are
+    (replicate, case, weight) rows or (case, weights) arrays. The macro mean
     takes groups with at least `min_events` observed events.
     """
-    weighted = rows.join(weights.select("replicate", case, "weight"), case)
-    keys = ["replicate", *dict.fromkeys([*stratum, group])]
-    sums = stable(concordance_sums(weighted, keys, time, event, risk, "weight"))
+    keys = list(dict.fromkeys([*stratum, group]))
+    if "weights" in weights.columns:
+        sums = stable(replicated_sums(rows, weights, case, keys, time, event, risk))
+    else:
+        weighted = rows.join(weights.select("replicate", case, "weight"), case)
+        sums = stable(concordance_sums(weighted, ["replicate", *keys], time, event, risk, "weight"))
     by_group = sums.groupBy("replicate", group).agg(F.sum("concordant").alias("concordant"), F.sum("pairs").alias("pairs"))
     by_group = by_group.withColumn("c_index", F.try_divide(F.col("concordant"), F.col("pairs")))
     events = rows.groupBy(group).agg(F.sum(F.col(event).cast("int")).alias("_events"))

@@ -12,7 +12,7 @@ from tidyfold.plans.queries_metrics import boot_sql
 from tidyfold.plans.registry import query
 from tidyfold.plans.roles import SQL_SURVIVAL
 
-# Replicates of the concordance queries, whose pairs are counted per replicate; the probes take the library's default.
+# Replicates of the concordance queries whose pairs are counted per replicate; the probes and the score rows take the library's default.
 R = 20
 
 
@@ -204,14 +204,14 @@ def survival_risks(t):
     return survival.risks_by_model(rows, "x", "m", {0: np.array(BETA)}).select("user_id", F.round("risk", 6).alias("risk"))
 
 
-@query("survival_score_rows", STRAT_SQL + """, by_p AS (SELECT project, round(max(concordant / pairs) FILTER (replicate = 0), 6) AS c_index,
+@query("survival_score_rows", STRAT_SQL.replace(boot_sql(R), boot_sql(bootstrap.N_BOOTSTRAP)) + """, by_p AS (SELECT project, round(max(concordant / pairs) FILTER (replicate = 0), 6) AS c_index,
         round(quantile_cont(concordant / pairs, 0.025) FILTER (replicate > 0), 6) AS c_index_lo, round(quantile_cont(concordant / pairs, 0.975) FILTER (replicate > 0), 6) AS c_index_hi,
         max(pairs) FILTER (replicate = 0)::BIGINT AS pairs FROM pr WHERE pairs > 0 GROUP BY 1)
     SELECT project, count(*) AS patients, sum(event)::BIGINT AS events, max(pairs) AS pairs, max(c_index) AS c_index, max(c_index_lo) AS c_index_lo, max(c_index_hi) AS c_index_hi
     FROM surv JOIN by_p USING (project) GROUP BY 1""")
 def survival_score_rows(t):
     rows = roles.survival_cases(t).withColumn("fold", F.lit(0))
-    weights = bootstrap.bootstrap_weights(rows, "user_id", R, 1, "md5")
+    weights = bootstrap.bootstrap_vectors(rows, "user_id", bootstrap.N_BOOTSTRAP, 1, "md5")
     _, projects = survival.survival_scores(rows, weights, "purchase", "cv", 0.1, "user_id")
     return projects.filter("pairs > 0").select(
         "project", "patients", "events", "pairs", *[F.round(c, 6).alias(c) for c in ("c_index", "c_index_lo", "c_index_hi")]
